@@ -105,6 +105,23 @@ def standings(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rank_teams(cumulative(round_tallies(matches, keys), keys), keys)
 
 
+def final_standings(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table after the last round alone: one plain sum per team, no running totals."""
+    season = Window.partitionBy(*keys)  # one row per team at this point
+    totals = (
+        team_rows(matches, keys)
+        .groupBy(*keys, "team")
+        .agg(
+            F.max("round").alias("round"),
+            F.min("seen_at").alias("seen_at"),
+            *[F.sum(c).cast("bigint").alias(c) for c in TALLIES],
+        )
+        .withColumn("round", F.max("round").over(season))
+        .withColumn("_played", F.col("played"))
+    )
+    return rank_teams(totals, keys)
+
+
 def rank_teams(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """League positions; a window group holds the teams of one table."""
     table = Window.partitionBy(*keys, "round")
@@ -133,7 +150,7 @@ def leaders(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def table_view(table: DataFrame, focus_team: Column | None = None) -> DataFrame:
+def table_view(table: DataFrame, focus_team: str = "") -> DataFrame:
     """Display columns: signed goal difference and the focus team's mark."""
-    mine = F.lit(False) if focus_team is None else F.col("team").contains(focus_team)
+    mine = F.col("team") == focus_team
     return table.withColumn("gd_text", signed(F.col("gd"))).withColumn("is_focus", mine)
