@@ -1,6 +1,6 @@
 """Queries over the driver's tables and the SQL each of them must agree with."""
 
-from touchline.catalog import result_queries, shot_queries  # noqa: F401
+from touchline.catalog import result_queries, shot_queries, story_queries  # noqa: F401
 from touchline.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

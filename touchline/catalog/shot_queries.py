@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from touchline import dimensions
 from touchline.catalog.registry import register
-from touchline.catalog.views import (
-    BLOCKS, FOCUS, feed_events, feed_matches, fixtures, sql, table, team_dimension,
-)
+from touchline.catalog.feed import Feed, raw_lineups
+from touchline.catalog.views import BLOCKS, FOCUS, feed_matches, sql, table, team_dimension
 from touchline.functions.numbers import rounded, exact
 from touchline.operators import conform, enrich, lineups, report, sequence, shots
 
@@ -19,24 +18,6 @@ SHOT_FIELDS = [
 ]
 
 
-def shot_rows_of(spark: SparkSession, sf: str) -> DataFrame:
-    return shots.shot_rows(feed_events(spark, sf), fixtures(spark, sf))
-
-
-def key_events_of(spark: SparkSession, sf: str) -> DataFrame:
-    return shots.key_events(feed_events(spark, sf), fixtures(spark, sf))
-
-
-def reds_of(spark: SparkSession, sf: str) -> DataFrame:
-    return key_events_of(spark, sf).filter(F.col("event_type") == "red_card")
-
-
-def sequence_of(spark: SparkSession, sf: str) -> DataFrame:
-    all_shots = shot_rows_of(spark, sf)
-    cards = sequence.score_at(reds_of(spark, sf).drop("event_type", "xg"), all_shots)
-    return sequence.sequence(shots.highlight_shots(all_shots), cards)
-
-
 # --- names, predicates, coordinates ----------------------------------------
 
 
@@ -55,7 +36,7 @@ def name_conform(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def unmapped_names(spark: SparkSession, sf: str) -> DataFrame:
     """Team names the dimension does not know."""
-    return conform.unmapped_names(fixtures(spark, sf), team_dimension(spark, sf), ["home_team", "away_team"])
+    return conform.unmapped_names(Feed(spark, sf).fixtures, team_dimension(spark, sf), ["home_team", "away_team"])
 
 
 @register(sql(
@@ -63,7 +44,7 @@ def unmapped_names(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def nested_names(spark: SparkSession, sf: str) -> DataFrame:
     """A name out of JSON with a name field and out of plain text."""
-    events = feed_events(spark, sf).filter(F.col("type") == conform.SHOT)
+    events = Feed(spark, sf).events.filter(F.col("type") == conform.SHOT)
     as_json = F.to_json(F.struct(F.lit(97).alias("id"), F.col("shot_outcome").alias("name")))
     return events.select(
         "index",
@@ -81,7 +62,7 @@ def event_predicates(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of the event types in use, goals and dismissals."""
     card = conform.card_of(F.col("bad_behaviour_card"), F.col("foul_committed_card"))
     used = F.col("type").isin(conform.SHOT, conform.MISCONDUCT, conform.FOUL, conform.SUBSTITUTION)
-    return feed_events(spark, sf).filter(used).groupBy("type").agg(
+    return Feed(spark, sf).events.filter(used).groupBy("type").agg(
         F.count("*").alias("events"),
         F.count_if(conform.is_goal(F.col("shot_outcome"))).alias("goals"),
         F.count_if(conform.is_red(card)).alias("reds"),
@@ -94,7 +75,7 @@ def event_predicates(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def running_score(spark: SparkSession, sf: str) -> DataFrame:
     """All shots with the score after each, in event order."""
-    return shot_rows_of(spark, sf).select(*SHOT_FIELDS)
+    return Feed(spark, sf).shots_once.select(*SHOT_FIELDS)
 
 
 @register(sql(
@@ -106,7 +87,8 @@ def running_score(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def match_xg(spark: SparkSession, sf: str) -> DataFrame:
     """Expected goals of both sides of every match."""
-    return shots.match_xg(feed_events(spark, sf), fixtures(spark, sf))
+    feed = Feed(spark, sf)
+    return shots.match_xg(feed.events, feed.fixtures)
 
 
 @register(sql(
@@ -116,7 +98,7 @@ def match_xg(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def player_xg_goals(spark: SparkSession, sf: str) -> DataFrame:
     """Expected goals and goals per match, team and player."""
-    return shots.player_shot_totals(feed_events(spark, sf))
+    return shots.player_shot_totals(Feed(spark, sf).events)
 
 
 # --- highlights ------------------------------------------------------------
@@ -155,7 +137,7 @@ BLOCKS["seq"] = (["selected", "scored"], """
 def distinct_shots(spark: SparkSession, sf: str) -> DataFrame:
     """Shots with defaults, one per player, minute and goal mark."""
     columns = ["match_id", "index", "player", "minute", "is_goal", "xg", "x", "y", "score_after"]
-    return shots.clean_shots(shot_rows_of(spark, sf)).select(*columns)
+    return shots.clean_shots(Feed(spark, sf).shots_once).select(*columns)
 
 
 @register(sql(
@@ -165,7 +147,7 @@ def distinct_shots(spark: SparkSession, sf: str) -> DataFrame:
 def highlight_select(spark: SparkSession, sf: str) -> DataFrame:
     """The shots shown for each match."""
     columns = ["match_id", "index", "team_fd", "player", "minute", "is_goal", "xg", "outcome", "score_after"]
-    return shots.highlight_shots(shot_rows_of(spark, sf)).select(*columns)
+    return shots.highlight_shots(Feed(spark, sf).shots).select(*columns)
 
 
 @register(sql(
@@ -173,7 +155,7 @@ def highlight_select(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def shots_in_order(spark: SparkSession, sf: str) -> DataFrame:
     """All shots of all matches in time order."""
-    ordered = shots.in_time_order(shot_rows_of(spark, sf))
+    ordered = shots.in_time_order(Feed(spark, sf).shots_once)
     return ordered.select("match_id", "minute", "index", "player", "team_fd", "xg", "is_goal")
 
 
@@ -187,7 +169,7 @@ def shots_in_order(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def shot_map(spark: SparkSession, sf: str) -> DataFrame:
     """Drawing position, marker size and bar width of every shot."""
-    return shots.shot_map(shots.clean_shots(shot_rows_of(spark, sf)))
+    return shots.shot_map(shots.clean_shots(Feed(spark, sf).shots_once))
 
 
 # --- key events, sequence --------------------------------------------------
@@ -196,7 +178,7 @@ def shot_map(spark: SparkSession, sf: str) -> DataFrame:
 @register(sql("SELECT * FROM keyev", "keyev"))
 def key_events(spark: SparkSession, sf: str) -> DataFrame:
     """Goals and dismissals of all matches."""
-    return key_events_of(spark, sf)
+    return Feed(spark, sf).key_events
 
 
 @register(sql(
@@ -205,13 +187,14 @@ def key_events(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def key_events_listed(spark: SparkSession, sf: str) -> DataFrame:
     """Goals and dismissals as listed for a match."""
-    return shots.key_event_view(key_events_of(spark, sf))
+    return shots.key_event_view(Feed(spark, sf).key_events)
 
 
 @register(sql("SELECT match_id, index, player, team_fd, minute, score_at FROM scored", "scored"))
 def score_at_card(spark: SparkSession, sf: str) -> DataFrame:
     """Score at the time of every dismissal."""
-    scored = sequence.score_at(reds_of(spark, sf), shot_rows_of(spark, sf))
+    feed = Feed(spark, sf)
+    scored = sequence.score_at(feed.reds, feed.shots)
     return scored.select("match_id", "index", "player", "team_fd", "minute", "score_at")
 
 
@@ -221,7 +204,7 @@ def score_at_card(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def highlight_sequence(spark: SparkSession, sf: str) -> DataFrame:
     """Shots and dismissals of a match in order, numbered."""
-    labelled = sequence.sequence_labels(sequence_of(spark, sf))
+    labelled = sequence.sequence_labels(Feed(spark, sf).sequence)
     return labelled.select(
         "match_id", "highlight_idx", "item_type", "index", "minute", "player", "team_fd", "is_goal", "xg",
         "score_after", "score_at", "label",
@@ -240,7 +223,7 @@ def goal_minutes(spark: SparkSession, sf: str) -> DataFrame:
         times = F.when(m["goals"] > 1, F.concat(F.lit("x"), m["goals"].cast("string"))).otherwise("")
         return F.concat(m["minute"].cast("string"), times)
 
-    listed = sequence.goal_minutes(key_events_of(spark, sf))
+    listed = sequence.goal_minutes(Feed(spark, sf).key_events)
     return listed.withColumn("minutes", F.array_join(F.transform("minutes", text), ","))
 
 
@@ -279,54 +262,28 @@ BLOCKS["lines"] = (["minutes", "places", "fixtures"], """
   WHERE m.minutes > 0""")
 
 
-def raw_lineups(spark: SparkSession, sf: str) -> DataFrame:
-    """Line-ups in feed form, out of the players with a pass."""
-    number = F.regexp_extract("player", "([0-9]+)$", 1).cast("int") % 5
-    first = (
-        F.when(number == 0, "Goalkeeper").when(number == 1, "Left Wing").when(number == 2, "Centre Back")
-        .when(number == 3, "Sweeper")
-    )
-    listed = F.when(
-        first.isNotNull(),
-        F.array(F.struct(first.alias("position")), F.struct(F.lit("Right Wing").alias("position"))),
-    ).otherwise(F.array().cast("array<struct<position: string>>"))
-    players = (
-        feed_events(spark, sf).filter((F.col("type") == "Pass") & F.col("player").isNotNull())
-        .select("match_id", "team", "player").distinct()
-    )
-    return players.select(
-        "match_id", "team",
-        F.array(F.struct(F.col("player").alias("player_name"), listed.alias("positions"))).alias("lineup"),
-    )
-
-
-def lines_of(spark: SparkSession, sf: str) -> DataFrame:
-    places = lineups.positions(raw_lineups(spark, sf))
-    return lineups.player_lines(feed_events(spark, sf), fixtures(spark, sf), places)
-
-
 @register(sql("SELECT DISTINCT match_id, team, player FROM ev WHERE player IS NOT NULL", "ev"))
 def players_seen(spark: SparkSession, sf: str) -> DataFrame:
     """Everyone who appears in a match."""
-    return lineups.players_seen(feed_events(spark, sf))
+    return lineups.players_seen(Feed(spark, sf).events)
 
 
 @register(sql("SELECT * FROM minutes", "minutes"))
 def minutes_played(spark: SparkSession, sf: str) -> DataFrame:
     """Minutes of every player in every match."""
-    return lineups.minutes_played(feed_events(spark, sf))
+    return lineups.minutes_played(Feed(spark, sf).events)
 
 
 @register(sql("SELECT * FROM places", "places"))
 def first_positions(spark: SparkSession, sf: str) -> DataFrame:
     """First position of every player in the line-ups."""
-    return lineups.positions(raw_lineups(spark, sf))
+    return lineups.positions(raw_lineups(Feed(spark, sf).events))
 
 
 @register(sql("SELECT * FROM lines", "lines"))
 def player_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Minutes, xG, goals and position per match and player."""
-    return lines_of(spark, sf)
+    return Feed(spark, sf).lines
 
 
 @register(sql(
@@ -337,7 +294,7 @@ def player_lines(spark: SparkSession, sf: str) -> DataFrame:
 def match_players(spark: SparkSession, sf: str) -> DataFrame:
     """One row per player with minutes, the one with most of them."""
     columns = ["match_id", "team_fd", "player_name", "minutes", "xg", "goals"]
-    return lineups.match_players(lines_of(spark, sf)).select(*columns)
+    return lineups.match_players(Feed(spark, sf).lines).select(*columns)
 
 
 _PLACE = "CASE position WHEN 'Goalkeeper' THEN 0 WHEN 'Centre Back' THEN 1 WHEN 'Left Wing' THEN 6 ELSE 99 END"
@@ -352,7 +309,7 @@ _PLACE = "CASE position WHEN 'Goalkeeper' THEN 0 WHEN 'Centre Back' THEN 1 WHEN
 def lineup_order(spark: SparkSession, sf: str) -> DataFrame:
     """Starters by position, then substitutes by minutes."""
     ordered = lineups.lineup_order(
-        lines_of(spark, sf), dimensions.position_order(spark), dimensions.DEFAULT_POSITION_ORDER
+        Feed(spark, sf).lines, dimensions.position_order(spark), dimensions.DEFAULT_POSITION_ORDER
     )
     return ordered.select("match_id", "team_fd", "player_name", "minutes", "position", "is_sub", "slot")
 
@@ -371,8 +328,9 @@ def lineup_order(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def lineup_display(spark: SparkSession, sf: str) -> DataFrame:
     """Marks and texts beside the players."""
-    events = key_events_of(spark, sf)
-    shown = lineups.lineup_view(lines_of(spark, sf), sequence.goal_minutes(events), sequence.red_minutes(events))
+    feed = Feed(spark, sf)
+    events = feed.key_events
+    shown = lineups.lineup_view(feed.lines, sequence.goal_minutes(events), sequence.red_minutes(events))
     return shown.withColumn("scoring_minutes", F.coalesce(F.size("goal_minutes"), F.lit(0))).drop("goal_minutes")
 
 
@@ -389,7 +347,7 @@ def lineup_display(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def shot_context(spark: SparkSession, sf: str) -> DataFrame:
     """Set piece, technique, pattern and assist of every shot."""
-    return enrich.shot_context(feed_events(spark, sf)).withColumn("context", enrich.context_text())
+    return enrich.shot_context(Feed(spark, sf).events).withColumn("context", enrich.context_text())
 
 
 # --- reports ---------------------------------------------------------------
@@ -398,7 +356,7 @@ def shot_context(spark: SparkSession, sf: str) -> DataFrame:
 @register(sql("SELECT event_type, count(*) AS events FROM keyev GROUP BY event_type", "keyev"))
 def key_event_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Goals and dismissals in total."""
-    return report.key_event_totals(key_events_of(spark, sf))
+    return report.key_event_totals(Feed(spark, sf).key_events)
 
 
 @register(sql(
@@ -407,7 +365,7 @@ def key_event_totals(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def match_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Shots, goals and final shot score of every match."""
-    return report.match_summary(shot_rows_of(spark, sf))
+    return report.match_summary(Feed(spark, sf).shots_once)
 
 
 @register(sql(
@@ -417,7 +375,7 @@ def match_summary(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def reconcile_goals(spark: SparkSession, sf: str) -> DataFrame:
     """Matches where the goals from shots are not the final score."""
-    return report.reconcile_goals(shot_rows_of(spark, sf), feed_matches(spark, sf))
+    return report.reconcile_goals(Feed(spark, sf).shots, feed_matches(spark, sf))
 
 
 @register(sql(
@@ -427,11 +385,12 @@ def reconcile_goals(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def build_report(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of every table of a build."""
+    feed = Feed(spark, sf)
     return report.row_counts({
-        "events": feed_events(spark, sf),
-        "shots": shot_rows_of(spark, sf),
-        "key_events": key_events_of(spark, sf),
-        "players": lines_of(spark, sf),
+        "events": feed.events,
+        "shots": feed.shots_once,
+        "key_events": feed.key_events,
+        "players": feed.lines,
     })
 
 
@@ -441,7 +400,7 @@ def build_report(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def focus_matches(spark: SparkSession, sf: str) -> DataFrame:
     """The matches of one team, one row each."""
-    return conform.focus_matches(fixtures(spark, sf), FOCUS).select("match_id", "match_date", "home_fd", "away_fd")
+    return conform.focus_matches(Feed(spark, sf).fixtures, FOCUS).select("match_id", "match_date", "home_fd", "away_fd")
 
 
 @register(sql(
@@ -451,7 +410,7 @@ def focus_matches(spark: SparkSession, sf: str) -> DataFrame:
 def team_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Matches whose team names fit a pattern, case ignored."""
     hit = conform.contains_text(F.col("home_fd"), "team 1") | conform.contains_text(F.col("away_fd"), "team 1")
-    return fixtures(spark, sf).filter(hit).select("match_id", "home_fd", "away_fd")
+    return Feed(spark, sf).fixtures.filter(hit).select("match_id", "home_fd", "away_fd")
 
 
 @register(sql(
@@ -461,7 +420,7 @@ def team_filter(spark: SparkSession, sf: str) -> DataFrame:
 def detail_eligible(spark: SparkSession, sf: str) -> DataFrame:
     """Whether details are shown for a match."""
     wanted = conform.has_detail(F.col("home_fd"), F.col("away_fd"), F.col("match_round"), F.lit(FOCUS))
-    return fixtures(spark, sf).select("match_id", "match_round", wanted.alias("has_detail"))
+    return Feed(spark, sf).fixtures.select("match_id", "match_round", wanted.alias("has_detail"))
 
 
 @register(sql(
@@ -490,5 +449,5 @@ def numeric_coercion(spark: SparkSession, sf: str) -> DataFrame:
 def xg_rounding(spark: SparkSession, sf: str) -> DataFrame:
     """xG to two, three and four places."""
     xg = exact(F.col("shot_xg"))
-    found = feed_events(spark, sf).filter(F.col("type") == conform.SHOT)
+    found = Feed(spark, sf).events.filter(F.col("type") == conform.SHOT)
     return found.select("index", *[rounded(xg, n).alias(f"xg{n}") for n in (2, 3, 4)])

@@ -40,11 +40,11 @@ def items(shots: DataFrame, cards: DataFrame) -> DataFrame:
     )
 
 
-def sequence(shots: DataFrame, cards: DataFrame) -> DataFrame:
+def number_items(joined: DataFrame) -> DataFrame:
     """Items of every match numbered from 0 by minute, shots first on equal minutes."""
-    joined = items(shots, cards).withColumn("_kind", (F.col("item_type") == RED_ITEM).cast("int"))
+    kinds = joined.withColumn("_kind", (F.col("item_type") == RED_ITEM).cast("int"))
     order = [F.col("minute"), F.col("_kind"), F.col("index")]
-    placed = numbered(joined, ["match_id"], order, [*order[:2], block(order[2])], "_n")
+    placed = numbered(kinds, ["match_id"], order, [*order[:2], block(order[2])], "_n")
     return placed.withColumn("highlight_idx", (F.col("_n") - 1).cast("int")).drop("_n", "_kind")
 
 
