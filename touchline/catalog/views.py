@@ -98,7 +98,11 @@ def away_number(match):
     return (match % 25 + 1 + F.floor(match / 25) % 24) % 25
 
 
-def feed_base(events: DataFrame) -> DataFrame:
+# The events table as a stream has to declare it.
+EVENT_BASE = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def feed_base(events: DataFrame, *extra: str) -> DataFrame:
     """Columns of the events table from which all feed columns are made."""
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint")
     return events.select(
@@ -107,10 +111,11 @@ def feed_base(events: DataFrame) -> DataFrame:
         ((F.hour("ts") % 6) * 60 + F.minute("ts")).cast("int").alias("minute"),
         "user_id", "value", "event_type",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
+        *extra,
     )
 
 
-def feed_columns(base: DataFrame) -> DataFrame:
+def feed_columns(base: DataFrame, *extra: str) -> DataFrame:
     k, user, match, kind = F.col("k"), F.col("user_id"), F.col("match_id"), F.col("event_type")
     shot, swap, error = kind == "purchase", kind == "signup", kind == "error"
     least = F.when(match % 3 == 0, 20).when(match % 3 == 1, 100).otherwise(200)
@@ -141,6 +146,7 @@ def feed_columns(base: DataFrame) -> DataFrame:
         F.when(swap, player_name(user + 2)).alias("substitution_replacement"),
         F.when(misconduct, card).alias("bad_behaviour_card"),
         F.when(foul, card).alias("foul_committed_card"),
+        *extra,
     )
 
 

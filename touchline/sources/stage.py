@@ -31,9 +31,14 @@ def stage_folder(spark: SparkSession) -> str:
     return _local_folder.name
 
 
+def stage_run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run of a step."""
+    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = stage_run_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
