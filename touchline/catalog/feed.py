@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from touchline import dimensions
 from touchline.catalog import views
-from touchline.operators import briefs, lineups, lookup, sequence, shots
+from touchline.operators import briefs, lineups, lookup, prompts, sequence, shots
 from touchline.sources.stage import stage
 
 # The last round of the events is 30.
@@ -102,9 +102,13 @@ class Feed:
         return stage(self.shots_once, "shots")
 
     @cached_property
-    def key_events(self) -> DataFrame:
+    def key_events_once(self) -> DataFrame:
         return shots.key_events(self.events, self.fixtures)
 
+    @cached_property
+    def key_events(self) -> DataFrame:
+        return stage(self.key_events_once, "key_events")
+
     @cached_property
     def reds(self) -> DataFrame:
         return self.key_events.filter(F.col("event_type") == "red_card")
@@ -136,6 +140,10 @@ class Feed:
     def scorer_lists(self) -> DataFrame:
         return briefs.scorer_lists(self.scorers)
 
+    @cached_property
+    def hook_players(self) -> DataFrame:
+        return briefs.hook_players(self.scorers, prompts.HOOK_SCORERS)
+
     @cached_property
     def briefs_once(self) -> DataFrame:
         return briefs.match_briefs(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.catalog.registry import register
 from touchline.catalog.views import SEASON, raw_results, sql, v_match, v_season
 from touchline.operators import conform, report, results, standings
+from touchline.sources.stage import stage
 from touchline.sources.tables import nested_by_round
 
 # One all-text results file in SQL; the seeds are those of ``raw_results``.
@@ -150,7 +151,8 @@ def _league(body: str) -> str:
 
 
 def _table(spark: SparkSession, sf: str) -> DataFrame:
-    return standings.standings(v_season(spark, sf), SEASON)
+    tallies = stage(standings.round_tallies(v_season(spark, sf), SEASON), "tallies")
+    return standings.standings_of(tallies, SEASON)
 
 
 @register(_league("SELECT * FROM league"))

@@ -178,7 +178,7 @@ def shot_map(spark: SparkSession, sf: str) -> DataFrame:
 @register(sql("SELECT * FROM keyev", "keyev"))
 def key_events(spark: SparkSession, sf: str) -> DataFrame:
     """Goals and dismissals of all matches."""
-    return Feed(spark, sf).key_events
+    return Feed(spark, sf).key_events_once
 
 
 @register(sql(
@@ -187,7 +187,7 @@ def key_events(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def key_events_listed(spark: SparkSession, sf: str) -> DataFrame:
     """Goals and dismissals as listed for a match."""
-    return shots.key_event_view(Feed(spark, sf).key_events)
+    return shots.key_event_view(Feed(spark, sf).key_events_once)
 
 
 @register(sql("SELECT match_id, index, player, team_fd, minute, score_at FROM scored", "scored"))
@@ -223,7 +223,7 @@ def goal_minutes(spark: SparkSession, sf: str) -> DataFrame:
         times = F.when(m["goals"] > 1, F.concat(F.lit("x"), m["goals"].cast("string"))).otherwise("")
         return F.concat(m["minute"].cast("string"), times)
 
-    listed = sequence.goal_minutes(Feed(spark, sf).key_events)
+    listed = sequence.goal_minutes(Feed(spark, sf).key_events_once)
     return listed.withColumn("minutes", F.array_join(F.transform("minutes", text), ","))
 
 
@@ -356,7 +356,7 @@ def shot_context(spark: SparkSession, sf: str) -> DataFrame:
 @register(sql("SELECT event_type, count(*) AS events FROM keyev GROUP BY event_type", "keyev"))
 def key_event_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Goals and dismissals in total."""
-    return report.key_event_totals(Feed(spark, sf).key_events)
+    return report.key_event_totals(Feed(spark, sf).key_events_once)
 
 
 @register(sql(
@@ -389,7 +389,7 @@ def build_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.row_counts({
         "events": feed.events,
         "shots": feed.shots_once,
-        "key_events": feed.key_events,
+        "key_events": feed.key_events_once,
         "players": feed.lines,
     })
 

@@ -486,7 +486,7 @@ BLOCKS["hooked"] = (["briefs", "lists"], f"""
 def story_hooks(spark: SparkSession, sf: str) -> DataFrame:
     """Story hooks per match and side."""
     feed = Feed(spark, sf)
-    return prompts.hooks(feed.briefs_once, feed.scorer_lists).select("match_id", "focus", "hooks")
+    return prompts.hooks(feed.briefs_once, feed.hook_players).select("match_id", "focus", "hooks")
 
 
 @register(sql(
@@ -615,5 +615,5 @@ def prompt_table(spark: SparkSession, sf: str) -> DataFrame:
     highlights = prompts.highlight_prompts(
         texts, facts, feed.cries, dimensions.language_notes(spark)
     )
-    intros = prompts.intro_prompts(prompts.hooks(feed.briefs, feed.scorer_lists), "The Threes", "Third Park")
+    intros = prompts.intro_prompts(prompts.hooks(feed.briefs, feed.hook_players), "The Threes", "Third Park")
     return prompts.prompt_table(intros, highlights, facts)

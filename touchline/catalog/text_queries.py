@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.catalog.feed import Feed
 from touchline.catalog.registry import register
-from touchline.catalog.views import BLOCKS, EVENT_BASE, feed_base, feed_columns, sql, table, v_match
+from touchline.catalog.views import BLOCKS, COLUMNS, feed_base, feed_columns, sql, table, v_match
 from touchline.functions import names, text
 from touchline.operators import conform, incremental, voice
 from touchline.sources.stage import stage_run_folder
@@ -211,7 +211,7 @@ def texts_of_team(spark: SparkSession, sf: str) -> DataFrame:
 def key_events_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Goals and dismissals found by a stream over the event files."""
     folder = stage_run_folder(spark, "key_events_stream")
-    arriving = spark.readStream.schema(EVENT_BASE).option("pathGlobFilter", "events.parquet").parquet(sf)
+    arriving = spark.readStream.schema(COLUMNS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
     timed = arriving.withColumn("ts", F.col("ts").cast("timestamp"))
     base = feed_base(timed, "ts")
     found = key_event_stream(feed_columns(base, "ts"), time_col="ts", delay="1 hour").drop("ts")

@@ -17,8 +17,20 @@ FOCUS = "Team 3"
 SEASON = ["season"]
 
 
+# Columns in use, declared so that opening a table needs no job of its own.
+COLUMNS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, text string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 # --- matches out of orders -------------------------------------------------
@@ -58,10 +70,10 @@ def raw_results(spark: SparkSession, sf: str) -> DataFrame:
     mid = F.col("match_id")
 
     def number(seed: int, limit: int):
-        value = ((mid * seed) % limit).cast("string")
-        return F.when(mid % 17 == seed % 17, "N/A").when(mid % 19 == seed % 19, "").when(
-            mid % 23 == seed % 23, "x"
-        ).otherwise(value)
+        return (
+            F.when(mid % 17 == seed, "N/A").when(mid % 19 == seed, "").when(mid % 23 == seed, "x")
+            .otherwise(((mid * seed) % limit).cast("string"))
+        )
 
     columns = {
         "Date": F.when(mid % 29 == 0, "31/02/1999").otherwise(F.date_format("match_date", "dd/MM/yyyy")),
@@ -75,11 +87,8 @@ def raw_results(spark: SparkSession, sf: str) -> DataFrame:
     ):
         columns[name] = number(seed, 4 + seed)
     for seed, name in enumerate(["PSH", "PSD", "PSA"], 5):
-        odds = (mid * seed) % 900 + 101
-        columns[name] = F.when(mid % 13 == seed, "N/A").otherwise(
-            F.concat(F.floor(odds / 100).cast("string"), F.lit("."),
-                     F.lpad((odds % 100).cast("string"), 2, "0"))
-        )
+        odds = ((mid * seed) % 900 + 101) / 100
+        columns[name] = F.when(mid % 13 == seed, "N/A").otherwise(odds.cast("string"))
     return m.select("match_id", "season", *[c.alias(n) for n, c in columns.items()])
 
 
@@ -98,10 +107,6 @@ def away_number(match):
     return (match % 25 + 1 + F.floor(match / 25) % 24) % 25
 
 
-# The events table as a stream has to declare it.
-EVENT_BASE = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
-
 def feed_base(events: DataFrame, *extra: str) -> DataFrame:
     """Columns of the events table from which all feed columns are made."""
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint")

@@ -10,8 +10,7 @@ MISSING = "—"
 
 def lenient_double(value: Column) -> Column:
     """Number or null; text NaN counts as missing."""
-    number = value.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
 
 
 def safe_int(value: Column) -> Column:

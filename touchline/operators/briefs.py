@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.numbers import exact, rounded
-from touchline.operators.joins import attach
+from touchline.operators.joins import attach, top_by
 from touchline.operators.running import block, running
 from touchline.operators.sequence import RED_ITEM
 
@@ -79,6 +79,25 @@ def scorer_lists(scorers: DataFrame) -> DataFrame:
     )
 
 
+def hook_players(scorers: DataFrame, first: int) -> DataFrame:
+    """The players named in hooks: one hat-trick and one brace player, the first scorers.
+
+    Least values and a top list that is cut before the shuffle; nothing grows
+    with the scorers of a match.
+    """
+    side = ["match_id", "team_fd"]
+    multiple = scorers.groupBy(*side).agg(
+        F.min(F.when(F.col("is_hattrick"), F.col("player"))).alias("hattrick_player"),
+        F.min(F.when(F.col("is_brace"), F.col("player"))).alias("brace_player"),
+    )
+    leading = top_by(scorers, side, [F.asc("first_at"), F.asc("player")], first)
+    named = F.sort_array(F.collect_list(F.struct("first_at", "player")))
+    firsts = leading.groupBy(*side).agg(
+        F.transform(named, lambda s: s["player"]).alias("first_scorers")
+    )
+    return multiple.join(firsts, side).withColumnRenamed("team_fd", "focus")
+
+
 def scorer_context(scorers: DataFrame, stats: DataFrame) -> DataFrame:
     """Season statistics of the scorers of a side as a map by player.
 

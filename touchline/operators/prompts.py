@@ -189,25 +189,24 @@ def _present(entries: list[tuple[Column, Column]]) -> Column:
 # --- match -----------------------------------------------------------------
 
 
-def hooks(briefs: DataFrame, lists: DataFrame) -> DataFrame:
-    """Up to four story hooks per match and side, in order of weight."""
-    joined = briefs.join(lists, SIDE, "left")
+def hooks(briefs: DataFrame, players: DataFrame) -> DataFrame:
+    """Up to four story hooks per match and side, in order of weight.
+
+    ``players`` is what ``hook_players`` makes of the scorers.
+    """
+    joined = briefs.join(players, SIDE, "left")
     flag = F.col
-    first_hattrick = F.get("hattricks", F.lit(0))
-    first_brace = F.get("brace_scorers", F.lit(0))
-    shown = F.transform(F.slice("scorers", 1, HOOK_SCORERS), short_surname)
+    three, two = flag("hattrick_player"), flag("brace_player")
+    shown = F.transform("first_scorers", short_surname)
     entries = [
         (flag("final_round"), fill(HOOKS["final_round"])),
         (flag("title_round"), fill(HOOKS["title_round"])),
         (flag("ran_riot"), fill(HOOKS["ran_riot"])),
         (~flag("ran_riot") & flag("tight_game"), fill(HOOKS["tight_game"])),
         (flag("has_red_card"), fill(HOOKS["has_red_card"])),
-        (first_hattrick.isNotNull(), fill(HOOKS["hattrick"], hattrick_player=first_hattrick)),
-        (
-            first_hattrick.isNull() & first_brace.isNotNull(),
-            fill(HOOKS["brace"], brace_player=first_brace),
-        ),
-        (F.size("scorers") > 0, fill(HOOKS["scorers"], scorer_names=F.array_join(shown, ", "))),
+        (three.isNotNull(), fill(HOOKS["hattrick"])),
+        (three.isNull() & two.isNotNull(), fill(HOOKS["brace"])),
+        (F.size("first_scorers") > 0, fill(HOOKS["scorers"], scorer_names=F.array_join(shown, ", "))),
     ]
     found = _present(entries)
     text = F.array_join(F.slice(found, 1, HOOK_LIMIT), "; ")

@@ -31,12 +31,12 @@ def type_results(raw: DataFrame, odds: tuple[str, str, str] = ODDS_COLUMNS, extr
     ``extra`` names further columns to carry along, such as a season label.
     """
     chosen = raw.select(*extra, *IDENTITY_COLUMNS, *COUNT_COLUMNS, *odds)
-    cleaned = {
-        c: blank_to_null(F.col(c)) for c in (*IDENTITY_COLUMNS, *COUNT_COLUMNS, *odds)
-    }
-    named = chosen.withColumns(cleaned).withColumnsRenamed(dict(zip(odds, ODDS_NAMES)))
-    numbers = {c: lenient_double(F.col(c)) for c in (*COUNT_COLUMNS, *ODDS_NAMES)}
-    return named.withColumns({**numbers, "Date": lenient_date(F.col("Date"))})
+    named = chosen.withColumnsRenamed(dict(zip(odds, ODDS_NAMES)))
+    # The null tokens are no numbers and no dates, so the lenient casts cover them.
+    typed = {c: lenient_double(F.col(c)) for c in (*COUNT_COLUMNS, *ODDS_NAMES)}
+    typed["Date"] = lenient_date(F.col("Date"))
+    typed |= {c: blank_to_null(F.col(c)) for c in ("HomeTeam", "AwayTeam")}
+    return named.withColumns(typed)
 
 
 def result_code(home_goals: Column, away_goals: Column) -> Column:

@@ -102,7 +102,12 @@ def standings(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     A team is listed from its first match on, and a round only when it was
     played.  Level teams keep the order in which they first appeared.
     """
-    return rank_teams(cumulative(round_tallies(matches, keys), keys), keys)
+    return standings_of(round_tallies(matches, keys), keys)
+
+
+def standings_of(tallies: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``standings`` out of stored round tallies, which are read more than once."""
+    return rank_teams(cumulative(tallies, keys), keys)
 
 
 def final_standings(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
