@@ -59,9 +59,7 @@ def v_match(spark: SparkSession, sf: str) -> DataFrame:
 
 def v_season(spark: SparkSession, sf: str) -> DataFrame:
     """Matches with their round and their place in the list."""
-    rounds = conform.assign_round(v_match(spark, sf), SEASON, "match_date", "match_id")
-    return rounds.withColumn("place", F.datediff("match_date", F.lit("1990-01-01").cast("date"))
-                             * F.lit(1_000_000_000_000) + F.col("match_id"))
+    return conform.assign_round(v_match(spark, sf), SEASON, "match_date", "match_id")
 
 
 def raw_results(spark: SparkSession, sf: str) -> DataFrame:

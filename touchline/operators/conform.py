@@ -113,14 +113,13 @@ def assign_round(
 ) -> DataFrame:
     """Round = place in date order // matches per round + 1, within ``keys``.
 
-    ``row_col`` is the row number in the source; it settles equal dates.
+    ``row_col`` is the row number in the source; it settles equal dates.  The
+    place itself, counted from 1, stays in the column ``place``.
     """
     order = [F.col(date_col), F.col(row_col)]
     chunks = [F.col(date_col), block(F.col(row_col))]
-    placed = numbered(df, keys, order, chunks, "_place")
-    return placed.withColumn(
-        "round", (F.floor((F.col("_place") - 1) / per_round) + 1).cast("int")
-    ).drop("_place")
+    placed = numbered(df, keys, order, chunks, "place")
+    return placed.withColumn("round", (F.floor((F.col("place") - 1) / per_round) + 1).cast("int"))
 
 
 def rounds_available(df: DataFrame, keys: Sequence[str]) -> DataFrame:

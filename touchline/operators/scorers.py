@@ -57,7 +57,7 @@ def actual(goals: DataFrame, keys: Sequence[str], last_rounds: DataFrame) -> Dat
             *keys, "player",
             F.explode(F.sequence("_first", "last_round")).alias("round"),
             F.lit(0).cast("bigint").alias("_goals"),
-            F.lit(None).cast("bigint").alias("_seen"),
+            F.lit(None).cast(per_round.schema["_seen"].dataType).alias("_seen"),
         )
     )
     dense = (

@@ -7,39 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.operators.conform import assign_round
-from touchline.operators.results import COUNT_COLUMNS, IDENTITY_COLUMNS, ODDS_COLUMNS, type_results
-
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, with the file and the place of a row in it.
 
-    Files have a header line; columns are taken by name, in any order.  The
-    row number is made of the file's block and the line within the read, so
-    it grows along a file and is the same on every read.
+    Files that are read together have the same header line; another one is an
+    error and not a silent shift.  The row number grows along a file.  It depends on how the files are cut into
+    tasks, so it is to be stored before it is used to sort.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    raw = reader.csv(path)
     return raw.withColumn("source_file", F.col("_metadata.file_name")).withColumn(
         "source_row", F.monotonically_increasing_id()
     )
 
 
-def load_results(
-    spark: SparkSession,
-    path: str,
-    keys: Sequence[str] = ("source_file",),
-    odds: tuple[str, str, str] = ODDS_COLUMNS,
-    per_round: int = 9,
-) -> DataFrame:
-    """Typed results of any number of season files with round numbers.
-
-    ``keys`` names what makes a season; the file by default.
-    """
-    typed = type_results(read_raw(spark, path), odds, extra=(*keys, "source_row"))
-    return assign_round(
-        typed.withColumn("_day", F.coalesce("Date", F.lit("1900-01-01").cast("date"))),
-        keys, "_day", "source_row", per_round,
-    ).drop("_day")
+def dated(typed: DataFrame) -> DataFrame:
+    """A day to sort by: matches without a readable date come first."""
+    return typed.withColumn("_day", F.coalesce("Date", F.lit("0001-01-01").cast("date")))
 
 
 def as_matches(results: DataFrame, keys: Sequence[str] = ("source_file",)) -> DataFrame:
@@ -51,8 +36,5 @@ def as_matches(results: DataFrame, keys: Sequence[str] = ("source_file",)) -> Da
         F.col("AwayTeam").alias("away_team"),
         F.col("FTHG").cast("int").alias("home_goals"),
         F.col("FTAG").cast("int").alias("away_goals"),
-        F.col("source_row").alias("place"),
+        "place",
     )
-
-
-__all__ = ["read_raw", "load_results", "as_matches", "IDENTITY_COLUMNS", "COUNT_COLUMNS"]

@@ -49,13 +49,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_by_round(df: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
-    """Store a table by season and round, so that a reader of one round opens one folder.
+    """Store a table by round, so that a reader of one round opens one folder.
 
-    Rows are brought together by folder first, else every task would write a
-    file into every folder.
+    The folders are the rounds of all seasons together, a few dozen.  Rows are
+    brought into ranges of round and season first, so that a task writes into
+    few folders and a round with many seasons is spread over several tasks.
     """
-    folders = [*keys, "round"]
-    write_table(df.repartition(*[F.col(c) for c in folders]), path, folders)
+    ranged = df.repartitionByRange("round", *keys)
+    ranged.write.mode("overwrite").partitionBy("round").parquet(path)
 
 
 def read_round(spark: SparkSession, path: str, round_: int) -> DataFrame:
