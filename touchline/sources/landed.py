@@ -102,8 +102,13 @@ def read_events(spark: SparkSession, path: str | Sequence[str], multi_line: bool
 
 
 def rejects(raw: DataFrame) -> DataFrame:
-    """Files and texts that could not be read, for a table of their own."""
-    return raw.filter(F.col(CORRUPT).isNotNull()).select("file_name", F.col(CORRUPT).alias("record"))
+    """Files and texts that could not be read, for a table of their own.
+
+    The first field goes along, as Spark does not read the record text alone.
+    """
+    return raw.filter(F.col(CORRUPT).isNotNull()).select(
+        "file_name", F.col(raw.columns[0]).cast("string").alias("first_field"), F.col(CORRUPT).alias("record")
+    )
 
 
 def stream_events(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
