@@ -129,6 +129,10 @@ class Feed:
 
     @cached_property
     def lines(self) -> DataFrame:
+        return stage(self.lines_once, "lines")
+
+    @cached_property
+    def lines_once(self) -> DataFrame:
         places = lineups.positions(raw_lineups(self.events))
         return lineups.player_lines(self.events, self.fixtures, places)
 

@@ -283,7 +283,7 @@ def first_positions(spark: SparkSession, sf: str) -> DataFrame:
 @register(sql("SELECT * FROM lines", "lines"))
 def player_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Minutes, xG, goals and position per match and player."""
-    return Feed(spark, sf).lines
+    return Feed(spark, sf).lines_once
 
 
 @register(sql(
@@ -294,7 +294,7 @@ def player_lines(spark: SparkSession, sf: str) -> DataFrame:
 def match_players(spark: SparkSession, sf: str) -> DataFrame:
     """One row per player with minutes, the one with most of them."""
     columns = ["match_id", "team_fd", "player_name", "minutes", "xg", "goals"]
-    return lineups.match_players(Feed(spark, sf).lines).select(*columns)
+    return lineups.match_players(Feed(spark, sf).lines_once).select(*columns)
 
 
 _PLACE = "CASE position WHEN 'Goalkeeper' THEN 0 WHEN 'Centre Back' THEN 1 WHEN 'Left Wing' THEN 6 ELSE 99 END"
@@ -390,7 +390,7 @@ def build_report(spark: SparkSession, sf: str) -> DataFrame:
         "events": feed.events,
         "shots": feed.shots_once,
         "key_events": feed.key_events_once,
-        "players": feed.lines,
+        "players": feed.lines_once,
     })
 
 

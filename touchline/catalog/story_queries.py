@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline import dimensions
 from touchline.catalog.registry import register
 from touchline.catalog import shot_queries  # noqa: F401  (its SQL blocks are used here)
-from touchline.catalog.feed import Feed, users
+from touchline.catalog.feed import Feed
 from touchline.catalog.views import BLOCKS, FOCUS, SEASON, player_name, sql, table, v_match, v_season
 from touchline.functions.names import fold_accents, initials, surname
 from touchline.operators import briefs, enrich, lookup, prompts, scorers, shots
@@ -242,8 +242,9 @@ def last_rounds(spark: SparkSession, sf: str) -> DataFrame:
 
 def estimates_of(spark: SparkSession, sf: str) -> DataFrame:
     u = F.col("user_id")
-    listed = users(spark, sf).select(
-        F.lit(2024).alias("season"),
+    active = table(spark, sf, "events").select("user_id", F.year("ts").alias("season")).distinct()
+    listed = active.select(
+        "season",
         (u + 1).cast("int").alias("ord"),
         player_name(u).alias("name"),
         F.concat(F.lit("Team "), (u % 5).cast("string")).alias("team"),

@@ -198,7 +198,7 @@ def fixtures(spark: SparkSession, sf: str) -> DataFrame:
     named = found.select(
         "match_id",
         F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("match_id") / 4).cast("int")).alias("match_date"),
-        F.lit(2024).alias("season"),
+        F.year(F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("match_id") / 4).cast("int"))).alias("season"),
         (F.floor(F.col("match_id") / 4) + 1).cast("int").alias("match_round"),
         F.concat(F.lit("NATION_"), home_number(F.col("match_id")).cast("string")).alias("home_team"),
         F.concat(F.lit("NATION_"), away_number(F.col("match_id")).cast("string")).alias("away_team"),

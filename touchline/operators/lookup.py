@@ -23,11 +23,7 @@ def same_pair(left: Sequence[Column], right: Sequence[Column]) -> Column:
 
 def latest_per_pair(rows: DataFrame, values: Sequence[str], order: str) -> DataFrame:
     """One row per ordered pair; of several the last listed counts."""
-    return (
-        rows.groupBy(*PAIR)
-        .agg(F.max_by(F.struct(*values), order).alias("_v"))
-        .select(*PAIR, "_v.*")
-    )
+    return rows.groupBy(*PAIR).agg(*[F.max_by(v, order).alias(v) for v in values])
 
 
 def pair_values(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions.text import score_text
 from touchline.operators.joins import attach
 from touchline.operators.running import block, numbered
 
@@ -19,16 +20,25 @@ def score_at(cards: DataFrame, shots: DataFrame) -> DataFrame:
     window over a match sees its distinct minutes and not its events.
     """
     keys = ["match_id", "minute"]
-    marks = shots.groupBy(*keys).agg(F.max_by("score_after", "index").alias("_score"))
-    asked = cards.select(*keys).distinct().withColumn("_score", F.lit(None).cast("string"))
-    minutes = marks.unionByName(asked).groupBy(*keys).agg(F.max("_score").alias("_score"))
+    marks = shots.groupBy(*keys).agg(
+        F.max_by("home_score", "index").alias("_home"), F.max_by("away_score", "index").alias("_away")
+    )
+    none = F.lit(None).cast("int")
+    asked = cards.select(*keys).distinct().withColumns({"_home": none, "_away": none})
+    minutes = marks.unionByName(asked).groupBy(*keys).agg(
+        F.max("_home").alias("_home"), F.max("_away").alias("_away")
+    )
     so_far = (
         Window.partitionBy("match_id").orderBy("minute")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+
+    def last(side: str) -> Column:
+        return F.last(side, ignorenulls=True).over(so_far)
+
     scores = minutes.select(
         *keys,
-        F.coalesce(F.last("_score", ignorenulls=True).over(so_far), F.lit(NO_SCORE)).alias("score_at"),
+        F.coalesce(score_text(last("_home"), last("_away")), F.lit(NO_SCORE)).alias("score_at"),
     )
     return attach(cards, scores, keys, ["index"])
 
