@@ -22,10 +22,10 @@ def players_seen(events: DataFrame) -> DataFrame:
 
 
 def player_totals(events: DataFrame) -> DataFrame:
-    """Everything counted per match, team and player in one pass over the events.
+    """Everything counted per match, team and player in one aggregation.
 
-    A substitution is seen twice: by the player leaving and by the one coming
-    on.  All parts are plain aggregates, so they are combined before the
+    Substitutions are added a second time under the player coming on, which
+    the scan finds by event type.  All parts are plain aggregates, so they are combined before the
     shuffle and a crowded match sends one row per player and task.
     """
     kind = F.col("type")
@@ -33,24 +33,22 @@ def player_totals(events: DataFrame) -> DataFrame:
     card = conform.card_of(F.col("bad_behaviour_card"), F.col("foul_committed_card"))
     sent_off = kind.isin(conform.MISCONDUCT, conform.FOUL) & conform.is_red(card)
     goal = (kind == conform.SHOT) & conform.is_goal(F.col("shot_outcome"))
-    roles = F.array(
-        F.struct(F.col("player").alias("who"), F.lit(True).alias("acts")),
-        F.struct(
-            F.when(swap, F.col("substitution_replacement")).alias("who"), F.lit(False).alias("acts")
-        ),
-    )
-    parts = events.select(
-        "match_id", "team", "index", "minute", "shot_xg",
+    counted = events.select(
+        "match_id", "team", "index", "minute", "shot_xg", "player", "substitution_replacement",
         swap.alias("swap"), sent_off.alias("sent_off"), goal.alias("goal"),
         (kind == conform.SHOT).alias("shot"),
-        F.inline(F.filter(roles, lambda r: r["who"].isNotNull())),
     )
+    acting = counted.filter(F.col("player").isNotNull()).withColumn("acts", F.lit(True))
+    coming = counted.filter(F.col("swap") & F.col("substitution_replacement").isNotNull()).withColumns(
+        {"player": F.col("substitution_replacement"), "acts": F.lit(False)}
+    )
+    parts = acting.unionByName(coming)
     acts = F.col("acts")
 
     def first_minute(condition: Column) -> Column:
         return F.min_by(F.when(condition, F.col("minute")), F.when(condition, F.col("index")))
 
-    return parts.groupBy("match_id", "team", F.col("who").alias("player")).agg(
+    return parts.groupBy(*PLAYER).agg(
         F.bool_or("acts").alias("acts"),
         first_minute(acts & F.col("swap")).alias("off"),
         first_minute(~acts).alias("on"),

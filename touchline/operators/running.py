@@ -20,8 +20,8 @@ CHUNK = 65_536
 
 
 def block(index: Column, width: int = CHUNK) -> Column:
-    """Chunk number of a dense row number."""
-    return F.floor(index / width)
+    """First number of the chunk a dense row number falls into."""
+    return index - F.pmod(index, F.lit(width))
 
 
 def running(
