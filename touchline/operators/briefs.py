@@ -6,12 +6,11 @@ club right after the match totals are formed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.numbers import exact, rounded
+from touchline.functions.numbers import rounded
 from touchline.operators.joins import attach, top_by
 from touchline.operators.running import block, running
 from touchline.operators.sequence import RED_ITEM

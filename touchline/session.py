@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Call sites are not recorded for every column: plans here are made of
+    # thousands of column calls, and each record is a round trip to the JVM.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
