@@ -33,8 +33,8 @@ def texts_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def assets_of(texts: DataFrame) -> DataFrame:
-    """Audio that exists already: that of every third match."""
-    have = texts.filter(F.col("match_id") % 3 == 0)
+    """Audio that exists already: that of the intros and of the first highlights."""
+    have = texts.filter(F.col("highlight_idx") <= 0)
     return have.select(names.asset_name(*[
         F.col(c) for c in ("home_fd", "away_fd", "content_type", "highlight_idx")
     ]).alias("file_name"))
@@ -48,7 +48,7 @@ BLOCKS["said"] = ([], """
   FROM conversations""")
 BLOCKS["status"] = (["said"], """
   SELECT *, CASE WHEN commentary IS NULL OR length(commentary) < 5 OR commentary = 'nan' THEN 'unusable'
-                 WHEN match_id % 3 = 0 THEN 'present' ELSE 'queued' END AS status,
+                 WHEN highlight_idx <= 0 THEN 'present' ELSE 'queued' END AS status,
          replace(replace(home_fd, ' ', '_'), '''', '') || '_vs_' || replace(replace(away_fd, ' ', '_'), '''', '') || '_'
            || content_type || '_' || highlight_idx || '.mp3' AS file_name
   FROM said""")
@@ -92,12 +92,12 @@ def usage_chars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(sql(
-    """SELECT match_id, content_type, highlight_idx FROM said WHERE match_id % 3 = 0 AND match_id % 5 <> 0""", "said",
+    "SELECT match_id, content_type, highlight_idx FROM said WHERE highlight_idx <= 0", "said",
 ))
 def available_audio(spark: SparkSession, sf: str) -> DataFrame:
     """Audio per match, read back from file names."""
     texts = texts_of(spark, sf)
-    matches = texts.filter(F.col("match_id") % 5 != 0).select("match_id", "home_fd", "away_fd").distinct()
+    matches = texts.select("match_id", "home_fd", "away_fd").distinct()
     return voice.available_audio(matches, assets_of(texts))
 
 
@@ -164,23 +164,23 @@ def display_names(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- incremental work ------------------------------------------------------
 
-@register(sql("SELECT match_id, season FROM v_match WHERE match_id % 3 = 0", "v_match"))
+@register(sql("SELECT match_id, season FROM v_match WHERE home_goals <= away_goals", "v_match"))
 def unseen_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches that were not worked on yet."""
+    """Matches that were not worked on yet, where the home wins were."""
     matches = v_match(spark, sf).select("match_id", "season")
-    done = v_match(spark, sf).filter(F.col("match_id") % 3 > 0)
+    done = v_match(spark, sf).filter(F.col("home_goals") > F.col("away_goals"))
     return incremental.unseen(matches, done, ["match_id"])
 
 
 @register(sql(
-    """SELECT match_id, season, CASE WHEN match_id % 5 = 0 THEN 'new' ELSE 'old' END AS version FROM v_match
-       WHERE match_id % 3 > 0 OR match_id % 5 = 0""", "v_match",
+    """SELECT match_id, season, CASE WHEN home_goals <= away_goals THEN 'new' ELSE 'old' END AS version
+       FROM v_match""", "v_match",
 ))
 def regenerate(spark: SparkSession, sf: str) -> DataFrame:
-    """New rows in the place of old rows with the same key, the others kept."""
-    rows = v_match(spark, sf).select("match_id", "season")
-    old = rows.filter(F.col("match_id") % 3 > 0).withColumn("version", F.lit("old"))
-    new = rows.filter(F.col("match_id") % 5 == 0).withColumn("version", F.lit("new"))
+    """Home wins and draws exist; draws are made again and away wins are new."""
+    rows, lead = v_match(spark, sf), F.col("home_goals") - F.col("away_goals")
+    old = rows.filter(lead >= 0).select("match_id", "season", F.lit("old").alias("version"))
+    new = rows.filter(lead <= 0).select("match_id", "season", F.lit("new").alias("version"))
     return incremental.regenerate(old, new, ["match_id"])
 
 

@@ -6,7 +6,6 @@ club right after the match totals are formed.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
