@@ -146,16 +146,15 @@ def score_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(sql(
     """SELECT f.match_id, CAST(coalesce(a.round, b.round, 0) AS INTEGER) AS match_round FROM fixtures f
-       LEFT JOIN (SELECT home_team, away_team, arg_max(round, match_id) AS round FROM v_season WHERE season = 1995 GROUP BY ALL) a
+       LEFT JOIN (SELECT home_team, away_team, arg_max(round, match_id) AS round FROM v_season GROUP BY ALL) a
          ON a.home_team = f.home_team AND a.away_team = f.away_team
-       LEFT JOIN (SELECT home_team, away_team, arg_max(round, match_id) AS round FROM v_season WHERE season = 1995 GROUP BY ALL) b
+       LEFT JOIN (SELECT home_team, away_team, arg_max(round, match_id) AS round FROM v_season GROUP BY ALL) b
          ON b.home_team = f.away_team AND b.away_team = f.home_team""", "fixtures", "v_season",
 ))
 def round_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Round of a match by pair in the results of a season, 0 when it is not there."""
+    """Round of a match by pair in the results, the last meeting counts; 0 without one."""
     feed = Feed(spark, sf)
-    season = v_season(spark, sf).filter(F.col("season") == 1995)
-    named = season.withColumnsRenamed({"home_team": "home_fd", "away_team": "away_fd"})
+    named = v_season(spark, sf).withColumnsRenamed({"home_team": "home_fd", "away_team": "away_fd"})
     per_pair = lookup.latest_per_pair(named, ["round"], "match_id")
     asked = feed.feed_named.drop("match_round")
     return lookup.pair_round(asked, per_pair, ["match_id"]).select("match_id", "match_round")
@@ -163,7 +162,7 @@ def round_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(sql(
     """SELECT w.home_team AS want_home, w.away_team AS want_away, k.match_id, k.index, k.event_type, k.minute
-       FROM (SELECT DISTINCT home_team, away_team FROM v_match WHERE home_team < 'NATION_15') w
+       FROM (SELECT DISTINCT home_team, away_team FROM v_match) w
        JOIN (SELECT e.*, f.home_team, f.away_team FROM keyev e JOIN fixtures f USING (match_id)) k
          ON (k.home_team = w.home_team AND k.away_team = w.away_team)
          OR (k.home_team = w.away_team AND k.away_team = w.home_team
@@ -175,7 +174,7 @@ def rows_of_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Key events of wanted pairs: exact order first, the reverse only without it."""
     feed = Feed(spark, sf)
     events = shots.key_events(feed.events, feed.feed_named)
-    wanted = v_match(spark, sf).filter(F.col("home_team") < "NATION_15").select(
+    wanted = v_match(spark, sf).select(
         F.col("home_team").alias("home_fd"), F.col("away_team").alias("away_fd")
     ).distinct()
     found = lookup.rows_of_pairs(events, wanted, ["index"])
@@ -183,17 +182,18 @@ def rows_of_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(sql(
-    """SELECT match_id FROM fixtures f WHERE EXISTS (SELECT 1 FROM v_match m WHERE m.season = 1998 AND m.home_goals = 4
+    """SELECT match_id FROM fixtures f WHERE EXISTS (SELECT 1 FROM v_match m WHERE m.home_goals = f.match_round % 5
        AND ((m.home_team = f.home_team AND m.away_team = f.away_team) OR (m.home_team = f.away_team AND m.away_team = f.home_team)))""",
     "fixtures", "v_match",
 ))
 def either_orientation(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches whose pair also met in some high-scoring match of a season, in either order."""
-    met = v_match(spark, sf).filter((F.col("season") == 1998) & (F.col("home_goals") == 4)).select(
-        F.col("home_team").alias("_h"), F.col("away_team").alias("_a")
-    )
+    """Matches whose pair met in the results, in either order, with a given number of home goals."""
+    met = v_match(spark, sf).select(
+        F.col("home_team").alias("_h"), F.col("away_team").alias("_a"), "home_goals"
+    ).distinct()
     pair = lookup.same_pair([F.col("home_fd"), F.col("away_fd")], [F.col("_h"), F.col("_a")])
-    return Feed(spark, sf).feed_named.join(met, pair, "left_semi").select("match_id")
+    wanted = pair & (F.col("match_round") % 5 == F.col("home_goals"))
+    return Feed(spark, sf).feed_named.join(met, wanted, "left_semi").select("match_id")
 
 
 @register(sql(
