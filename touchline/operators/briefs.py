@@ -205,18 +205,20 @@ def goal_numbers(sequenced: DataFrame) -> DataFrame:
     """
     kind = F.when(F.col("item_type") == RED_ITEM, 1).otherwise(0)
     order = [F.col("minute"), kind, F.col("index")]
-    named = sequenced.withColumn("_who", F.coalesce("player", F.lit("")))
+    named = sequenced.withColumns(
+        {"_who": F.coalesce("player", F.lit("")), "_team": F.coalesce("team_fd", F.lit(""))}
+    )
     scored = F.coalesce(F.col("is_goal"), F.lit(0))
     numbered = running(
         named,
-        keys=["match_id", "team_fd", "_who"],
+        keys=["match_id", "_team", "_who"],
         order_by=order,
         chunk_by=[*order[:2], block(order[2])],
         sums={"_n": scored.cast("bigint")},
     )
     return numbered.withColumn(
         "goal_number", F.when(scored == 1, F.col("_n")).otherwise(1).cast("int")
-    ).drop("_n", "_who")
+    ).drop("_n", "_who", "_team")
 
 
 def highlight_briefs(

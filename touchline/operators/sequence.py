@@ -44,10 +44,15 @@ def score_at(cards: DataFrame, shots: DataFrame) -> DataFrame:
 
 
 def items(shots: DataFrame, cards: DataFrame) -> DataFrame:
-    """Shots and scored cards under one set of columns, told apart by ``item_type``."""
-    return shots.withColumn("item_type", F.lit(SHOT_ITEM)).unionByName(
+    """Shots and scored cards under one set of columns, told apart by ``item_type``.
+
+    An item without a minute counts as one of minute 0, as the sequence has to
+    be a total order.
+    """
+    both = shots.withColumn("item_type", F.lit(SHOT_ITEM)).unionByName(
         cards.withColumn("item_type", F.lit(RED_ITEM)), allowMissingColumns=True
     )
+    return both.withColumn("minute", F.coalesce("minute", F.lit(0)))
 
 
 def number_items(joined: DataFrame) -> DataFrame:
