@@ -6,6 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a stored table of ids that are sent to every task at most.
+SMALL_ROWS = 1_000_000
+
+
+def small(stored: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A stored table of a few ids per row, marked for broadcast if a count finds it small.
+
+    Beyond that the join shuffles; the rows that come out are the same.
+    """
+    return F.broadcast(stored) if stored.count() <= rows else stored
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

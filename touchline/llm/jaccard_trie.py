@@ -15,7 +15,8 @@ other.
    per n-gram decides it; no pair is formed.
 2. Order by rising document frequency among what is left.  N-grams of one set
    alone come first and use up the prefix; sets that have too many of them are
-   ruled out, the others keep cnt - o(a) + 1 n-grams.
+   ruled out, the others keep cnt - o(a) + 1 of their cnt shared n-grams.  From
+   here on a set is its shared n-grams and its whole size.
 3. Sets that share one of those are joined into families (components).
 4. Inside a family only sets of the same or the next size class (a factor 1/t)
    meet, in blocks of at most BLOCK sets.  One side of a block pair stands in
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from touchline.llm.components import components, local_components
-from touchline.llm.groups import flat, runs
+from touchline.llm.components import components, local_components, settle
+from touchline.llm.groups import flat, runs, small
 from touchline.llm.text import SPACED, lists, mix, slices, words_of
 from touchline.sources.stage import stage
 
@@ -235,8 +236,9 @@ def _links(num: int, den: int):
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """(gram, df) of the n-grams that at least two rows have."""
-    return stage(rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), name)
+    """(gram, df) of the n-grams that two classes have at least; df counts rows."""
+    counted = rows.groupBy("gram").agg(F.count("*").alias("df"), F.min("cls").alias("low"), F.max("cls").alias("high"))
+    return stage(counted.filter("low < high").select("gram", "df"), name)
 
 
 def jaccard_join(
@@ -267,27 +269,36 @@ def jaccard_join(
         "classes",
     )
     overlap = f"((n * {num} + {den - 1}) div {den})"
-    # Step 1: one set per class, n-grams of the longer prefix.
-    reps = classes.select("cls", F.col("rep").alias("doc"))
-    prefixes = sets.join(reps, ["doc", "cls"], "left_semi").select("doc", "cls", "n", F.explode("grams").alias("gram"))
+    # Step 1.  All copies of a class have the same n-grams, so the rows of a
+    # class are its own n-grams times its copies.
+    prefixes = sets.filter("n > 0 and doc is not null").select("cls", F.explode("grams").alias("gram"))
+    counts = prefixes.join(_shared(prefixes, "prefix_grams").select("gram"), "gram", "left_semi").groupBy("cls").agg(
+        F.count("*").alias("seen"),
+    )
     seen = stage(
-        prefixes.join(_shared(prefixes, "prefix_grams"), "gram").groupBy("doc", "cls", "n")
-        .agg(F.count("*").alias("seen")).filter(F.expr(f"seen >= greatest(1, {overlap} div 10)")).select("doc", "cls"),
+        counts.join(classes, "cls").filter(F.expr(f"seen >= copies * greatest(1, {overlap} div 10)"))
+        .select(F.col("rep").alias("doc"), "cls"),
         "seen",
     )
-    # Step 2: whole sets of the rest, made again from the texts.
+    # Step 2: whole sets of the rest, made again from the texts.  Rows that
+    # repeat a class change no order of n-grams and no list.
+    few = small(seen)
     whole = stage(
-        source.join(seen, "doc", "left_semi").mapInArrow(_sets(n_words, num, den, whole=True), SETS)
-        .join(seen, ["doc", "cls"], "left_semi").dropDuplicates(["cls"]).drop("doc"),
+        source.join(few.select("doc"), "doc", "left_semi")
+        .mapInArrow(_sets(n_words, num, den, whole=True), SETS).join(few, ["doc", "cls"], "left_semi").drop("doc"),
         "whole_sets",
     )
-    grams = whole.select("cls", "n", F.explode("grams").alias("gram"))
+    grams = whole.select("cls", F.explode("grams").alias("gram"))
+    common = stage(
+        grams.join(_shared(grams, "grams"), "gram").groupBy("cls")
+        .agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("df", "gram")))).alias("by_df"))
+        .join(classes.select("cls", "n", "copies"), "cls").filter(F.size("by_df") >= F.expr(overlap))
+        .select("cls", "n", "copies", F.col("by_df.gram").alias("grams")),
+        "common_sets",
+    )
     rare = stage(
-        grams.join(_shared(grams, "grams"), "gram").groupBy("cls", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("by_df"))
-        .filter(F.size("by_df") >= F.expr(overlap))
-        .select("cls", F.explode(
-            F.slice("by_df", F.lit(1), (F.size("by_df") - F.expr(overlap) + 1).cast("int"))["gram"],
+        common.select("cls", F.explode(
+            F.slice("grams", F.lit(1), (F.size("grams") - F.expr(overlap) + 1).cast("int")),
         ).alias("gram")),
         "rare_grams",
     )
@@ -297,7 +308,7 @@ def jaccard_join(
     families = stage(components(edges).select(F.col("node").alias("cls"), F.col("component").alias("family")), "families")
     # Step 4: size classes, blocks, block pairs.
     step = math.log(den / num) * 1.0001 if den > num else 1.0
-    sized = whole.select("cls", "n", F.size("grams").alias("length")).join(families, "cls").withColumn(
+    sized = common.select("cls", "n", F.size("grams").alias("length")).join(families, "cls").withColumn(
         "level", F.floor(F.log("n") / step).cast("int"),
     )
     counts = sized.groupBy("family", "level").agg(F.count("*").alias("rows"), F.sum("length").alias("grams"))
@@ -326,24 +337,12 @@ def jaccard_join(
     spread = placed.select("cls", F.explode(meets).alias("m"), "family").select(
         "cls", F.xxhash64("family", "m.low", "m.high", "m.i", "m.j").alias("unit"), F.col("m.role").alias("role"),
     )
-    units = spread.join(whole, "cls").join(classes.select("cls", "copies"), "cls")
     hits = stage(
-        units.select("unit", "role", "cls", "n", "copies", "grams").repartition("unit").sortWithinPartitions("unit")
-        .mapInArrow(_links(num, den), HITS),
+        spread.join(common, "cls").select("unit", "role", "cls", "n", "copies", "grams")
+        .repartition("unit").sortWithinPartitions("unit").mapInArrow(_links(num, den), HITS),
         "hits",
     )
-    links = hits.groupBy("cls").agg(F.sum("links").alias("links"))
-    found = components(hits.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
-    found = found.join(classes.select("cls", "rep"), "cls")
-    least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = found.join(least, "component").join(links, "cls").select("cls", "component_id", "links")
-    facts = stage(
-        classes.join(linked, "cls", "left").select(
-            "cls", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id"),
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        ),
-        "facts",
-    )
+    facts = settle(classes, hits)
     known = F.col("doc").isNotNull() & (F.col("n") > 0)
     return sets.select("doc", "n", "cls").join(facts, "cls", "left").select(
         "doc", F.col("n").alias("n_shingles"),
