@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, connect
+from touchline import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")

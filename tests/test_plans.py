@@ -2,15 +2,17 @@
 
 import csv
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from touchline import dimensions, schemas
+from touchline.catalog.views import COLUMNS, feed_base, feed_columns, feed_events
 from touchline.operators.results import COUNT_COLUMNS, IDENTITY_COLUMNS, ODDS_COLUMNS
 from touchline.plans import detail, ingest, narration, season
 from touchline.sources import assets, landed, tables
-from touchline.streaming.key_events import key_event_stream
+from touchline.streaming.key_events import key_event_stream, store_key_events
 from touchline.streaming.unseen import append_unseen
 
 HOME, AWAY = "Bayer Leverkusen", "VfB Stuttgart"
@@ -212,12 +214,8 @@ def test_key_event_stream_drops_repeats(spark, landing, tmp_path, rows):
     arriving.mkdir()
 
     def run():
-        found = key_event_stream(landed.stream_events(spark, str(arriving)), delay="30 days").drop("arrived_at")
-        query = (
-            found.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-            .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
+        stream = landed.stream_events(spark, str(arriving))
+        store_key_events(stream, str(tmp_path / "out"), "progress", folder=str(tmp_path)).awaitTermination()
         return rows(spark.read.parquet(str(tmp_path / "out")), "match_id", "index", "event_type")
 
     (arriving / "1.json").write_text((landing / "events/1.json").read_text())
@@ -236,9 +234,29 @@ def test_unseen_stream_adds_each_match_once(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).parquet(source)
-        append_unseen(stream, target, ["match_id"], f"unseen-{tmp_path.name}").awaitTermination()
+        append_unseen(stream, target, ["match_id", "v"], f"unseen-{tmp_path.name}").awaitTermination()
         return sorted(map(tuple, spark.read.parquet(target).collect()))
 
     assert run() == [(1, "a"), (1, "b")]
-    spark.createDataFrame([(1, "late"), (2, "c")], schema).write.mode("append").parquet(source)
-    assert run() == [(1, "a"), (1, "b"), (2, "c")]
+    late = [(1, "late"), (2, "c"), (2, "c"), (1, "a")]
+    spark.createDataFrame(late, schema).write.mode("append").parquet(source)
+    assert run() == [(1, "a"), (1, "b"), (1, "late"), (2, "c")]
+
+
+@pytest.mark.parametrize("form", ["file", "folder", "one file per batch", "shuffled"])
+def test_key_event_stream_loses_nothing(spark, tmp_path, rows, form):
+    """The same rows for one file, for part files, for many batches, and in any order."""
+    given = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    if form == "file":
+        shutil.copy("/root/testdata/sf0.001/events.parquet", tmp_path / "events.parquet")
+    else:
+        order = F.xxhash64("event_id") if form == "shuffled" else F.col("ts")
+        given.repartitionByRange(6, order).write.parquet(str(tmp_path / "events.parquet"))
+    files = spark.readStream.schema(COLUMNS["events"])
+    if form in ("one file per batch", "shuffled"):
+        files = files.option("maxFilesPerTrigger", 1)
+    stream = feed_columns(feed_base(files.parquet(f"{tmp_path}/events.parquet*")))
+    store_key_events(stream, str(tmp_path / "out"), "progress", folder=str(tmp_path)).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    want = key_event_stream(feed_events(spark, "/root/testdata/sf0.001"))
+    assert rows(found) == rows(want) and found.count() > 50

@@ -390,10 +390,12 @@ def test_hattrick_suppresses_brace(spark, match):
     ]
     hooked = prompts.hooks(facts, briefs.hook_players(scorers_, 3)).first()["hooks"]
     assert hooked == (
-        "This completes an entire Bundesliga season unbeaten — a historic first in German football; "
+        "This completes a whole season unbeaten for A; A finish the season as champions; "
         "p completed a hat-trick; goals from p"
     )
-    assert prompts.match_labels(facts).first()["labels"].startswith("Easy win — won by 4+ · Final matchday")
+    labels = prompts.match_labels(facts, briefs.hook_players(scorers_, 3)).first()["labels"]
+    assert labels.startswith("Easy win — won by 4+ · Final matchday · Unbeaten all season · Champions")
+    assert labels.endswith("Hat-trick — p")
 
 
 def test_no_goals_at_all(spark, match):
@@ -404,6 +406,30 @@ def test_no_goals_at_all(spark, match):
     assert (red["early_red"], red["is_opponent_red"], red["score_at"]) == (True, True, "0-0")
 
 
+def test_texts_are_true_of_the_side(spark, match):
+    """No loser is told of a win, no winning goal that did not win, no unbeaten team that lost."""
+    e = events(spark, goal(minute=5), goal(minute=20, team="B", player="b"), goal(minute=30), goal(minute=50, team="B", player="b"),
+               goal(minute=88, team="B", player="b"))
+    facts, flags, scorers_ = story(spark, match, e, round_=34)
+    hooks = {r["focus"]: r["hooks"] for r in prompts.hooks(facts, briefs.hook_players(scorers_, 3)).collect()}
+    assert "unbeaten" not in hooks["A"] and "champions" not in hooks["A"] and "unbeaten" in hooks["B"]
+    texts = prompts.highlight_texts(flags).collect()
+    for r in texts:
+        won = r["goals_for"] > r["goals_against"]
+        assert won or not any(x in r["moment"] for x in ("to win", f"{r['focus']} win", "the winner", "recover to win"))
+        assert "the winner" not in r["moment"] or r["is_winner"]
+    mine = {(r["focus"], r["index"]): r["moment"] for r in texts}
+    assert mine["A", 1].startswith("opening goal") and mine["A", 3] == "A go ahead, score now 2-1"
+    assert mine["A", 5] == "B lead 2-3 — A lose 2-3" and mine["B", 5].startswith("the winner")
+    assert mine["A", 4] == "B equalise — A go on to lose 2-3" and mine["B", 3] == "A take the lead — but B recover to win 3-2"
+
+
+def test_tight_games_are_won_and_lost(spark, match):
+    facts, _, scorers_ = story(spark, match, events(spark, goal(minute=5)))
+    hooks = {r["focus"]: r["hooks"] for r in prompts.hooks(facts, briefs.hook_players(scorers_, 3)).collect()}
+    assert hooks["A"].startswith("A tight 1-0 win") and hooks["B"].startswith("A tight 0-1 defeat")
+
+
 def test_hooks_default(spark, match):
     facts, _, scorers_ = story(spark, match, events(spark, miss()))
     row = prompts.hooks(facts, briefs.hook_players(scorers_, 3)).filter("focus = 'B'").first()

@@ -15,9 +15,6 @@ from touchline.catalog import views
 from touchline.operators import briefs, lineups, lookup, prompts, sequence, shots
 from touchline.sources.stage import stage
 
-# The last round of the events is 30.
-FINAL_ROUND = 30
-
 
 def raw_lineups(events: DataFrame) -> DataFrame:
     """Line-ups in feed form, out of the players with a pass."""
@@ -85,7 +82,7 @@ class Feed:
 
     @cached_property
     def fixtures(self) -> DataFrame:
-        return views.fixtures(self.spark, self.sf)
+        return stage(views.fixtures(self.spark, self.sf), "fixtures")
 
     @cached_property
     def feed_named(self) -> DataFrame:
@@ -152,7 +149,7 @@ class Feed:
     def briefs_once(self) -> DataFrame:
         return briefs.match_briefs(
             self.shots, self.reds, self.fixtures, self.match_xg, self.fixtures,
-            focus_team=self.focus_team, final_round=FINAL_ROUND,
+            focus_team=self.focus_team, final_round=None,
         )
 
     @cached_property

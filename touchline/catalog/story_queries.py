@@ -11,7 +11,8 @@ from touchline import dimensions
 from touchline.catalog.registry import register
 from touchline.catalog import shot_queries  # noqa: F401  (its SQL blocks are used here)
 from touchline.catalog.feed import Feed
-from touchline.catalog.views import BLOCKS, FOCUS, SEASON, player_name, sql, table, v_match, v_season
+from touchline.catalog.views import BLOCKS, FOCUS, SEASON, player_name, raw_results, sql, table, v_match, v_season
+from touchline.functions.numbers import safe_int
 from touchline.functions.names import fold_accents, initials, surname
 from touchline.operators import briefs, enrich, lookup, prompts, scorers, shots
 from touchline.operators.joins import attach
@@ -128,20 +129,20 @@ def xg_pair_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(sql(
-    """SELECT match_id, CASE WHEN home_fd IN ('NATION_3') AND home_xg IS NOT NULL AND away_xg IS NOT NULL
-       THEN printf('%.2f xG %.2f', home_xg, away_xg) ELSE 'HT ' || home_goals || ' – ' || away_goals END AS score_line
-       FROM (SELECT * EXCLUDE (home_xg, away_xg), floor(home_xg * 10) / 10 AS home_xg, floor(away_xg * 10) / 10 AS away_xg
-             FROM pair_xg)""", "pair_xg",
+    """SELECT x.match_id, CASE WHEN x.home_fd = 'NATION_3' AND x.home_xg IS NOT NULL AND x.away_xg IS NOT NULL
+       THEN CAST(CAST(round(CAST(x.home_xg AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) AS VARCHAR) || ' xG '
+            || CAST(CAST(round(CAST(x.away_xg AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) AS VARCHAR)
+       ELSE 'HT ' || CASE WHEN match_id % 17 = 3 OR match_id % 19 = 3 OR match_id % 23 = 3 THEN 0 ELSE match_id * 3 % 7 END
+         || ' – ' || CASE WHEN match_id % 17 = 4 OR match_id % 19 = 4 OR match_id % 23 = 4 THEN 0 ELSE match_id * 4 % 8 END END AS score_line
+       FROM pair_xg x""", "pair_xg",
 ))
 def score_lines(spark: SparkSession, sf: str) -> DataFrame:
     """xG line of the focus team's matches, half-time line of the others."""
-    def tenths(c: str):
-        return F.floor(F.col(c) * 10) / 10
-
-    line = score_line(
-        F.col("home_fd") == "NATION_3", tenths("home_xg"), tenths("away_xg"), F.col("home_goals"), F.col("away_goals")
+    half = raw_results(spark, sf).select(
+        "match_id", safe_int(F.col("HTHG").try_cast("double")).alias("_hh"), safe_int(F.col("HTAG").try_cast("double")).alias("_ha"),
     )
-    return pair_xg_of(spark, sf).select("match_id", line.alias("score_line"))
+    line = score_line(F.col("home_fd") == "NATION_3", F.col("home_xg"), F.col("away_xg"), F.col("_hh"), F.col("_ha"))
+    return pair_xg_of(spark, sf).join(half, "match_id").select("match_id", line.alias("score_line"))
 
 
 @register(sql(
@@ -313,14 +314,18 @@ BLOCKS["briefs"] = (["totals", "keyev", "xg"], """
          CAST(round(CAST(other_xg AS DECIMAL(28,6)), 2) AS DOUBLE) AS xg_against,
          d > 0 AS won, d = 0 AS drew, d < 0 AS lost, d >= 4 AS easy_win, d >= 5 AS ran_riot,
          t <= 3 AND abs(d) = 1 AS tight_game, t >= 5 AND abs(d) = 1 AS action_packed, d = 0 AND t >= 4 AS entertaining_draw,
-         match_round = 30 AS final_round, match_round = 29 AS title_round,
+         match_round = (SELECT max(match_round) FROM fixtures) AS final_round, match_round = 29 AS title_round,
          coalesce(own_xg < CAST(0.3 AS DOUBLE), false) AS few_chances, coalesce(own_xg > other_xg * 2, false) AS dominant_xg,
-         red_minute IS NOT NULL AS has_red_card, red_card_team, red_minute, late_drama, early_goal
-  FROM (SELECT b.*, goals_for - goals_against AS d, goals_for + goals_against AS t,
+         red_minute IS NOT NULL AS has_red_card, red_card_team, red_minute, late_drama, early_goal, unbeaten, champion
+  FROM (SELECT b.*, s.losses = 0 AS unbeaten, s.place = 1 AS champion, goals_for - goals_against AS d, goals_for + goals_against AS t,
                CASE WHEN focus_home THEN x.home_xg ELSE x.away_xg END AS own_xg,
                CASE WHEN focus_home THEN x.away_xg ELSE x.home_xg END AS other_xg,
                r.team AS red_card_team, r.minute AS red_minute
         FROM totals b LEFT JOIN xg x ON x.match_id = b.match_id
+        JOIN (SELECT focus, count(*) FILTER (goals_for < goals_against) AS losses, row_number() OVER (ORDER BY
+                sum(CASE WHEN goals_for > goals_against THEN 3 WHEN goals_for = goals_against THEN 1 ELSE 0 END) DESC,
+                sum(goals_for - goals_against) DESC, sum(goals_for) DESC, focus) AS place
+              FROM totals GROUP BY focus) s ON s.focus = b.focus
         LEFT JOIN (SELECT match_id, arg_min(team_fd, index) AS team, arg_min(minute, index) AS minute FROM keyev
                    WHERE event_type = 'red_card' GROUP BY match_id) r ON r.match_id = b.match_id)""")
 BLOCKS["scorers"] = (["shots"], """
@@ -383,7 +388,7 @@ def scorer_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(sql(
-    """SELECT s.match_id, s.team_fd AS focus, s.player, t.goals, t.apps, t.note FROM scorers s JOIN stats t USING (player)
+    """SELECT s.match_id, s.team_fd AS focus, s.player, t.goals, t.assists, t.apps, t.xg, t.note FROM scorers s JOIN stats t USING (player)
        WHERE t.stats_name IS NOT NULL""", "scorers", "stats",
 ))
 def scorer_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -391,7 +396,7 @@ def scorer_context(spark: SparkSession, sf: str) -> DataFrame:
     feed = Feed(spark, sf)
     context = briefs.scorer_context(briefs.scorers_of_match(feed.shots_once), feed.stats)
     listed = context.select("match_id", "focus", F.explode("scorer_context").alias("player", "_s"))
-    return listed.select("match_id", "focus", "player", "_s.goals", "_s.apps", "_s.note")
+    return listed.select("match_id", "focus", "player", "_s.*")
 
 
 BLOCKS["numbered"] = (["seq"], """
@@ -463,21 +468,27 @@ def sql_list(entries: list[tuple[str, str]]) -> str:
     return f"list_filter([{cases}], lambda t: t IS NOT NULL)"
 
 
-_H = prompts.HOOKS
+# The phrases are written out, so that the SQL does not share them with the code.
 _HOOK_LIST = sql_list([
-    ("final_round", sql_fill(_H["final_round"])),
-    ("title_round", sql_fill(_H["title_round"])),
-    ("ran_riot", sql_fill(_H["ran_riot"])),
-    ("NOT ran_riot AND tight_game", sql_fill(_H["tight_game"])),
-    ("has_red_card", sql_fill(_H["has_red_card"])),
-    ("len(hattricks) > 0", sql_fill(_H["hattrick"], hattrick_player="hattricks[1]")),
-    ("coalesce(len(hattricks), 0) = 0 AND len(brace_scorers) > 0", sql_fill(_H["brace"], brace_player="brace_scorers[1]")),
+    ("final_round AND unbeaten", sql_fill("This completes a whole season unbeaten for {focus}")),
+    ("final_round AND champion", sql_fill("{focus} finish the season as champions")),
+    ("title_round AND champion AND goals_for > goals_against",
+     sql_fill("A win in the title run-in for {focus}, champions in the end")),
+    ("goals_for - goals_against >= 5", sql_fill("{focus} ran riot, winning {goals_for}-{goals_against}")),
+    ("goals_for - goals_against = 1 AND goals_for + goals_against <= 3",
+     sql_fill("A tight {goals_for}-{goals_against} win — {focus} had to dig deep")),
+    ("goals_against - goals_for = 1 AND goals_for + goals_against <= 3",
+     sql_fill("A tight {goals_for}-{goals_against} defeat — {focus} fell just short")),
+    ("red_minute IS NOT NULL", sql_fill("{red_card_team} reduced to ten men")),
+    ("len(hattricks) > 0", sql_fill("{first} completed a hat-trick", first="hattricks[1]")),
+    ("coalesce(len(hattricks), 0) = 0 AND len(brace_scorers) > 0",
+     sql_fill("{first} bagged a brace", first="brace_scorers[1]")),
     ("len(scorers) > 0", sql_fill(
-        _H["scorers"],
-        scorer_names="array_to_string(list_transform(scorers[1:3], lambda s: split_part(s, ' ', 2)), ', ')")),
+        "goals from {names}",
+        names="array_to_string(list_transform(scorers[1:3], lambda s: split_part(s, ' ', 2)), ', ')")),
 ])
 BLOCKS["hooked"] = (["briefs", "lists"], f"""
-  SELECT * EXCLUDE (found), CASE WHEN len(found) = 0 THEN {sql_fill(_H["none"])}
+  SELECT * EXCLUDE (found), CASE WHEN len(found) = 0 THEN {sql_fill("{focus} {goals_for}-{goals_against} {opponent}")}
          ELSE array_to_string(found[1:4], '; ') END AS hooks
   FROM (SELECT b.*, l.scorers, l.brace_scorers, l.hattricks, {_HOOK_LIST} AS found
         FROM briefs b LEFT JOIN lists l USING (match_id, focus))""")
@@ -490,14 +501,36 @@ def story_hooks(spark: SparkSession, sf: str) -> DataFrame:
     return prompts.hooks(feed.briefs_once, feed.hook_players).select("match_id", "focus", "hooks")
 
 
+_MATCH_LABELS = [
+    ("goals_for - goals_against >= 5", "Ran riot — won by 5+"),
+    ("goals_for - goals_against >= 4", "Easy win — won by 4+"),
+    ("goals_for + goals_against >= 5 AND abs(goals_for - goals_against) = 1", "Action-packed — 5+ goals, tight margin"),
+    ("goals_for + goals_against <= 3 AND abs(goals_for - goals_against) = 1", "Tight game — few goals, 1-goal margin"),
+    ("goals_for = goals_against AND goals_for >= 2", "Entertaining draw — 4+ goals"),
+    ("goals_for = goals_against AND goals_for < 2", "Goalless or tight draw"),
+    ("final_round", "Final matchday"),
+    ("final_round AND unbeaten", "Unbeaten all season"),
+    ("final_round AND champion", "Champions"),
+    ("title_round AND champion AND goals_for > goals_against", "Title run-in of the later champions"),
+    ("late_drama", "Late drama — goal after 85'"),
+    ("early_goal", "Early goal — before 15'"),
+    ("red_minute IS NOT NULL", "Red card — {red_card_team} (min {red_minute})"),
+    ("few_chances", "Very few chances — xG only {xg_for}"),
+    ("dominant_xg", "Dominated xG: {xg_for} vs {xg_against}"),
+    ("len(hattricks) > 0", "Hat-trick — {three}"),
+    ("coalesce(len(hattricks), 0) = 0 AND len(brace_scorers) > 0", "Brace — {two}"),
+]
+
+
 @register(sql(
     "SELECT match_id, focus, array_to_string(" + sql_list([
-        ("drew AND NOT entertaining_draw" if n == "dull_draw" else n, sql_fill(t)) for n, t in prompts.MATCH_LABELS
-    ]) + ", ' · ') AS labels FROM briefs", "briefs",
+        (c, sql_fill(t, three="hattricks[1]", two="brace_scorers[1]")) for c, t in _MATCH_LABELS
+    ]) + ", ' · ') AS labels FROM hooked", "hooked",
 ))
 def match_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of a brief for review."""
-    return prompts.match_labels(Feed(spark, sf).briefs_once)
+    feed = Feed(spark, sf)
+    return prompts.match_labels(feed.briefs_once, feed.hook_players)
 
 
 @register(sql(
@@ -510,27 +543,71 @@ def highlight_labels(spark: SparkSession, sf: str) -> DataFrame:
     return prompts.highlight_labels(Feed(spark, sf).highlight_briefs)
 
 
-_JSON_COLUMNS = [
-    "match_id", "focus", "opponent", "focus_home", "goals_for", "goals_against", "won", "drew", "lost", "red_card_team",
-    "red_minute", "scorers",
+_BRIEF = [
+    "match_id", "focus", "opponent", "focus_home", "home_fd", "away_fd", "match_round", "goals_for", "goals_against",
+    "xg_for", "xg_against", "won", "drew", "lost", "easy_win", "ran_riot", "tight_game", "action_packed",
+    "entertaining_draw", "final_round", "title_round", "few_chances", "dominant_xg", "has_red_card", "red_card_team",
+    "red_minute", "late_drama", "early_goal", "unbeaten", "champion",
+]
+_LISTS = ["scorers", "brace_scorers", "hattricks"]
+_HIGHLIGHT = [
+    "match_id", "focus", "highlight_idx", "item_type", "index", "player", "team_fd", "minute", "opponent", "focus_home",
+    "goals_for", "goals_against", "own_score", "other_score", "score_after", "score_at", "xg", "outcome", "x", "y",
+    "is_goal", "is_own_goal_for", "is_goal_against", "is_opener", "is_equaliser", "is_go_ahead", "is_consolation",
+    "opp_equaliser", "opp_takes_lead", "is_winner", "is_low_xg_goal", "is_high_xg_goal", "is_screamer", "late_drama",
+    "brace", "hattrick_complete", "hattrick_extend", "is_top_scorer", "is_key_player", "early_red", "is_opponent_red",
+    "season_goals", "season_apps", "player_note",
 ]
 
 
-@register(sql(
-    "SELECT match_id, focus, CAST(to_json(struct_pack(" + ", ".join(f"{c} := {c}" for c in _JSON_COLUMNS)
-    + ")) AS VARCHAR) AS brief FROM hooked", "hooked",
-))
+def _packed(columns: list[str]) -> str:
+    return "CAST(to_json(struct_pack(" + ", ".join(f"{c} := {c}" for c in columns) + ")) AS VARCHAR) AS brief"
+
+
+@register(sql(f"SELECT match_id, focus, {_packed([*_BRIEF, *_LISTS])} FROM hooked", "hooked"))
 def brief_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Briefs as JSON."""
+    """Whole briefs of matches as JSON."""
     feed = Feed(spark, sf)
-    lists = feed.scorer_lists.select("match_id", "focus", "scorers")
-    chosen = feed.briefs_once.select(*[c for c in _JSON_COLUMNS if c != "scorers"])
-    return prompts.brief_json(chosen, lists)
+    return prompts.brief_json(feed.briefs_once.select(*_BRIEF), feed.scorer_lists.select("match_id", "focus", *_LISTS))
+
+
+@register(sql(f"SELECT match_id, focus, highlight_idx, {_packed(_HIGHLIGHT)} FROM hb", "hb"))
+def highlight_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole briefs of highlights as JSON."""
+    return prompts.highlight_json(Feed(spark, sf).highlight_briefs.select(*_HIGHLIGHT))
 
 
 _ORDINAL = """minute || CASE WHEN minute % 100 BETWEEN 11 AND 13 THEN 'th' WHEN minute % 10 = 1 THEN 'st'
   WHEN minute % 10 = 2 THEN 'nd' WHEN minute % 10 = 3 THEN 'rd' ELSE 'th' END"""
-_M = prompts.MOMENTS
+_FINAL = "{goals_for}-{goals_against}"
+
+
+def _outcome(won: str, drew: str, lost: str) -> str:
+    return (f"CASE WHEN goals_for > goals_against THEN {sql_fill(won)} "
+            f"WHEN goals_for = goals_against THEN {sql_fill(drew)} ELSE {sql_fill(lost)} END")
+
+
+_PULLED = f"{{opponent}} pull one back, making it {{score_after}} — it ends {_FINAL}"
+_MOMENT = f"""CASE
+  WHEN is_own_goal_for THEN CASE
+    WHEN own_score = 1 AND other_score = 0 THEN {sql_fill("opening goal — {focus} take the lead")}
+    WHEN own_score > other_score + 1 THEN {sql_fill("making it {score_after} — {focus} in command")}
+    WHEN own_score = other_score + 1 AND own_score = goals_for AND other_score = goals_against
+      THEN {sql_fill(f"the winner — final score will be {_FINAL}")}
+    WHEN own_score = other_score + 1 THEN {sql_fill("{focus} go ahead, score now {score_after}")}
+    ELSE {sql_fill("goal for {focus}, score now {score_after}")} END
+  WHEN is_goal_against THEN CASE
+    WHEN other_score > own_score THEN {_outcome(
+        f"{{opponent}} take the lead — but {{focus}} recover to win {_FINAL}",
+        f"{{opponent}} take the lead — but {{focus}} recover to draw {_FINAL}",
+        f"{{opponent}} lead {{score_after}} — {{focus}} lose {_FINAL}")}
+    WHEN other_score = own_score THEN {_outcome(
+        f"{{opponent}} equalise — but {{focus}} go on to win {_FINAL}",
+        f"{{opponent}} equalise — it ends {_FINAL}",
+        f"{{opponent}} equalise — {{focus}} go on to lose {_FINAL}")}
+    ELSE {_outcome(
+        f"consolation for {{opponent}}, making it {{score_after}} — {{focus}} win {_FINAL}", _PULLED, _PULLED)} END
+  ELSE {sql_fill("chance for {team_fd}, score {score_after}")} END"""
 _BEFORE_OWN = "own_score - CASE WHEN is_own_goal_for THEN 1 ELSE 0 END"
 _BEFORE_OTHER = "other_score - CASE WHEN is_goal_against THEN 1 ELSE 0 END"
 _INSIDE = "coalesce(nullif(x, 0.0), 90.0) > 84"
@@ -543,13 +620,7 @@ BLOCKS["texts"] = (["hb"], f"""
   SELECT *, {_ORDINAL} AS minute_text,
     CASE WHEN item_type = 'shot' THEN CASE WHEN focus_home THEN ({_BEFORE_OWN}) || '-' || ({_BEFORE_OTHER})
       ELSE ({_BEFORE_OTHER}) || '-' || ({_BEFORE_OWN}) END END AS score_before,
-    CASE WHEN item_type = 'shot' THEN CASE
-      WHEN is_own_goal_for THEN CASE WHEN own_score = 1 AND other_score = 0 THEN {sql_fill(_M["opening"])}
-        WHEN own_score > other_score + 1 THEN {sql_fill(_M["in_command"])}
-        WHEN own_score = other_score + 1 THEN {sql_fill(_M["winner"])} ELSE {sql_fill(_M["goal"])} END
-      WHEN is_goal_against THEN CASE WHEN other_score > own_score THEN {sql_fill(_M["opponent_leads"])}
-        WHEN other_score = own_score THEN {sql_fill(_M["opponent_levels"])} ELSE {sql_fill(_M["consolation"])} END
-      ELSE {sql_fill(_M["chance"])} END END AS moment,
+    CASE WHEN item_type = 'shot' THEN {_MOMENT} END AS moment,
     CASE WHEN item_type = 'shot' THEN CASE {_QUALITY} WHEN {_INSIDE} THEN {sql_text(_LEAST_IN)}
       ELSE {sql_text(_LEAST_OUT)} END END AS shot_quality,
     CASE {" ".join(f"WHEN {n} THEN {sql_text(t)}" for n, t in prompts.MILESTONES.items())} ELSE '' END AS milestone,
@@ -596,10 +667,13 @@ BLOCKS["prompts"] = (["hooked", "texts", "cries", "context"], f"""
              context_line=f"CASE WHEN shot_context <> '' THEN {sql_fill(_FRAME.context_line)} END",
              language_line=f"CASE WHEN language_note IS NULL THEN {sql_fill(prompts.LANGUAGE_LINE)} "
                            f"ELSE {sql_fill(prompts.LANGUAGE_LINE_NOTED)} END",
-             ending=f"CASE WHEN final_round THEN {sql_text(prompts.ENDING_FINAL)} ELSE {sql_text(prompts.ENDING)} END",
+             ending="CASE WHEN final_round AND unbeaten THEN " + sql_fill(
+                 "IMPORTANT: This is the final matchday of the unbeaten season of {focus}. "
+                 "End with [reverently] and a single phrase about history.")
+             + " ELSE " + sql_text("End with [warmly] and a brief reflection connecting to the season story.") + " END",
              opponent_line=f"CASE WHEN team_fd <> focus THEN {sql_text(_FRAME.opponent_line)} END",
          )} END
-  FROM (SELECT t.*, b.home_fd, b.away_fd, b.match_round, b.final_round, c.goal_cry, x.shot_context,
+  FROM (SELECT t.*, b.home_fd, b.away_fd, b.match_round, b.final_round, b.unbeaten, c.goal_cry, x.shot_context,
                CASE c.goal_language {_LANGUAGE_NOTES} END AS language_note
         FROM texts t JOIN briefs b ON b.match_id = t.match_id AND b.focus = t.focus
         LEFT JOIN cries c ON c.player = t.player

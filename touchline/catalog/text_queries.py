@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from touchline.catalog.feed import Feed
 from touchline.catalog.registry import register
-from touchline.catalog.views import BLOCKS, COLUMNS, feed_base, feed_columns, sql, table, v_match
+from touchline.catalog.views import BLOCKS, COLUMNS, feed_base, feed_columns, feed_events, sql, table, v_match
 from touchline.functions import names, text
 from touchline.operators import conform, incremental, voice
 from touchline.sources.stage import stage_run_folder
-from touchline.streaming.key_events import key_event_stream
+from touchline.streaming.key_events import store_key_events
+from touchline.streaming.unseen import append_unseen
 
 # --- texts out of conversations --------------------------------------------
 
@@ -202,6 +203,11 @@ def texts_of_team(spark: SparkSession, sf: str) -> DataFrame:
 # --- stream ----------------------------------------------------------------
 
 
+def event_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as they arrive: one file, or the part files of a folder."""
+    return feed_columns(feed_base(spark.readStream.schema(COLUMNS["events"]).parquet(f"{sf}/events.parquet*")))
+
+
 @register(sql(
     """SELECT match_id, event_id, index, CASE WHEN type = 'Shot' THEN 'goal' ELSE 'red_card' END AS event_type, player, team,
        minute, CASE WHEN type = 'Shot' THEN CAST(round(CAST(shot_xg AS DECIMAL(18,6)), 3) AS DOUBLE) ELSE 0.0 END AS xg
@@ -211,16 +217,17 @@ def texts_of_team(spark: SparkSession, sf: str) -> DataFrame:
 def key_events_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Goals and dismissals found by a stream over the event files."""
     folder = stage_run_folder(spark, "key_events_stream")
-    arriving = spark.readStream.schema(COLUMNS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
-    timed = arriving.withColumn("ts", F.col("ts").cast("timestamp"))
-    base = feed_base(timed, "ts")
-    found = key_event_stream(feed_columns(base, "ts"), time_col="ts", delay="1 hour").drop("ts")
-    query = (
-        found.writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}/progress")
-        .option("path", f"{folder}/rows")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    store_key_events(event_files(spark, sf), f"{folder}/rows", "progress", folder=folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
+@register(sql("SELECT match_id, event_id, index, type, team, player, minute FROM ev", "ev"))
+def unseen_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All events, where those of every third match were stored before the stream began."""
+    folder = stage_run_folder(spark, "unseen_stream")
+    columns = ["match_id", "event_id", "index", "type", "team", "player", "minute"]
+    feed_events(spark, sf).select(*columns).filter("match_id % 3 = 0").write.parquet(f"{folder}/rows")
+    append_unseen(
+        event_files(spark, sf).select(*columns), f"{folder}/rows", ["match_id", "event_id"], "progress", folder=folder,
+    ).awaitTermination()
     return spark.read.parquet(f"{folder}/rows")

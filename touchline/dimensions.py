@@ -164,7 +164,7 @@ DEFAULT_POSITION_ORDER = 99
 
 # Words added to the language line of a prompt; other languages add none.
 LANGUAGE_NOTES = [
-    ("German", "celebrating in the player's Nigerian heritage"),
+    ("German", "German football culture"),
     ("French", "French flair for a French player"),
     ("Dutch", "Dutch football culture"),
     ("Czech", "celebrating in Czech"),

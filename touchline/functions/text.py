@@ -25,7 +25,8 @@ def score_words(text: Column, strict: bool = False) -> Column:
     """``2-1`` becomes ``two-one`` and ``1-1`` becomes ``one all``.
 
     ``strict`` leaves scores alone that touch a letter or digit, as in a
-    season label such as 2023-24.
+    season label such as 2023-24.  Texts without a score, nearly all of them,
+    are passed on after one search.
     """
     pattern = r"\b([0-9])-([0-9])\b" if strict else r"([0-9])-([0-9])"
     out = F.regexp_replace(text, pattern, f"{_OPEN}$1$2{_CLOSE}")
@@ -35,7 +36,7 @@ def score_words(text: Column, strict: bool = False) -> Column:
         out = F.replace(out, F.lit(f"{_OPEN}{digit}"), F.lit(f"{word}-"))
     for digit, word in enumerate(SPOKEN):
         out = F.replace(out, F.lit(f"{digit}{_CLOSE}"), F.lit(word))
-    return out
+    return F.when(text.rlike(pattern), out).otherwise(text)
 
 
 def score_text(home: Column, away: Column) -> Column:

@@ -6,7 +6,7 @@ club right after the match totals are formed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.numbers import rounded
@@ -146,6 +146,27 @@ def first_reds(cards: DataFrame) -> DataFrame:
     )
 
 
+def season_records(totals: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Per match: its season's last round; per season and team: unbeaten and champion.
+
+    ``totals`` has every side of every match.  The champion leads by points,
+    goal difference, goals and name; a window holds the teams of a season.
+    """
+    lost, drew = F.col("goals_for") < F.col("goals_against"), F.col("goals_for") == F.col("goals_against")
+    points = F.when(lost, 0).when(drew, 1).otherwise(3)
+    per_team = totals.join(rounds, "match_id").groupBy("season", "focus").agg(
+        F.count_if(lost).alias("_losses"), F.sum(points).alias("_points"),
+        F.sum(F.col("goals_for") - F.col("goals_against")).alias("_gd"), F.sum("goals_for").alias("_gf"),
+        F.max("match_round").alias("_last"),
+    )
+    season = Window.partitionBy("season")
+    best = season.orderBy(F.desc("_points"), F.desc("_gd"), F.desc("_gf"), F.asc("focus"))
+    return per_team.select(
+        "season", "focus", (F.col("_losses") == 0).alias("unbeaten"), (F.row_number().over(best) == 1).alias("champion"),
+        F.max("_last").over(season).alias("_season_end"),
+    )
+
+
 def match_briefs(
     shots: DataFrame,
     cards: DataFrame,
@@ -153,19 +174,29 @@ def match_briefs(
     xg: DataFrame,
     rounds: DataFrame,
     focus_team: str | None = None,
-    final_round: int = FINAL_ROUND,
+    final_round: int | None = FINAL_ROUND,
     title_round: int = TITLE_ROUND,
 ) -> DataFrame:
     """Flags of every match and side.
 
     ``xg`` has ``home_xg`` and ``away_xg`` and ``rounds`` has ``match_round``,
-    one row per ``match_id``.  All joins are between one-row-per-match tables.
+    one row per ``match_id``, and ``season`` where there are several.  Without
+    ``final_round`` it is the last round of the season.  All joins are between
+    one-row-per-match tables; the record of a season takes all its matches, so
+    one team is picked after it.
     """
+    season = F.col("season") if "season" in rounds.columns else F.lit(0)
+    rounds = rounds.select("match_id", F.coalesce("match_round", F.lit(0)).alias("match_round"), season.alias("season"))
+    totals = match_totals(shots, matches)
+    records = season_records(totals, rounds)
+    if focus_team:
+        totals, records = (x.filter(F.col("focus") == focus_team) for x in (totals, records))
     joined = (
-        match_totals(shots, matches, focus_team)
+        totals
         .join(first_reds(cards), "match_id", "left")
         .join(xg.select("match_id", "home_xg", "away_xg"), "match_id", "left")
-        .join(rounds.select("match_id", "match_round"), "match_id", "left")
+        .join(rounds, "match_id", "left")
+        .join(records, ["season", "focus"], "left")
     )
     diff = F.col("goals_for") - F.col("goals_against")
     total = F.col("goals_for") + F.col("goals_against")
@@ -186,12 +217,13 @@ def match_briefs(
         ((total <= TIGHT_GOALS) & (F.abs(diff) == 1)).alias("tight_game"),
         ((total >= PACKED_GOALS) & (F.abs(diff) == 1)).alias("action_packed"),
         ((diff == 0) & (total >= DRAW_GOALS)).alias("entertaining_draw"),
-        (round_ == final_round).alias("final_round"),
+        (round_ == (F.col("_season_end") if final_round is None else final_round)).alias("final_round"),
         (round_ == title_round).alias("title_round"),
         F.coalesce(own_xg < FEW_CHANCES_XG, F.lit(False)).alias("few_chances"),
         F.coalesce(own_xg > other_xg * DOMINANT_FACTOR, F.lit(False)).alias("dominant_xg"),
         F.col("red_minute").isNotNull().alias("has_red_card"),
         "red_card_team", "red_minute", "late_drama", "early_goal",
+        F.coalesce("unbeaten", F.lit(False)).alias("unbeaten"), F.coalesce("champion", F.lit(False)).alias("champion"),
     )
 
 

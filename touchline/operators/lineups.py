@@ -84,10 +84,10 @@ def minutes_played(events: DataFrame) -> DataFrame:
 
 def positions(lineups: DataFrame) -> DataFrame:
     """First listed position of every player in the raw line-ups."""
-    players = lineups.select("match_id", "team", F.inline("lineup"))
-    first = F.get(F.col("positions"), F.lit(0))["position"]
-    return players.groupBy("match_id", "team", F.col("player_name").alias("player")).agg(
-        F.min(first).alias("position")
+    players = lineups.select("match_id", "team", F.posexplode("lineup").alias("listed", "p"))
+    first = F.get(F.col("p.positions"), F.lit(0))["position"]
+    return players.groupBy("match_id", "team", F.col("p.player_name").alias("player")).agg(
+        F.min_by(first, F.when(first.isNotNull(), F.col("listed"))).alias("position")
     )
 
 

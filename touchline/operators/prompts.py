@@ -24,10 +24,12 @@ from touchline.operators.sequence import RED_ITEM
 
 HOOK_LIMIT, HOOK_SCORERS = 4, 3
 HOOKS = {
-    "final_round": "This completes an entire Bundesliga season unbeaten — a historic first in German football",
-    "title_round": "This match clinches the Bundesliga title",
+    "unbeaten": "This completes a whole season unbeaten for {focus}",
+    "champion": "{focus} finish the season as champions",
+    "title_run": "A win in the title run-in for {focus}, champions in the end",
     "ran_riot": "{focus} ran riot, winning {goals_for}-{goals_against}",
-    "tight_game": "A tight {goals_for}-{goals_against} win — {focus} had to dig deep",
+    "tight_win": "A tight {goals_for}-{goals_against} win — {focus} had to dig deep",
+    "tight_loss": "A tight {goals_for}-{goals_against} defeat — {focus} fell just short",
     "has_red_card": "{red_card_team} reduced to ten men",
     "hattrick": "{hattrick_player} completed a hat-trick",
     "brace": "{brace_player} bagged a brace",
@@ -39,10 +41,16 @@ MOMENTS = {
     "opening": "opening goal — {focus} take the lead",
     "in_command": "making it {score_after} — {focus} in command",
     "winner": "the winner — final score will be {goals_for}-{goals_against}",
+    "ahead": "{focus} go ahead, score now {score_after}",
     "goal": "goal for {focus}, score now {score_after}",
-    "opponent_leads": "{opponent} take the lead — but {focus} recover to win {goals_for}-{goals_against}",
-    "opponent_levels": "{opponent} equalise — but {focus} already lead {goals_for}-{goals_against} at full time",
+    "leads_won": "{opponent} take the lead — but {focus} recover to win {goals_for}-{goals_against}",
+    "leads_drew": "{opponent} take the lead — but {focus} recover to draw {goals_for}-{goals_against}",
+    "leads_lost": "{opponent} lead {score_after} — {focus} lose {goals_for}-{goals_against}",
+    "levels_won": "{opponent} equalise — but {focus} go on to win {goals_for}-{goals_against}",
+    "levels_drew": "{opponent} equalise — it ends {goals_for}-{goals_against}",
+    "levels_lost": "{opponent} equalise — {focus} go on to lose {goals_for}-{goals_against}",
     "consolation": "consolation for {opponent}, making it {score_after} — {focus} win {goals_for}-{goals_against}",
+    "pulls_back": "{opponent} pull one back, making it {score_after} — it ends {goals_for}-{goals_against}",
     "chance": "chance for {team_fd}, score {score_after}",
 }
 
@@ -77,10 +85,9 @@ RED_IMPACT_OPPONENT = "leaving {opponent} with ten men"
 LANGUAGE_LINE = 'After the English call, add "{goal_cry}"'
 LANGUAGE_LINE_NOTED = 'After the English call, add "{goal_cry}" — {language_note}'
 
-ENDING_FINAL = (
-    "IMPORTANT: This is the final matchday of the unbeaten season. "
-    "End with [reverently] and a single phrase about history. "
-    "Example: [reverently] Ungeschlagen. Unbeaten. Forever."
+ENDING_UNBEATEN = (
+    "IMPORTANT: This is the final matchday of the unbeaten season of {focus}. "
+    "End with [reverently] and a single phrase about history."
 )
 ENDING = "End with [warmly] and a brief reflection connecting to the season story."
 
@@ -91,13 +98,17 @@ MATCH_LABELS = [
     ("tight_game", "Tight game — few goals, 1-goal margin"),
     ("entertaining_draw", "Entertaining draw — 4+ goals"),
     ("dull_draw", "Goalless or tight draw"),
-    ("final_round", "Final matchday — unbeaten all season!"),
-    ("title_round", "TITLE CLINCHER matchday"),
+    ("final_round", "Final matchday"),
+    ("final_unbeaten", "Unbeaten all season"),
+    ("final_champion", "Champions"),
+    ("title_run", "Title run-in of the later champions"),
     ("late_drama", "Late drama — goal after 85'"),
     ("early_goal", "Early goal — before 15'"),
     ("has_red_card", "Red card — {red_card_team} (min {red_minute})"),
     ("few_chances", "Very few chances — xG only {xg_for}"),
     ("dominant_xg", "Dominated xG: {xg_for} vs {xg_against}"),
+    ("hattrick", "Hat-trick — {hattrick_player}"),
+    ("brace", "Brace — {brace_player}"),
 ]
 HIGHLIGHT_LABELS = [
     ("is_opener", "match opener"),
@@ -199,10 +210,12 @@ def hooks(briefs: DataFrame, players: DataFrame) -> DataFrame:
     three, two = flag("hattrick_player"), flag("brace_player")
     shown = F.transform("first_scorers", short_surname)
     entries = [
-        (flag("final_round"), fill(HOOKS["final_round"])),
-        (flag("title_round"), fill(HOOKS["title_round"])),
+        (flag("final_round") & flag("unbeaten"), fill(HOOKS["unbeaten"])),
+        (flag("final_round") & flag("champion"), fill(HOOKS["champion"])),
+        (flag("title_round") & flag("champion") & flag("won"), fill(HOOKS["title_run"])),
         (flag("ran_riot"), fill(HOOKS["ran_riot"])),
-        (~flag("ran_riot") & flag("tight_game"), fill(HOOKS["tight_game"])),
+        (flag("tight_game") & flag("won"), fill(HOOKS["tight_win"])),
+        (flag("tight_game") & flag("lost"), fill(HOOKS["tight_loss"])),
         (flag("has_red_card"), fill(HOOKS["has_red_card"])),
         (three.isNotNull(), fill(HOOKS["hattrick"])),
         (three.isNull() & two.isNotNull(), fill(HOOKS["brace"])),
@@ -213,12 +226,20 @@ def hooks(briefs: DataFrame, players: DataFrame) -> DataFrame:
     return joined.withColumn("hooks", F.when(F.size(found) == 0, fill(HOOKS["none"])).otherwise(text))
 
 
-def match_labels(briefs: DataFrame) -> DataFrame:
-    dull = F.col("drew") & ~F.col("entertaining_draw")
-    entries = [
-        (dull if name == "dull_draw" else F.col(name), fill(text)) for name, text in MATCH_LABELS
-    ]
-    return briefs.select(*SIDE, F.array_join(_present(entries), LABEL_JOIN).alias("labels"))
+def match_labels(briefs: DataFrame, players: DataFrame) -> DataFrame:
+    """Labels of a match and side; ``players`` is what ``hook_players`` makes of the scorers."""
+    three, two = F.col("hattrick_player"), F.col("brace_player")
+    made = {
+        "dull_draw": F.col("drew") & ~F.col("entertaining_draw"),
+        "final_unbeaten": F.col("final_round") & F.col("unbeaten"),
+        "final_champion": F.col("final_round") & F.col("champion"),
+        "title_run": F.col("title_round") & F.col("champion") & F.col("won"),
+        "hattrick": three.isNotNull(),
+        "brace": three.isNull() & two.isNotNull(),
+    }
+    entries = [(made.get(name, F.col(name)), fill(text)) for name, text in MATCH_LABELS]
+    joined = briefs.join(players, SIDE, "left")
+    return joined.select(*SIDE, F.array_join(_present(entries), LABEL_JOIN).alias("labels"))
 
 
 def brief_json(briefs: DataFrame, lists: DataFrame | None = None) -> DataFrame:
@@ -230,6 +251,12 @@ def brief_json(briefs: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     )
 
 
+def highlight_json(highlights: DataFrame) -> DataFrame:
+    """The brief of a highlight as one JSON text."""
+    whole = F.to_json(F.struct(*highlights.columns), {"ignoreNullFields": "false"})
+    return highlights.select(*SIDE, "highlight_idx", whole.alias("brief"))
+
+
 # --- highlight -------------------------------------------------------------
 
 
@@ -241,21 +268,30 @@ def score_before() -> Column:
     return F.when(F.col("focus_home"), score_text(own, other)).otherwise(score_text(other, own))
 
 
+def _by_result(won: str, drew: str, lost: str) -> Column:
+    """The phrase that is true of the final score."""
+    final = F.col("goals_for") - F.col("goals_against")
+    return F.when(final > 0, fill(MOMENTS[won])).when(final == 0, fill(MOMENTS[drew])).otherwise(fill(MOMENTS[lost]))
+
+
 def moment() -> Column:
+    """What a shot means; phrases that tell the result depend on it."""
     own, other = F.col("own_score"), F.col("other_score")
+    decides = F.col("is_winner") & (F.col("goals_for") > F.col("goals_against"))
     return (
         F.when(
             F.col("is_own_goal_for"),
             F.when((own == 1) & (other == 0), fill(MOMENTS["opening"]))
             .when(own > other + 1, fill(MOMENTS["in_command"]))
-            .when(own == other + 1, fill(MOMENTS["winner"]))
+            .when((own == other + 1) & decides, fill(MOMENTS["winner"]))
+            .when(own == other + 1, fill(MOMENTS["ahead"]))
             .otherwise(fill(MOMENTS["goal"])),
         )
         .when(
             F.col("is_goal_against"),
-            F.when(other > own, fill(MOMENTS["opponent_leads"]))
-            .when(other == own, fill(MOMENTS["opponent_levels"]))
-            .otherwise(fill(MOMENTS["consolation"])),
+            F.when(other > own, _by_result("leads_won", "leads_drew", "leads_lost"))
+            .when(other == own, _by_result("levels_won", "levels_drew", "levels_lost"))
+            .otherwise(_by_result("consolation", "pulls_back", "pulls_back")),
         )
         .otherwise(fill(MOMENTS["chance"]))
     )
@@ -347,7 +383,7 @@ def highlight_prompts(
         "goal_language", "left",
     ).select("player", "goal_cry", "language_note")
     rows = attach(texts, noted, ["player"], ["match_id", "index"])
-    endings = briefs.select(*SIDE, "final_round")
+    endings = briefs.select(*SIDE, (F.col("final_round") & F.col("unbeaten")).alias("_unbeaten_end"))
     rows = attach(rows, endings, SIDE, ["index"])
     if "shot_context" not in rows.columns:
         rows = rows.withColumn("shot_context", F.lit(""))
@@ -360,7 +396,7 @@ def highlight_prompts(
         milestone_line=F.when(F.col("milestone") != "", fill(frame.milestone_line)),
         context_line=F.when(has_context, fill(frame.context_line)),
         language_line=language_line(),
-        ending=F.when(F.col("final_round"), ENDING_FINAL).otherwise(ENDING),
+        ending=F.when(F.col("_unbeaten_end"), fill(ENDING_UNBEATEN)).otherwise(ENDING),
         opponent_line=F.when(F.col("team_fd") != F.col("focus"), F.lit(frame.opponent_line)),
     )
     return rows.select(

@@ -48,6 +48,11 @@ LINEUP_FILE = (
 )
 
 
+def _of_file(df: DataFrame) -> DataFrame:
+    """Rows with the file they come from."""
+    return df.withColumn("file_name", F.col("_metadata.file_name")).withColumn("file_path", F.col("_metadata.file_path"))
+
+
 def _read(spark: SparkSession, path: str | Sequence[str], schema: str, multi_line: bool) -> DataFrame:
     reader = (
         spark.read.schema(schema)
@@ -60,13 +65,16 @@ def _read(spark: SparkSession, path: str | Sequence[str], schema: str, multi_lin
     paths = path if isinstance(path, str) else list(path)
     return _or_empty(
         spark,
-        lambda: reader.json(paths).withColumn("file_name", F.col("_metadata.file_name")),
-        f"{schema}, file_name string",
+        lambda: _of_file(reader.json(paths)),
+        f"{schema}, file_name string, file_path string",
     )
 
 
 def _match_of_file():
-    return F.regexp_extract("file_name", r"([0-9]+)\.json$", 1).try_cast("bigint")
+    """Match out of the folder (``match_id=7/``) a file lies in, else out of its name (``7.json``)."""
+    folder = F.regexp_extract("file_path", r"/match_id=([0-9]+)/[^/]*$", 1)
+    name = F.regexp_extract("file_name", r"([0-9]+)\.json$", 1)
+    return F.coalesce(folder.try_cast("bigint"), name.try_cast("bigint"))
 
 
 def events_from(raw: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -113,15 +121,14 @@ def rejects(raw: DataFrame) -> DataFrame:
 
 def stream_events(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Events as their files arrive, with the arrival time of the file."""
-    raw = (
+    files = (
         spark.readStream.schema(EVENT_FILE)
         .option("multiLine", multi_line)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("pathGlobFilter", "*.json")
         .json(path)
-        .withColumn("file_name", F.col("_metadata.file_name"))
-        .withColumn("arrived_at", F.col("_metadata.file_modification_time"))
     )
+    raw = _of_file(files).withColumn("arrived_at", F.col("_metadata.file_modification_time"))
     return events_from(raw, extra=("arrived_at",))
 
 

@@ -1,4 +1,4 @@
-"""Work on each match once, as a stream of micro-batches."""
+"""Work on each row once, as a stream of micro-batches."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from touchline.operators.incremental import unseen
 from touchline.sources.tables import read_table
 
 
-def checkpoint_folder(spark: SparkSession, name: str, fallback: str | None = None) -> str:
-    """Folder for the progress of a stream, under the shared folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or fallback
+def checkpoint_folder(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """Folder for the progress of a stream, under ``folder`` or the shared folder of the session."""
+    base = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{base.rstrip('/')}/{name}"
@@ -25,23 +25,29 @@ def append_unseen(
     keys: Sequence[str],
     name: str,
     work: Callable[[DataFrame], DataFrame] = lambda rows: rows,
-    fallback_checkpoint: str | None = None,
+    folder: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Append what ``work`` makes of rows whose key is not in the table yet.
 
-    All rows of a key have to arrive in one batch, as the file of a match does.
-    A batch that is run again finds its own rows in the table and adds none.
+    ``keys`` name one row, such as match and event: rows of a match that come
+    in later batches are added then, and a row that comes twice, in one batch
+    or in several, is stored once.  A batch that is run again finds its own
+    rows in the table and adds none.  The stored keys are read for the first
+    key's values of the batch only.
     """
     spark = stream.sparkSession
 
     def step(batch: DataFrame, _: int) -> None:
-        done = read_table(batch.sparkSession, path, work(batch).schema)
-        work(unseen(batch, done, keys)).write.mode("append").parquet(path)
+        once = batch.dropDuplicates(list(keys))
+        stored = read_table(batch.sparkSession, path, work(batch).schema).select(*keys)
+        touched = once.select(keys[0]).distinct()
+        done = stored.join(touched, keys[0], "left_semi")
+        work(unseen(once, done, keys)).write.mode("append").parquet(path)
 
     return (
         stream.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint_folder(spark, name, fallback_checkpoint))
+        .option("checkpointLocation", checkpoint_folder(spark, name, folder))
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
