@@ -130,7 +130,7 @@ def test_prompts_only_for_new_matches(spark, built, rows):
     first = rows(table)
     assert table.groupBy("match_id").count().collect()[0]["count"] == 5 and len(first) == 10
     intro = table.filter("match_id = 2 and content_type = 'intro'").first()["prompt"]
-    assert "historic first in German football" in intro and "Round 34" in intro
+    assert "completes a whole season unbeaten for Leverkusen" in intro and "Round 34" in intro
     narration.build_prompts(spark, out, **kwargs)
     assert rows(spark.read.parquet(f"{out}/prompts")) == first
     narration.build_prompts(spark, out, again=True, **kwargs)
