@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from touchline.llm.groups import runs
 from touchline.llm.text import slices
-from touchline.llm.tokens import WordTokenizer, tokenizer_path
+from touchline.llm.tokens import tokenizer_path, word_tokenizer
 from touchline.sources.stage import stage
 
 #: Sequences a task packs on average.
@@ -95,9 +95,9 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _pieces(path: str, size: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 ids, counts = tokenizer.encode(part.column(1))
                 stop = np.cumsum(counts)
                 doc, piece, start, length, crc, kept = [], [], [], [], [], []

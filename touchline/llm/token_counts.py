@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from touchline.llm.text import lists, slices
-from touchline.llm.tokens import WordTokenizer, tokenizer_path
+from touchline.llm.tokens import tokenizer_path, word_tokenizer
 from touchline.sources.stage import stage
 
 BLOCK_TOKENS = 1 << 18
@@ -41,7 +41,7 @@ SCANNED = T.StructType([
 
 def _flat_files(path: str, separator: int, block_tokens: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path, specials_are_text=True)
+        tokenizer = word_tokenizer(path, specials_are_text=True)
         file = TaskContext.get().partitionId()
         kind, block, docs = f"<u{width}", 0, []
         held: list[np.ndarray] = []
@@ -57,7 +57,7 @@ def _flat_files(path: str, separator: int, block_tokens: int, width: int):
             return made
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 ids, counts = tokenizer.encode(part.column(1))
                 stream = np.insert(ids.astype(kind), np.cumsum(counts), np.array(separator, kind))
                 names = part.column(0).to_pylist()
