@@ -478,3 +478,26 @@ def test_regenerate_twice_changes_nothing(spark, rows):
     assert rows(once) == [(1, "old"), (2, "new"), (3, "new")]
     assert rows(incremental.regenerate(once, new, ["match_id"])) == rows(once)
     assert incremental.unseen(new, once, ["match_id"]).count() == 0
+
+
+def test_contenders_reach_the_same_list(spark, rows):
+    listed = spark.createDataFrame(
+        [(1, i, f"n{i}", "F" if i % 17 == 0 else "T", i % 4) for i in range(1, 300)] + [(1, 400, "x", None, 3)],
+        "season int, ord int, name string, team string, goals int",
+    )
+    rounds = spark.createDataFrame([(1, 6)], "season int, last_round int")
+
+    def best(some):
+        made = scorers.estimated(some, rounds, ["season"]).withColumn("goals", F.col("estimate"))
+        return rows(scorers.top_scorers(made, ["season"], 5))
+
+    some = scorers.contenders(listed, ["season"], "F", 5)
+    assert best(some) == best(listed) and some.count() == 20 + listed.filter("team = 'F'").count()
+
+
+def test_similar_names_of_any_length(spark):
+    long = "Al " + "b" * 200 + " O"
+    stats = spark.createDataFrame([(1, long, 3), (2, "Zed O Bo", 4)], "ord int, name string, goals int")
+    names = spark.createDataFrame([("Mr O",), ("Mr bbb",), ("Mr zzz",), (long,)], "player string")
+    found = {r["player"]: r["stats_name"] for r in lookup.season_stats_of(names, stats).collect()}
+    assert found == {"Mr O": long, "Mr bbb": long, "Mr zzz": None, long: long}

@@ -241,17 +241,20 @@ def last_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return Feed(spark, sf).fixtures.groupBy("season").agg(F.max("match_round").alias("last_round"))
 
 
-def estimates_of(spark: SparkSession, sf: str) -> DataFrame:
+def scorer_list(spark: SparkSession, sf: str) -> DataFrame:
     u = F.col("user_id")
     active = table(spark, sf, "events").select("user_id", F.year("ts").alias("season")).distinct()
-    listed = active.select(
+    return active.select(
         "season",
         (u + 1).cast("int").alias("ord"),
         player_name(u).alias("name"),
         F.concat(F.lit("Team "), (u % 5).cast("string")).alias("team"),
         (u % 15).cast("int").alias("goals"),
     )
-    return scorers.estimated(listed, last_rounds(spark, sf), SEASON)
+
+
+def estimates_of(spark: SparkSession, sf: str) -> DataFrame:
+    return scorers.estimated(scorer_list(spark, sf), last_rounds(spark, sf), SEASON)
 
 
 def actual_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -291,7 +294,9 @@ def scorer_override(spark: SparkSession, sf: str) -> DataFrame:
 ))
 def top_scorers(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty best scorers after every round."""
-    return scorers.top_scorers(overridden_of(spark, sf), SEASON)
+    able = scorers.contenders(scorer_list(spark, sf), SEASON, FOCUS)
+    estimates = scorers.estimated(able, last_rounds(spark, sf), SEASON)
+    return scorers.top_scorers(scorers.override(estimates, actual_of(spark, sf), SEASON, FOCUS), SEASON)
 
 
 # --- briefs ----------------------------------------------------------------

@@ -104,10 +104,20 @@ def substrings(text: Column) -> Column:
     return F.array_distinct(pieces)
 
 
-def _first_containing(dimension: DataFrame) -> DataFrame:
-    """Per substring of a dimension name, the place of the first name that holds it."""
+def word_pieces(name: Column) -> Column:
+    """All substrings of the words of a name; what holds no blank lies in one word."""
+    return F.array_distinct(F.flatten(F.transform(F.split(name, " "), substrings)))
+
+
+def _first_containing(dimension: DataFrame, pieces: Column, wanted: DataFrame) -> DataFrame:
+    """Per wanted piece, the place of the first dimension name that holds it.
+
+    ``wanted`` has the column ``piece``; other pieces are dropped before they
+    are grouped.
+    """
     return (
-        dimension.select("ord", F.explode(substrings(F.lower("name"))).alias("piece"))
+        dimension.select("ord", F.explode(pieces).alias("piece"))
+        .join(wanted.distinct(), "piece", "left_semi")
         .groupBy("piece")
         .agg(F.min("ord").alias("ord"))
     )
@@ -120,9 +130,11 @@ def season_stats_of(names: DataFrame, stats: DataFrame, fold: Column | None = No
     player's surname.  ``names`` has one column ``player``.
     """
     exact = stats.groupBy("name").agg(F.min("ord").alias("_exact"))
-    pieces = _first_containing(stats).withColumnsRenamed({"ord": "_partial", "piece": "_last"})
+    asked = names.select("player", surname(F.col("player") if fold is None else fold).alias("_last"))
+    pieces = _first_containing(stats, word_pieces(F.lower("name")), asked.select(F.col("_last").alias("piece")))
+    pieces = pieces.withColumnsRenamed({"ord": "_partial", "piece": "_last"})
     found = (
-        names.select("player", surname(F.col("player") if fold is None else fold).alias("_last"))
+        asked
         .join(exact.withColumnRenamed("name", "player"), "player", "left")
         .join(pieces, "_last", "left")
         .withColumn("ord", F.coalesce("_exact", "_partial"))
@@ -138,7 +150,10 @@ def goal_cry_of(names: DataFrame, cries: DataFrame, default: tuple[str, str, str
     or is contained in it; else the default.
     """
     exact = cries.groupBy("name").agg(F.min("ord").alias("_exact"))
-    wider = _first_containing(cries).withColumnsRenamed({"ord": "_wider", "piece": "_low"})
+    asked = names.select(F.lower("player").alias("piece"))
+    wider = _first_containing(cries, substrings(F.lower("name")), asked).withColumnsRenamed(
+        {"ord": "_wider", "piece": "_low"},
+    )
     key_names = cries.groupBy(F.lower("name").alias("piece")).agg(F.min("ord").alias("_inner"))
     narrower = (
         names.select("player", F.explode(substrings(F.lower("player"))).alias("piece"))

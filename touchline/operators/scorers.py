@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from touchline.functions.names import surname
 from touchline.functions.numbers import half_even
-from touchline.operators.lookup import substrings
+from touchline.operators.joins import top_by
+from touchline.operators.lookup import word_pieces
 from touchline.operators.running import block, running
 
 TOP = 20
@@ -37,6 +38,18 @@ def estimated(scorers: DataFrame, rounds: DataFrame, keys: Sequence[str]) -> Dat
     )
 
 
+def contenders(scorers: DataFrame, keys: Sequence[str], focus_team: str, top: int = TOP) -> DataFrame:
+    """The scorers that can reach a list of ``top``, before rounds are formed.
+
+    Equal season goals give equal estimates in every round, so of those the
+    first ``top`` by ``ord`` are enough; the focus team's goals are counted and
+    all of its scorers stay.
+    """
+    mine = F.coalesce(F.col("team") == focus_team, F.lit(False))
+    others = top_by(scorers.filter(~mine), [*keys, "goals"], [F.asc("ord")], top)
+    return others.unionByName(scorers.filter(mine))
+
+
 def actual(goals: DataFrame, keys: Sequence[str], last_rounds: DataFrame) -> DataFrame:
     """Goals so far per surname of a player, for every round from the first goal on.
 
@@ -92,7 +105,8 @@ def override(
     names = (
         estimates.filter(F.col("team") == focus_team)
         .select("name").distinct()
-        .select("name", F.explode(substrings(F.lower("name"))).alias("_part_name"))
+        .select("name", F.explode(word_pieces(F.lower("name"))).alias("_part_name"))
+        .join(by_surname.select("_part_name").distinct(), "_part_name", "left_semi")
     )
     hits = (
         by_surname.join(names, "_part_name")
