@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import joins, running
+from touchline.sources.stage import Scope, stage
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +70,16 @@ def test_top_by(spark, skewed):
         assert sorted((r["i"] for r in out.filter(F.col("k") == key).collect()), reverse=True) == want
     # The cut is made before the shuffle too.
     assert str(out._jdf.queryExecution().executedPlan()).count("WindowGroupLimit") == 2
+
+
+def test_stage_tables_of_a_scope_go_with_it(spark, tmp_path):
+    with Scope(spark) as outer:
+        with Scope(spark) as inner:
+            first = stage(spark.range(3), "first")
+            kept = inner.keep(first.filter("id > 0"), "kept")
+        assert kept.count() == 2 and len(outer.made) == 1
+        with pytest.raises(Exception):
+            spark.read.parquet(inner.made[0])
+    with pytest.raises(Exception):
+        spark.read.parquet(outer.made[0])
+    assert stage(spark.range(2), "plain").count() == 2

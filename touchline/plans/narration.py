@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline import dimensions
 from touchline.operators import briefs, conform, enrich, incremental, lookup, prompts, voice
 from touchline.sources.assets import list_assets
-from touchline.sources.stage import stage
+from touchline.sources.stage import Scope, stage
 from touchline.sources.tables import read_table, write_table
 
 PROMPTS = (
@@ -39,49 +39,50 @@ def build_prompts(
     ``rounds`` has ``home_fd``, ``away_fd`` and ``round``; without it the
     round stated by the feed is taken.
     """
-    stats = dimensions.season_stats(spark) if stats is None else stats
-    cries = dimensions.goal_cries(spark) if cries is None else cries
-    matches = spark.read.parquet(f"{out}/matches")
-    if focus_team:
-        matches = conform.focus_matches(matches, focus_team, opponent)
-    done = read_table(spark, f"{out}/prompts", PROMPTS)
-    if not again:
-        matches = incremental.unseen(matches, done, ["match_id"])
-    if rounds is None:
-        matches = matches.withColumn("match_round", F.coalesce("match_week", F.lit(0)))
-    else:
-        matches = lookup.pair_round(matches, rounds, ["match_id"])
-    matches = stage(matches, "matches")
+    with Scope(spark):  # stage tables go when the prompts are stored
+        stats = dimensions.season_stats(spark) if stats is None else stats
+        cries = dimensions.goal_cries(spark) if cries is None else cries
+        matches = spark.read.parquet(f"{out}/matches")
+        if focus_team:
+            matches = conform.focus_matches(matches, focus_team, opponent)
+        done = read_table(spark, f"{out}/prompts", PROMPTS)
+        if not again:
+            matches = incremental.unseen(matches, done, ["match_id"])
+        if rounds is None:
+            matches = matches.withColumn("match_round", F.coalesce("match_week", F.lit(0)))
+        else:
+            matches = lookup.pair_round(matches, rounds, ["match_id"])
+        matches = stage(matches, "matches")
 
-    all_shots = _of_matches(spark.read.parquet(f"{out}/shots"), matches)
-    events = _of_matches(spark.read.parquet(f"{out}/key_events"), matches)
-    reds = events.filter(F.col("event_type") == "red_card")
-    facts = stage(
-        briefs.match_briefs(
-            all_shots, reds, matches, spark.read.parquet(f"{out}/xg_by_match"), matches, focus_team
-        ),
-        "briefs",
-    )
-    scorers = stage(briefs.scorers_of_match(all_shots), "scorers")
-    highlights = _of_matches(spark.read.parquet(f"{out}/highlights"), matches)
-    names = highlights.filter(F.col("player").isNotNull()).select("player").distinct()
-    flags = briefs.highlight_briefs(
-        briefs.goal_numbers(highlights), facts, scorers, lookup.season_stats_of(names, stats)
-    )
-    context = enrich.shot_context(_of_matches(spark.read.parquet(f"{out}/events"), matches))
-    texts = enrich.with_context(prompts.highlight_texts(flags), context)
-    spoken = prompts.highlight_prompts(
-        texts, facts, lookup.goal_cry_of(names, cries, dimensions.DEFAULT_CRY),
-        dimensions.language_notes(spark), frame,
-    )
-    hooked = prompts.hooks(facts, briefs.hook_players(scorers, prompts.HOOK_SCORERS))
-    table = prompts.prompt_table(prompts.intro_prompts(hooked, nickname, stadium, frame), spoken, facts)
-    new = stage(table, "prompts")
-    if again:
-        kept = stage(incremental.unseen(done, new, ["match_id"]), "kept_prompts")
-        write_table(incremental.append(kept, new.select(*kept.columns)), f"{out}/prompts")
-    else:
-        write_table(new.select(*done.columns), f"{out}/prompts", mode="append")
+        all_shots = _of_matches(spark.read.parquet(f"{out}/shots"), matches)
+        events = _of_matches(spark.read.parquet(f"{out}/key_events"), matches)
+        reds = events.filter(F.col("event_type") == "red_card")
+        facts = stage(
+            briefs.match_briefs(
+                all_shots, reds, matches, spark.read.parquet(f"{out}/xg_by_match"), matches, focus_team
+            ),
+            "briefs",
+        )
+        scorers = stage(briefs.scorers_of_match(all_shots), "scorers")
+        highlights = _of_matches(spark.read.parquet(f"{out}/highlights"), matches)
+        names = highlights.filter(F.col("player").isNotNull()).select("player").distinct()
+        flags = briefs.highlight_briefs(
+            briefs.goal_numbers(highlights), facts, scorers, lookup.season_stats_of(names, stats)
+        )
+        context = enrich.shot_context(_of_matches(spark.read.parquet(f"{out}/events"), matches))
+        texts = enrich.with_context(prompts.highlight_texts(flags), context)
+        spoken = prompts.highlight_prompts(
+            texts, facts, lookup.goal_cry_of(names, cries, dimensions.DEFAULT_CRY),
+            dimensions.language_notes(spark), frame,
+        )
+        hooked = prompts.hooks(facts, briefs.hook_players(scorers, prompts.HOOK_SCORERS))
+        table = prompts.prompt_table(prompts.intro_prompts(hooked, nickname, stadium, frame), spoken, facts)
+        new = stage(table, "prompts")
+        if again:
+            kept = stage(incremental.unseen(done, new, ["match_id"]), "kept_prompts")
+            write_table(incremental.append(kept, new.select(*kept.columns)), f"{out}/prompts")
+        else:
+            write_table(new.select(*done.columns), f"{out}/prompts", mode="append")
 
 
 def build_voice_queue(spark: SparkSession, texts: DataFrame, audio: str, out: str, pattern: str | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: tempfile.TemporaryDirectory | None = None
+_scopes: list[list[str]] = []
 
 
 def stage_folder(spark: SparkSession) -> str:
@@ -41,5 +42,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder and return the table read back."""
     spark = df.sparkSession
     path = stage_run_folder(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scope:
+    """Stage tables that go when a ``with`` block ends, save those that are kept.
+
+    For a job whose result is stored elsewhere, or in a kept table, at the end
+    of the block.  A kept table belongs to the block around, if there is one.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Scope:
+        self.made: list[str] = []
+        _scopes.append(self.made)
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        _scopes.pop()
+        try:
+            return stage(df, name)
+        finally:
+            _scopes.append(self.made)
+
+    def __exit__(self, *_) -> None:
+        _scopes.pop()
+        for path in self.made:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
