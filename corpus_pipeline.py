@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.decontaminate import benchmark_hits
+from touchline.llm.groups import small
 from touchline.llm.jaccard_trie import jaccard_join
 from touchline.llm.op03 import teaching
 from touchline.llm.packing import pack
@@ -17,7 +18,7 @@ from touchline.llm.quality import score_quality
 from touchline.llm.queries import QUERIES
 from touchline.llm.seed_extend import seed_and_extend
 from touchline.llm.repeats import without_repeats
-from touchline.sources.stage import stage
+from touchline.sources.stage import Scope, stage
 
 SEQUENCE = 4096
 
@@ -33,14 +34,16 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows with a null id, and rows without words, stay.
     """
-    joined = jaccard_join(docs, n_words=5, num=80, den=100)
-    gone = joined.filter("doc <> component_id").select("doc").distinct()
+    with Scope(spark) as scope:
+        joined = jaccard_join(docs, n_words=5, num=80, den=100)
+        gone = small(scope.keep(joined.filter("doc <> component_id").select("doc").distinct(), "gone"))
     return docs.join(gone, docs["doc_id"] == gone["doc"], "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words or more that a document with a smaller id has."""
-    cut = stage(seed_and_extend(docs, 50).select("key", "n_removed", "kept"), "cut")
+    with Scope(spark) as scope:
+        cut = scope.keep(seed_and_extend(docs, 50).filter("n_removed > 0").select("key", "n_removed", "kept"), "cut")
     left = without_repeats(docs, cut, "doc_id", "text")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
