@@ -26,17 +26,17 @@ places AS (
 ), hits AS (
   SELECT p.doc_id, p.n, p.i, v.item_id FROM places p JOIN windows v ON p.n = v.n AND p.phrase = v.phrase
 ), hit_words AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit
-  FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS at FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS pos FROM hits) GROUP BY doc_id
 ), items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id COLLATE "C") AS ids
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id
 )
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit,
   coalesce(i.n_items, 0)::BIGINT AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
   coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM words w LEFT JOIN hit_words h USING (doc_id) LEFT JOIN items i USING (doc_id)
-""".replace(' COLLATE "C"', "")
+"""
 
 
 @query("op6_benchmark_decontamination", SQL)
