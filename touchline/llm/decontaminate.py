@@ -13,7 +13,6 @@ that size, and the texts are scanned once per group, each scan a stored step.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -162,8 +161,3 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     words = words_of(pa.array([text]), ALNUM, lower=True)
     return [(int(words.start[a]), int(words.end[b - 1])) for a, b in ranges]
 
-
-def digest(items) -> str:
-    """sha256 of the ids, sorted as strings and joined by commas."""
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-

@@ -1,8 +1,8 @@
 """Signature rules for licence texts, in order of priority.
 
 Rules stand for normalised text: lower-case words joined by one blank.  A rule
-has a label, a keyword that must occur before its regex is tried, a priority
-and a confidence.  Full notices come before names, names before short forms;
+has a label, a keyword that must begin at some word before its regex is tried,
+a priority and a confidence.  Full notices come before names, names before short forms;
 families of rules are written once for a list of licences and expanded.
 """
 
@@ -87,8 +87,8 @@ NAMED = [
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?"),
     ("0bsd", "bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)(?: licen[cs]e)?"),
-    ("mit", "mit", r"mit licen[cs]e"),
-    ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?"),
+    ("mit", "mit licen", r"mit licen[cs]e"),
+    ("mit-0", "mit no", r"mit no attribution(?: licen[cs]e)?"),
     ("x11", "x11", r"x11 licen[cs]e"),
     ("isc", "isc", r"isc licen[cs]e"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e"),

@@ -38,7 +38,7 @@ class Scanner:
         made = rules() if made is None else made
         self.rules = [(r, re.compile(rf"(?<= ){r.pattern}(?= )")) for r in sorted(made, key=lambda r: r.priority)]
         self.base = [(f" {phrase} ".encode(), len(phrase.split()), label) for phrase, label in BASE.items()]
-        # Keywords are the whole words of a rule, so a blank on both sides.
+        # A keyword begins with a word, so there is a blank before it.
         gates: dict[str, list[int]] = {}
         for i, (rule, _) in enumerate(self.rules):
             gates.setdefault(f" {rule.keyword}", []).append(i)

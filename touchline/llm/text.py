@@ -39,11 +39,6 @@ LOWER[0x41:0x5B] += 0x20
 NORMAL = bytes(LOWER[i] if ALNUM[LOWER[i]] else 0x20 for i in range(256))
 
 
-def normal_words(text: bytes) -> list[bytes]:
-    """Lower-cased ALNUM words of one text."""
-    return text.translate(NORMAL).split()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every bit of a 64-bit value over all bits."""
     x = x ^ (x >> np.uint64(30))
