@@ -260,3 +260,21 @@ def test_key_event_stream_loses_nothing(spark, tmp_path, rows, form):
     found = spark.read.parquet(str(tmp_path / "out"))
     want = key_event_stream(feed_events(spark, "/root/testdata/sf0.001"))
     assert rows(found) == rows(want) and found.count() > 50
+
+
+def test_all_match_columns(spark, tmp_path):
+    manager = {"id": 5, "name": "M", "nickname": None, "dob": "1980-01-02", "country": {"id": 1, "name": "X"}}
+    match = {
+        "match_id": 1, "match_date": "2024-01-01", "last_updated": "2024-01-02T03:04:05.6", "last_updated_360": "soon",
+        "home_team": {"home_team_id": 2, "home_team_name": "A", "managers": [manager, {"id": 6, "name": "N"}]},
+        "stadium": {"id": 3, "name": "S", "country": {"id": 9, "name": "G"}}, "competition_stage": {"id": 1, "name": "Regular"},
+        "metadata": {"data_version": "1.1.0", "shot_fidelity_version": "2"},
+    }
+    (tmp_path / "m.json").write_text(json.dumps([match]))
+    found = landed.read_matches(spark, str(tmp_path))
+    assert found.columns == [c for c in schemas.names(schemas.MATCHES) if not c.endswith("_fd")]
+    row = found.first()
+    assert (row["home_managers"], row["home_manager_name"], str(row["home_manager_dob"])) == ("M, N", "M", "1980-01-02")
+    assert (row["stadium"], row["stadium_country_name"], row["competition_stage"]) == ("S", "G", "Regular")
+    assert (row["data_version"], row["shot_fidelity_version"], row["xy_fidelity_version"]) == ("1.1.0", 2, None)
+    assert str(row["last_updated"]).startswith("2024-01-02 03:04:05") and row["last_updated_360"] is None

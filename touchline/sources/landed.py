@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators.conform import name_of
-from touchline.schemas import EVENTS, names
+from touchline.schemas import EVENTS, MATCHES, names
 from touchline.sources.tables import _or_empty
 
 # Field names of the feed.
@@ -31,14 +31,29 @@ EVENT_FILE = (
     f"{CORRUPT} string"
 )
 
+_COUNTRY = "country: struct<id: int, name: string>"
+_MANAGER = f"struct<id: int, name: string, nickname: string, dob: string, {_COUNTRY}>"
+
+
+def _team(side: str) -> str:
+    return (
+        f"{side}_team struct<{side}_team_id: int, {side}_team_name: string, {side}_team_gender: string, "
+        f"{side}_team_group: string, {_COUNTRY}, managers: array<{_MANAGER}>>"
+    )
+
+
+# Stamps and versions are read as text, so that an odd one costs no row.
 MATCH_FILE = (
     "match_id bigint, match_date date, kick_off string, match_week int, "
     "competition struct<competition_id: int, country_name: string, competition_name: string>, "
     "season struct<season_id: int, season_name: string>, "
-    "home_team struct<home_team_id: int, home_team_name: string>, "
-    "away_team struct<away_team_id: int, away_team_name: string>, "
-    "home_score int, away_score int, match_status string, "
-    f"stadium struct<id: int, name: string>, referee struct<id: int, name: string>, {CORRUPT} string"
+    f"{_team('home')}, {_team('away')}, "
+    "home_score int, away_score int, match_status string, match_status_360 string, "
+    "last_updated string, last_updated_360 string, "
+    "competition_stage struct<id: int, name: string>, "
+    f"stadium struct<id: int, name: string, {_COUNTRY}>, referee struct<id: int, name: string, {_COUNTRY}>, "
+    "metadata struct<data_version: string, shot_fidelity_version: string, xy_fidelity_version: string>, "
+    f"{CORRUPT} string"
 )
 
 LINEUP_FILE = (
@@ -132,6 +147,39 @@ def stream_events(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return events_from(raw, extra=("arrived_at",))
 
 
+def _place_columns(name: str, country: bool = False) -> list:
+    """Id and name of a nested object, and those of its country."""
+    columns = [F.col(f"{name}.id").alias(f"{name}_id"), F.col(f"{name}.name").alias(name)]
+    if country:
+        columns += [
+            F.col(f"{name}.country.id").alias(f"{name}_country_id"),
+            F.col(f"{name}.country.name").alias(f"{name}_country_name"),
+        ]
+    return columns
+
+
+def _team_columns(side: str) -> list:
+    team = f"{side}_team"
+    return [
+        F.col(f"{team}.{team}_id").alias(f"{team}_id"), F.col(f"{team}.{team}_name").alias(team),
+        F.col(f"{team}.{team}_gender").alias(f"{team}_gender"), F.col(f"{team}.{team}_group").alias(f"{team}_group"),
+        F.col(f"{team}.country.id").alias(f"{team}_country_id"),
+        F.col(f"{team}.country.name").alias(f"{team}_country_name"),
+    ]
+
+
+def _manager_columns(side: str) -> list:
+    """Names of all managers, and the fields of the first one."""
+    managers, manager = F.col(f"{side}_team.managers"), f"{side}_manager"
+    first = F.get(managers, F.lit(0))
+    return [
+        F.array_join(managers["name"], ", ").alias(f"{side}_managers"),
+        *[first[c].alias(f"{manager}_{c}") for c in ("id", "name", "nickname")],
+        first["dob"].try_cast("date").alias(f"{manager}_dob"),
+        first["country"]["id"].alias(f"{manager}_country_id"), first["country"]["name"].alias(f"{manager}_country_name"),
+    ]
+
+
 def read_matches(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -142,19 +190,22 @@ def read_matches(
     """Match list, optionally of one competition or season."""
     raw = _read(spark, path, MATCH_FILE, multi_line).filter(F.col(CORRUPT).isNull())
     flat = raw.select(
-        "match_id", "match_date", "kick_off", "home_score", "away_score", "match_status", "match_week",
+        "match_id", "match_date", "kick_off", "home_score", "away_score", "match_status", "match_status_360",
+        *[F.col(c).try_cast("timestamp_ntz").alias(c) for c in ("last_updated", "last_updated_360")], "match_week",
         "competition.competition_id",
         F.col("competition.country_name").alias("competition_country_name"),
         "competition.competition_name",
+        F.col("competition.competition_name").alias("competition"),
         "season.season_id",
         F.col("season.season_name").alias("season"),
-        "home_team.home_team_id",
-        F.col("home_team.home_team_name").alias("home_team"),
-        "away_team.away_team_id",
-        F.col("away_team.away_team_name").alias("away_team"),
-        F.col("stadium.name").alias("stadium"),
-        F.col("referee.name").alias("referee"),
+        *[column for side in ("home", "away") for column in _team_columns(side)],
+        *_place_columns("competition_stage"), *_place_columns("stadium", True), *_place_columns("referee", True),
+        *[column for side in ("home", "away") for column in _manager_columns(side)],
+        "metadata.data_version",
+        *[F.col(f"metadata.{c}").try_cast("int").alias(c) for c in ("shot_fidelity_version", "xy_fidelity_version")],
     )
+    # In the order of the declared table; names in use are added when they are conformed.
+    flat = flat.select(*[c for c in names(MATCHES) if c not in ("home_fd", "away_fd")])
     if competition_id is not None:
         flat = flat.filter(F.col("competition_id") == competition_id)
     if season_id is not None:
