@@ -108,8 +108,15 @@ def fit(shares: np.ndarray, labels: np.ndarray) -> Model:
         return Model(np.zeros((FEATURES, 1)), np.zeros((0, 1)), labels, 0.5)
     df = (shares > 0).sum(0)
     idf = np.log((1.0 + len(labels)) / (1.0 + df)) + 1.0
-    _, _, right = np.linalg.svd(shares * idf, full_matrices=False)
-    model = Model(right[:RANK].T * idf[:, None], np.zeros((0, 1)), labels.astype(np.float64), float(labels.mean()))
+    # Right singular vectors are the eigenvectors of the products of columns,
+    # which are added up in blocks of rows to spare the driver's memory.
+    products = np.zeros((FEATURES, FEATURES))
+    for at in range(0, len(shares), 512):
+        block = shares[at: at + 512] * idf
+        products += block.T @ block
+    _, vectors = np.linalg.eigh(products)
+    right = vectors[:, ::-1][:, : min(RANK, len(labels))]
+    model = Model(right * idf[:, None], np.zeros((0, 1)), labels.astype(np.float64), float(labels.mean()))
     model.vectors = model.latent(shares)
     return model
 
@@ -150,7 +157,7 @@ def train(docs: DataFrame, labelled: DataFrame, id_column: str, text_column: str
     ).select("label", "text").mapInArrow(_sampled, TERMS)
     # Repeated ids give more rows than were chosen; the bound holds all the same.
     table = rows.limit(sample_rows).toArrow()
-    shares = np.zeros((table.num_rows, FEATURES))
+    shares = np.zeros((table.num_rows, FEATURES), np.float32)
     if table.num_rows:
         terms, first = flat(table.column("term"))
         values, _ = flat(table.column("share"))
