@@ -291,9 +291,8 @@ def jaccard_join(
     grams = whole.select("cls", F.explode("grams").alias("gram"))
     common = stage(
         grams.join(_shared(grams, "grams"), "gram").groupBy("cls")
-        .agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("df", "gram")))).alias("by_df"))
-        .join(classes.select("cls", "n", "copies"), "cls").filter(F.size("by_df") >= F.expr(overlap))
-        .select("cls", "n", "copies", F.col("by_df.gram").alias("grams")),
+        .agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("df", "gram")))["gram"]).alias("grams"))
+        .join(classes.select("cls", "n", "copies"), "cls").filter(F.size("grams") >= F.expr(overlap)),
         "common_sets",
     )
     rare = stage(
