@@ -137,6 +137,57 @@ def test_prompts_only_for_new_matches(spark, built, rows):
     assert rows(spark.read.parquet(f"{out}/prompts")) == first
 
 
+def test_season_record_takes_all_stored_matches(spark, tmp_path, rows):
+    """A mid-table focus team and a later run over the last round get the texts of one run over everything."""
+    games = [  # home, away, scorers by team; the season of the other league is longer
+        (1, 9, 1, "A", "B", "A"), (2, 9, 1, "C", "D", "CD"), (3, 9, 2, "A", "C", "A"), (4, 9, 2, "B", "D", "B"),
+        (5, 9, 3, "D", "A", "A"), (6, 9, 3, "B", "C", "B"), (7, 10, 3, "E", "F", "F"), (8, 10, 4, "F", "E", "F"),
+    ]
+    folders = {"last": tmp_path / "last", "first": tmp_path / "first"}
+    for name, root in folders.items():
+        for folder in ("matches", "events", "lineups"):
+            (root / folder).mkdir(parents=True)
+        for match, league, week, home, away, scorers in games:
+            if name == "first" and match in (5, 6, 8):
+                continue
+            (root / f"matches/{match}.json").write_text(json.dumps([{
+                "match_id": match, "match_date": f"2024-01-0{week}", "match_week": week,
+                "competition": {"competition_id": league, "competition_name": f"League {league}"},
+                "season": {"season_id": 281, "season_name": "2023/2024"},
+                "home_team": {"home_team_id": 1, "home_team_name": home}, "away_team": {"away_team_id": 2, "away_team_name": away},
+            }]))
+            (root / f"events/{match}.json").write_text(json.dumps([
+                event(i + 1, "Shot", 20 + i, team=t, player=f"p{t}", match=match, **shot("Goal")) for i, t in enumerate(scorers)
+            ]))
+            (root / f"lineups/{match}.json").write_text("[]")
+
+    def build(out, landing):
+        ingest.build(spark, str(landing), out)
+        detail.build(spark, out)
+
+    whole, focus, later = (str(tmp_path / x) for x in ("whole", "focus", "later"))
+    for out in (whole, focus):
+        build(out, folders["last"])
+    narration.build_prompts(spark, whole)
+    texts = rows(spark.read.parquet(f"{whole}/prompts"))
+    intro = {(r[0], r[1]): r[8] for r in texts if r[2] == "intro"}
+    assert {k for k, v in intro.items() if "champions" in v} == {(5, "A"), (8, "F")}
+    assert {k for k, v in intro.items() if "unbeaten" in v} == {(5, "A"), (8, "F")}
+    narration.build_prompts(spark, focus, focus_team="B")
+    assert rows(spark.read.parquet(f"{focus}/prompts")) == [r for r in texts if r[1] == "B"]
+    narration.build_prompts(spark, focus, focus_team="B", opponent="C", again=True)
+    assert rows(spark.read.parquet(f"{focus}/prompts")) == [r for r in texts if r[1] == "B"]
+    # The season goes on after the first run.
+    build(later, folders["first"])
+    narration.build_prompts(spark, later, final_round=3)
+    build(later, folders["last"])
+    narration.build_prompts(spark, later)
+    last = (5, 6, 8)
+    found = rows(spark.read.parquet(f"{later}/prompts"))
+    assert [r for r in found if r[0] in last] == [r for r in texts if r[0] in last]
+    assert [r for r in found if r[1] in "ABCD"] == [r for r in texts if r[1] in "ABCD"]
+
+
 def test_voice_queue(spark, built, tmp_path, rows):
     out, _ = built
     texts = spark.createDataFrame(

@@ -176,6 +176,7 @@ def match_briefs(
     focus_team: str | None = None,
     final_round: int | None = FINAL_ROUND,
     title_round: int = TITLE_ROUND,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Flags of every match and side.
 
@@ -183,12 +184,17 @@ def match_briefs(
     one row per ``match_id``, and ``season`` where there are several.  Without
     ``final_round`` it is the last round of the season.  All joins are between
     one-row-per-match tables; the record of a season takes all its matches, so
-    one team is picked after it.
+    one team is picked after it.  Where ``matches`` are only some of a season,
+    ``totals`` are the ``match_totals`` of all of them and ``rounds`` has all.
     """
     season = F.col("season") if "season" in rounds.columns else F.lit(0)
     rounds = rounds.select("match_id", F.coalesce("match_round", F.lit(0)).alias("match_round"), season.alias("season"))
-    totals = match_totals(shots, matches)
-    records = season_records(totals, rounds)
+    if totals is None:
+        totals = match_totals(shots, matches)
+        records = season_records(totals, rounds)
+    else:
+        records = season_records(totals, rounds)
+        totals = totals.join(matches.select("match_id"), "match_id", "left_semi")
     if focus_team:
         totals, records = (x.filter(F.col("focus") == focus_team) for x in (totals, records))
     joined = (

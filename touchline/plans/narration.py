@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline import dimensions
@@ -21,6 +21,12 @@ def _of_matches(df: DataFrame, matches: DataFrame) -> DataFrame:
     return df.join(matches.select("match_id"), "match_id", "left_semi")
 
 
+def _season_of_league() -> Column:
+    """Season of one competition, never null; leagues share the names of seasons."""
+    competition = F.coalesce(F.col("competition_id").cast("string"), "competition", F.lit(""))
+    return F.concat_ws("/", competition, F.coalesce(F.col("season_id").cast("string"), "season", F.lit("")))
+
+
 def build_prompts(
     spark: SparkSession,
     out: str,
@@ -33,25 +39,30 @@ def build_prompts(
     nickname: str = "",
     stadium: str = "",
     frame: prompts.Frame = prompts.Frame(),
+    final_round: int | None = None,
 ) -> None:
     """Append prompts of the matches that have none, or replace them with ``again``.
 
     ``rounds`` has ``home_fd``, ``away_fd`` and ``round``; without it the
-    round stated by the feed is taken.
+    round stated by the feed is taken.  What is told of a season is taken from
+    all its stored matches, whichever of them get prompts.  A season ends with
+    its last stored round; while matches of it are still to come, give the
+    round it will end with as ``final_round``.
     """
     with Scope(spark):  # stage tables go when the prompts are stored
         stats = dimensions.season_stats(spark) if stats is None else stats
         cries = dimensions.goal_cries(spark) if cries is None else cries
-        matches = spark.read.parquet(f"{out}/matches")
-        if focus_team:
-            matches = conform.focus_matches(matches, focus_team, opponent)
+        stored = spark.read.parquet(f"{out}/matches").dropDuplicates(["match_id"])
+        if rounds is None:
+            stored = stored.withColumn("match_round", F.coalesce("match_week", F.lit(0)))
+        else:
+            stored = lookup.pair_round(stored, rounds, ["match_id"])
+        stored = stage(stored.withColumn("season", _season_of_league()), "stored_matches")
+        totals = stage(briefs.match_totals(spark.read.parquet(f"{out}/shots"), stored), "totals")
+        matches = conform.focus_matches(stored, focus_team, opponent) if focus_team else stored
         done = read_table(spark, f"{out}/prompts", PROMPTS)
         if not again:
             matches = incremental.unseen(matches, done, ["match_id"])
-        if rounds is None:
-            matches = matches.withColumn("match_round", F.coalesce("match_week", F.lit(0)))
-        else:
-            matches = lookup.pair_round(matches, rounds, ["match_id"])
         matches = stage(matches, "matches")
 
         all_shots = _of_matches(spark.read.parquet(f"{out}/shots"), matches)
@@ -59,7 +70,8 @@ def build_prompts(
         reds = events.filter(F.col("event_type") == "red_card")
         facts = stage(
             briefs.match_briefs(
-                all_shots, reds, matches, spark.read.parquet(f"{out}/xg_by_match"), matches, focus_team
+                all_shots, reds, matches, spark.read.parquet(f"{out}/xg_by_match"), stored, focus_team, final_round,
+                totals=totals,
             ),
             "briefs",
         )
