@@ -140,6 +140,28 @@ def test_token_counts_of_raw_files(spark, tmp_path):
     assert token_counts.token_counts(empty, 9).collect() == []
 
 
+def test_a_large_raw_file_is_many_tasks(spark, tmp_path):
+    """Over 2 GB, mostly a hole, and a small one whose name needs care."""
+    n, ends = (1 << 30) + 4321, [5, 70_000, 1 << 29, (1 << 30) + 17]
+    with open(tmp_path / "large.bin", "wb") as file:
+        for at in ends:
+            file.seek(2 * at)
+            file.write(np.array([9], "<u2").tobytes())
+        file.truncate(2 * n)
+    (tmp_path / "a #1 %20é.bin").write_bytes(np.array([1, 2, 9, 3], "<u2").tobytes())
+    (tmp_path / "empty.bin").write_bytes(b"")
+    blocks = token_counts.read_flat(spark, f"{tmp_path}/*.bin", block_tokens=1 << 20)
+    found = sorted((r.start, r.n_tokens) for r in token_counts.token_counts(blocks, 9).collect())
+    starts = [0, *[e + 1 for e in ends]]
+    assert found == sorted([(0, 2), (3, 1), *zip(starts, np.diff([-1, *ends, n]) - 1)])
+    small = token_counts.read_flat(spark, f"{tmp_path}/a*.bin", block_tokens=1)
+    spread = small.select("block", F.spark_partition_id().alias("task")).distinct()
+    assert spread.count() == 4 and spread.select("task").distinct().count() > 1
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no multiple of 2"):
+        token_counts.read_flat(spark, f"{tmp_path}/odd.bin").collect()
+
+
 def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     count = docs.count()

@@ -11,10 +11,13 @@ that no task holds the summaries of a whole large file.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ from touchline.sources.stage import stage
 
 BLOCK_TOKENS = 1 << 18
 RUN = 4096
+# Blocks of raw files in one task, 128 MB with two bytes an id.
+TASK_BLOCKS = 256
 
 BLOCKS = T.StructType([
     T.StructField("file", T.LongType()), T.StructField("block", T.LongType()), T.StructField("data", T.BinaryType()),
@@ -90,27 +95,84 @@ def write_flat(
     return stage(made, "flat_tokens")
 
 
-def read_flat(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of raw token files at a path, cut from the bytes as they stand.
+def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """File system and path inside it of a file as Spark lists it."""
+    if path.startswith("file:"):
+        return pa.fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    scheme, _, rest = path.partition("://")
+    return pa.fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{quote(rest)}")
 
-    ``file`` numbers are hashes of the file names.  Spark hands a file over as
-    one value, so a file may have 2 GB at most; trailing bytes that make no
-    whole id are an error.
-    """
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = block_tokens * width
+
+def _can_seek(path: str) -> bool:
+    """Whether byte ranges of the file can be read here, past Spark's reader."""
+    try:
+        system, inside = _file_system(path)
+        return system.get_file_info(inside).type == pa.fs.FileType.File
+    except (OSError, ValueError, ImportError, NotImplementedError):
+        return False
+
+
+def _whole_ids(size: int, width: int) -> None:
+    if size % width:
+        raise ValueError(f"a file has {size} bytes, no multiple of {width}")
+
+
+def _block(file: int, block: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([data], pa.binary()),
+        pa.array([None], pa.list_(pa.int64())),
+    ], names=BLOCKS.names)
+
+
+def _ranges(width: int, step: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _whole_ids(row["length"], width)
+                at = row["block"] * step
+                size = min(step, row["length"] - at)
+                system, inside = _file_system(row["path"])
+                with system.open_input_file(inside) as source:
+                    data = source.read_at(size, at)
+                if len(data) != size:
+                    raise OSError(f"{row['path']} has changed: {len(data)} of {size} bytes at {at}")
+                yield _block(row["file"], row["block"], data)
+
+    return run
+
+
+def _contents(width: int, step: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(data) % width:
-                    raise ValueError(f"a file has {len(data)} bytes, no multiple of {width}")
+                _whole_ids(len(data), width)
                 for block, at in enumerate(range(0, len(data), step)):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([file], pa.int64()), pa.array([block], pa.int64()),
-                        pa.array([data[at: at + step]], pa.binary()), pa.array([None], pa.list_(pa.int64())),
-                    ], names=BLOCKS.names)
+                    yield _block(file, block, data[at: at + step])
+
+    return run
+
+
+def read_flat(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of raw token files at a path, cut from the bytes as they stand.
 
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), F.col("content"))
-    return files.mapInArrow(cut, BLOCKS)
+    ``file`` numbers are hashes of the file names.  Files are listed with
+    their lengths; every block is a byte range that a task reads by itself, so
+    a file of any size is spread over many tasks.  All workers have to see the
+    path: on a shared disk, or on a file system that pyarrow opens.  From any
+    other one Spark hands a file over as one value, of 2 GB at most.  Trailing
+    bytes that make no whole id are an error.
+    """
+    step = block_tokens * width
+    files = spark.read.format("binaryFile").load(path)
+    listed = files.filter("length > 0").select(F.xxhash64("path").alias("file"), "path", "length")
+    size = listed.agg(F.sum(F.ceil(F.col("length") / step)).alias("blocks"), F.min("path").alias("any")).first()
+    if size["any"] is not None and not _can_seek(size["any"]):
+        return files.select(F.xxhash64("path").alias("file"), "content").mapInArrow(_contents(width, step), BLOCKS)
+    # The number is given, so that the few bytes of the ranges are not put into one task again.
+    blocks = size["blocks"] or 1
+    tasks = max(math.ceil(blocks / TASK_BLOCKS), min(blocks, spark.sparkContext.defaultParallelism))
+    ranges = listed.withColumn("block", F.explode(F.expr(f"sequence(0L, (length - 1) div {step})")))
+    return ranges.repartition(tasks).mapInArrow(_ranges(width, step), BLOCKS)
 
 
 def scan_block(data: bytes, separator: int, width: int) -> tuple[int, np.ndarray, int]:
