@@ -1,6 +1,7 @@
 """Operators on single texts and on passages."""
 
 import random
+import re._parser as parser
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,38 @@ def test_license_base_places(spark, docs):
     assert licenses.license_scan(docs([])).collect() == []
 
 
+def samples(tokens):
+    """Texts of a parsed pattern in which each of its alternatives is taken once at least."""
+    parts = []
+    for kind, x in tokens:
+        kind = str(kind)
+        if kind == "LITERAL":
+            parts.append([chr(x)])
+        elif kind == "IN":
+            parts.append([chr(v if str(k) == "LITERAL" else v[0]) for k, v in x])
+        elif kind == "BRANCH":
+            parts.append([t for branch in x[1] for t in samples(branch)])
+        elif kind == "SUBPATTERN":
+            parts.append(samples(x[3]))
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            parts.append([t * max(x[0], 1) for t in samples(x[2])] + [""] * (x[0] == 0))
+        else:
+            assert kind in ("ANY", "ASSERT_NOT")
+            parts.append(["z"] if kind == "ANY" else [""])
+    first = [p[0] for p in parts]
+    return ["".join(first)] + ["".join([*first[:i], t, *first[i + 1:]]) for i, p in enumerate(parts) for t in p[1:]]
+
+
+def test_license_keywords_drop_no_match():
+    made = license_rules.rules()
+    gated, free = licenses.Scanner(), licenses.Scanner([r._replace(keyword="") for r in made])
+    lines = {f" {t} " for r in made if license_rules.GRANTS not in r.pattern for t in samples(parser.parse(r.pattern))}
+    lines |= {f" {t} {n} " for t in samples(parser.parse(license_rules.GRANTS)) for n in ("freebsd", "0bsd license", "isc licence")}
+    assert len(lines) > 500 and " 0bsd licence " in lines
+    found = lambda scanner, line: [(at, to, r.label, r.pattern) for at, to, r in scanner.detect(line)]
+    assert [x for x in lines if found(gated, x) != found(free, x)] == []
+
+
 def test_license_rules_are_settled_in_order():
     made = license_rules.rules()
     assert len(made) > 200 and len({(r.label, r.pattern) for r in made}) == len(made)

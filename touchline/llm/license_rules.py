@@ -1,8 +1,8 @@
 """Signature rules for licence texts, in order of priority.
 
 Rules stand for normalised text: lower-case words joined by one blank.  A rule
-has a label, a keyword that must begin at some word before its regex is tried,
-a priority and a confidence.  Full notices come before names, names before short forms;
+has a label, a keyword (or several, parted by "|") of which one must begin at some
+word before its regex is tried, a priority and a confidence.  Full notices come before names, names before short forms;
 families of rules are written once for a list of licences and expanded.
 """
 
@@ -83,10 +83,10 @@ NAMED = [
     ("ms-pl", "microsoft", r"microsoft public licen[cs]e"),
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e"),
     ("ncsa", "illinois", r"university of illinois(?: ncsa)? open source licen[cs]e"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?"),
+    ("bsd-2-clause", "bsd|freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?"),
-    ("0bsd", "bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)(?: licen[cs]e)?"),
+    ("0bsd", "bsd|0bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)(?: licen[cs]e)?"),
     ("mit", "mit licen", r"mit licen[cs]e"),
     ("mit-0", "mit no", r"mit no attribution(?: licen[cs]e)?"),
     ("x11", "x11", r"x11 licen[cs]e"),
@@ -116,7 +116,7 @@ TEXTS = [
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "endorse or promote", r"neither the name of .{1,120}? may be used to endorse or promote products"),
     ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
-    ("apache-2.0", "compliance with the license", r"you may not use this file except in compliance with the licen[cs]e"),
+    ("apache-2.0", "compliance with the licen", r"you may not use this file except in compliance with the licen[cs]e"),
     ("gpl-or-later", "any later version", r"either version [23] of the licen[cs]e or at your option any later version"),
     ("gpl", "free software foundation", r"published by the free software foundation"),
     ("mpl-2.0", "mozilla public", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),

@@ -41,7 +41,8 @@ class Scanner:
         # A keyword begins with a word, so there is a blank before it.
         gates: dict[str, list[int]] = {}
         for i, (rule, _) in enumerate(self.rules):
-            gates.setdefault(f" {rule.keyword}", []).append(i)
+            for keyword in rule.keyword.split("|"):
+                gates.setdefault(f" {keyword}", []).append(i)
         self.machine = ahocorasick.Automaton()
         for word, own in gates.items():
             self.machine.add_word(word, own)
