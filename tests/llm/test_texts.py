@@ -12,7 +12,7 @@ from tests.llm import brute
 from touchline.llm import decontaminate, license_rules, licenses, text
 from touchline.llm.op04 import digests
 from touchline.llm.quality import fit, held_out, matrix, score_quality
-from touchline.llm.repeats import without_repeats
+from touchline.llm.repeats import Shape, without_repeats
 from touchline.llm.seed_extend import seed_and_extend
 from touchline.llm.suffix_array import suffix_dedup
 
@@ -209,3 +209,21 @@ def test_quality_votes_are_exact_cosines():
         top = np.argsort(-near[i])[:15]
         weight = np.maximum(near[i][top], 0) ** 8
         assert abs(model.score(shares[:5])[i] - (weight * model.labels[top]).sum() / weight.sum()) < 1e-9
+
+
+def test_anchors_of_a_text_longer_than_places_have_bits(monkeypatch):
+    monkeypatch.setattr(text, "_powers", {})
+    n, shape = (1 << 24) + 500, Shape(50, 20)
+    hashes = np.random.default_rng(4).integers(0, 1 << 63, n).astype(np.uint64)
+    hashes[-400:-300] = hashes[100:200]
+
+    def words(part):
+        none = np.zeros(0, np.int64)
+        return text.Words(part, np.array([0, len(part)]), none, none, np.zeros(0, np.uint8), none)
+
+    _, starts, anchors = shape.anchors(words(hashes))
+    assert len(starts) == n - 49 and starts[-1] == n - 50
+    for at in (0, (1 << 24) - 700, n - 1000):
+        _, own, found = shape.anchors(words(hashes[at: at + 1000]))
+        assert (anchors[own + at] == found + at).all()
+    assert (anchors[n - 400: n - 350] - (n - 400) == anchors[100:150] - 100).all()

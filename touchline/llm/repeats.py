@@ -30,6 +30,9 @@ from touchline.llm.groups import flat
 from touchline.llm.text import SPACED, Words, _GRAM, _power_tables, lists, mix, slices, sliding_min, words_of
 from touchline.sources.stage import stage
 
+PLACE_BITS = 24
+PIECE_GRAMS = 1 << PLACE_BITS
+
 SEEDS = T.StructType([
     T.StructField("doc", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n_words", T.LongType()),
     T.StructField("sha", T.StringType()), T.StructField("seeds", T.ArrayType(T.LongType(), False)),
@@ -57,13 +60,15 @@ class Shape:
     def anchors(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each k-gram, first words of windows, and their anchors."""
         gram = words.grams(self.k)
-        if len(gram) >= 1 << 24:
-            raise ValueError("more words in one slice than places have bits")
-        low = np.uint64((1 << 24) - 1)
-        least = sliding_min((gram & ~low) | np.arange(len(gram), dtype=np.uint64), self.width)
-        ok = words.valid(self.length)[: len(least)]
-        starts = np.flatnonzero(ok)
-        return gram, starts, (least[starts] & low).astype(np.int64)
+        low = np.uint64((1 << PLACE_BITS) - 1)
+        place = np.zeros(max(len(gram) - self.width + 1, 0), np.int64)
+        # Places are packed into the low bits, counted in pieces that overlap by a window.
+        for at in range(0, len(place), PIECE_GRAMS - self.width + 1):
+            piece = gram[at: at + PIECE_GRAMS]
+            least = sliding_min((piece & ~low) | np.arange(len(piece), dtype=np.uint64), self.width)
+            place[at: at + len(least)] = (least & low).astype(np.int64) + at
+        starts = np.flatnonzero(words.valid(self.length)[: len(place)])
+        return gram, starts, place[starts]
 
     def contexts(self, words: Words, at: np.ndarray) -> np.ndarray:
         """Hash of the words around each anchor that its windows can hold."""
