@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from touchline.llm import decontaminate, license_rules, licenses, text
+from touchline.llm import decontaminate, license_rules, licenses, seed_extend, suffix_array, text
 from touchline.llm.op04 import digests
 from touchline.llm.quality import fit, held_out, matrix, score_quality
 from touchline.llm.repeats import Shape, without_repeats
@@ -227,3 +227,20 @@ def test_anchors_of_a_text_longer_than_places_have_bits(monkeypatch):
         _, own, found = shape.anchors(words(hashes[at: at + 1000]))
         assert (anchors[own + at] == found + at).all()
     assert (anchors[n - 400: n - 350] - (n - 400) == anchors[100:150] - 100).all()
+
+
+def test_suffixes_of_one_seed_are_added_up_and_spread(spark, rows):
+    hot = [(d, 7, c, d % 50) for d in range(300) for c in range(d % 10, 400, 10)]
+    other = [(1, 8, 1, 0), (2, 8, 1, 3), (1, 9, 1, 0), (1, 9, 2, 4), (3, 10, 5, 6), (1, 6, 2, 2), (4, 6, 3, 2)]
+    spread = spark.createDataFrame(hot + other, "doc long, seed long, context long, place int")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        suffixes = suffix_array._suffixes(spread)
+        assert suffixes.count() == len({r[1:3] for r in hot + other})
+        assert suffixes.filter("seed = 7").select(F.spark_partition_id()).distinct().count() > 1
+        columns = ["context", "low", "high", "place", "several"]
+        assert rows(suffix_array._sorted(spread), *columns) == rows(seed_extend._joined(spread), *columns)
+    finally:
+        spark.conf.set(name, before)

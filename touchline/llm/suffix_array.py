@@ -1,10 +1,11 @@
 """Suffix-array dedup over suffixes at minimiser positions.
 
 Only suffixes that begin at a content-selected k-gram (the minimiser of a
-window) are kept, some 2 in every length - k + 2.  They are sorted across the
-cluster by range, first by the k words they begin with, then by the words
-around them; a suffix and its neighbour in that order are compared, and runs
-of neighbours that share k words in two documents are kept.  Matches of a run
+window) are kept, some 2 in every length - k + 2.  Equal ones are added up, and
+the distinct ones are sorted across the cluster by range, first by the k words
+they begin with, then by the words around them; a suffix and its neighbour in
+that order are compared, and runs of neighbours that share k words in two
+documents are kept.  Matches of a run
 are then extended to the left and right, up to the windows they fill.  Sorting
 streams through a task, which holds two suffixes at a time.
 """
@@ -29,55 +30,43 @@ CLASSES = T.StructType([
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes of equal neighbours in sorted order that have a neighbour with the same k words.
+    """Suffixes that two documents have or that have a neighbour with the same k words.
 
-    Rows come sorted by (seed, context, doc, place); the last class and run
-    are carried from batch to batch.
+    Rows come sorted by (seed, context), each pair once; the last one and
+    whether its run has others are carried from batch to batch.  A run may go
+    on in the ranges beside: the first and the last row are always kept.
     """
-    carry = None  # (seed, context, low, high, place) of the open class, and whether its run has others
-    run_open = False
-
-    def out(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x, f) for x, f in zip(rows, (pa.int64(),) * 4 + (pa.int32(),))], names=CLASSES.names,
-        )
-
+    carry, run_open = None, True
     for batch in batches:
         if not batch.num_rows:
             continue
-        seed, context, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        new = np.ones(len(seed), bool)
-        new[1:] = (seed[1:] != seed[:-1]) | (context[1:] != context[:-1])
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], len(seed)) - 1
-        s, c, low, high, first = seed[at], context[at], doc[at].copy(), doc[last], place[at].copy()
         if carry is not None:
-            if (s[0], c[0]) == carry[:2]:
-                low[0], first[0] = carry[2], carry[4]
-            else:
-                s, c = np.insert(s, 0, carry[0]), np.insert(c, 0, carry[1])
-                low, high = np.insert(low, 0, carry[2]), np.insert(high, 0, carry[3])
-                first = np.insert(first, 0, carry[4])
-        # All but the last class are complete; it may go on in the next batch.
-        same = s[1:] == s[:-1]
-        beside = np.zeros(len(s), bool)
+            batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+        seed, _, low, high, _ = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        same = seed[1:] == seed[:-1]
+        beside = np.zeros(len(seed), bool)
         beside[1:] |= same
         beside[:-1] |= same
         beside[0] |= run_open
-        keep = (beside | (low < high))[:-1]
-        yield out([x[:-1][keep] for x in (s, c, low, high, first)])
-        carry = (s[-1], c[-1], low[-1], high[-1], first[-1])
+        # All but the last are settled; its run may go on in the next batch.
+        yield batch.slice(0, len(seed) - 1).filter(pa.array((beside | (low < high))[:-1]))
+        carry = batch.slice(len(seed) - 1)
         run_open = bool(same[-1]) if len(same) else run_open
-    if carry is not None and (run_open or carry[2] < carry[3]):
-        yield out([[x] for x in carry])
+    if carry is not None:
+        yield carry
+
+
+def _suffixes(spread: DataFrame) -> DataFrame:
+    """Distinct suffixes, added up before they are shuffled, sorted across the cluster."""
+    distinct = spread.groupBy("seed", "context").agg(
+        F.min(F.struct("doc", "place")).alias("first"), F.max("doc").alias("high"),
+    ).select("seed", "context", F.col("first.doc").alias("low"), "high", F.col("first.place").alias("place"))
+    return distinct.repartitionByRange("seed", "context").sortWithinPartitions("seed", "context")
 
 
 def _sorted(spread: DataFrame) -> DataFrame:
-    ordered = spread.select("seed", "context", "doc", "place").repartitionByRange("seed").sortWithinPartitions(
-        "seed", "context", "doc", "place",
-    )
-    classes = stage(ordered.mapInArrow(_neighbours, CLASSES), "neighbours")
-    # Runs are whole inside a range: a short table says which span two documents.
+    classes = stage(_suffixes(spread).mapInArrow(_neighbours, CLASSES), "neighbours")
+    # A short table says which runs span two documents; it joins the parts of a run.
     runs = classes.groupBy("seed").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.count("*").alias("n"))
     return classes.join(runs.filter("a < b").select("seed", (F.col("n") > 1).alias("several")), "seed").drop("seed")
 
