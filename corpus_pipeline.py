@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.decontaminate import benchmark_hits
-from touchline.llm.groups import small
+from touchline.llm.groups import row_key, small
 from touchline.llm.jaccard_trie import jaccard_join
 from touchline.llm.op03 import teaching
 from touchline.llm.packing import pack
@@ -30,14 +30,29 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8): the one with the least id.
+    """One row of each group of near copies (five words, 0.8): the one with the least id.
 
-    Rows with a null id, and rows without words, stay.
+    Of rows with that id, the one with the least hash of id and text stays; of
+    rows equal in both, the one whose other columns are least.  Rows with a
+    null id, and rows without words, stay.
     """
     with Scope(spark) as scope:
-        joined = jaccard_join(docs, n_words=5, num=80, den=100)
-        gone = small(scope.keep(joined.filter("doc <> component_id").select("doc").distinct(), "gone"))
-    return docs.join(gone, docs["doc_id"] == gone["doc"], "left_anti").select(*docs.columns)
+        joined = jaccard_join(docs, n_words=5, num=80, den=100, keep_key=True).filter("component is not null")
+        least = stage(joined.filter("doc = component_id").select("component", "key"), "least")
+        # Groups in which several rows share the least id.
+        shared = least.groupBy("component").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        tied = stage(least.join(shared.select("component", "first"), "component"), "tied")
+        gone = joined.filter("doc <> component_id").select("key").unionAll(tied.filter("key <> first").select("key"))
+        gone = small(scope.keep(gone.distinct().withColumnRenamed("key", "key_"), "gone"))
+        equal = tied.filter("key = first").groupBy("key").count().filter("count > 1")
+        equal = scope.keep(equal.select(F.col("key").alias("key_")), "equal")
+    rows = docs.select(row_key("doc_id", "text").alias("key_"), F.struct(*docs.columns).alias("row_"))
+    left = rows.join(gone, "key_", "left_anti")
+    if not equal.isEmpty():
+        equal = small(equal)
+        one = left.join(equal, "key_", "left_semi").groupBy("key_").agg(F.min("row_").alias("row_"))
+        left = left.join(equal, "key_", "left_anti").unionByName(one)
+    return left.select(*[F.col("row_")[c].alias(c) for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,6 +192,22 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert bins.filter("n <> m or n > 4096").count() == 0
 
 
+def test_near_copies_are_told_apart_by_row(spark, docs, rows):
+    draw = random.Random(9)
+    a, b, c, d = (" ".join(f"w{draw.randrange(10**6)}" for _ in range(100)) for _ in range(4))
+    near = lambda t: t + " more"
+    given = [
+        (1, a), (7, near(a)), (7, b),  # the second 7 is no copy
+        (8, c), (8, c), (8, c), (9, near(c)),  # equal rows
+        (10, d), (10, near(d)), (None, a), (None, a), (11, ""), (11, ""), (12, None),
+    ]
+    found = corpus_pipeline.ngram_jaccard(spark, docs(given, "kept"), SF)
+    texts = [(r.doc_id, r.text) for r in found.collect()]
+    assert sum(x[0] == 10 for x in texts) == 1
+    want = [(1, a), (7, b), (8, c), (None, a), (None, a), (11, ""), (11, ""), (12, None)]
+    assert sorted((x for x in texts if x[0] != 10), key=str) == sorted(want, key=str)
+
+
 def test_stages_take_nulls_and_empty_tables(spark, docs, corpus):
     for table in (docs(corpus, "kept"), docs([], "kept")):
         for _, step in corpus_pipeline.STAGES[:-1]:

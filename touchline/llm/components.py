@@ -73,19 +73,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def settle(classes: DataFrame, hits: DataFrame) -> DataFrame:
-    """(cls, class_id, n_links, component_id) from classes (cls, rep, copies) and hits (cls, links, root).
+    """(cls, class_id, component, component_id, n_links) from classes (cls, rep, copies) and hits (cls, links, root).
 
     ``links`` are the rows of other classes linked to one of this class, as
-    counted by parts; ``root`` is a class of the same component.
+    counted by parts; ``root`` is a class of the same component, and
+    ``component`` the least of its classes.
     """
     links = hits.groupBy("cls").agg(F.sum("links").alias("links"))
     found = components(hits.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
     found = found.join(classes.select("cls", "rep"), "cls")
     least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = found.join(least, "component").join(links, "cls").select("cls", "component_id", "links")
+    linked = found.join(least, "component").join(links, "cls").select("cls", "component", "component_id", "links")
     return stage(
         classes.join(linked, "cls", "left").select(
-            "cls", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id"),
+            "cls", F.col("rep").alias("class_id"), F.coalesce("component", "cls").alias("component"),
+            F.coalesce("component_id", "rep").alias("component_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         ),
         "facts",

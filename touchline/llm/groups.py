@@ -6,13 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a stored table of ids that are sent to every task at most.
 SMALL_ROWS = 1_000_000
 
 
+def row_key(id_column: str, text_column: str) -> Column:
+    """What a row is known by where ids may repeat: a hash of its id and text."""
+    return F.xxhash64(F.col(id_column).cast("long"), F.col(text_column).cast("string"))
+
+
 def small(stored: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """A stored table of a few ids per row, marked for broadcast if a count finds it small.
 

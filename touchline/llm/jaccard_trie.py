@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from touchline.llm.components import components, local_components, settle
-from touchline.llm.groups import flat, runs, small
+from touchline.llm.groups import flat, row_key, runs, small
 from touchline.llm.text import SPACED, lists, mix, slices, words_of
 from touchline.sources.stage import stage
 
@@ -98,8 +98,8 @@ def _sets(k: int, num: int, den: int, whole: bool):
                     gram = gram[rank < np.repeat(kept, n)]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(n, pa.int64()), pa.array(cls.view(np.int64)),
-                    lists(gram.view(np.int64), kept, pa.int64()),
-                ], names=["doc", "n", "cls", "grams"])
+                    lists(gram.view(np.int64), kept, pa.int64()), *part.columns[2:],
+                ], names=[*SETS.names, *part.schema.names[2:]])
 
     return make
 
@@ -243,7 +243,7 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
 
 def jaccard_join(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    n_words: int = 5, num: int = 80, den: int = 100,
+    n_words: int = 5, num: int = 80, den: int = 100, keep_key: bool = False,
 ) -> DataFrame:
     """(doc, n_shingles, class_id, n_links, component_id) for every row of ``docs``.
 
@@ -259,10 +259,16 @@ def jaccard_join(
     with the size of their set, no link and null class and component.  Rows
     that share an id are linked by their own sets alone.  An empty table gives
     an empty table.  Other columns of the input are not looked at and may have
-    any name.
+    any name.  With ``keep_key`` there are also ``key``, the hash of id and
+    text that a row is known by, and ``component``, which tells components
+    apart that have the same least id (null where the id is null or the set empty).
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    sets = stage(source.mapInArrow(_sets(n_words, num, den, whole=False), SETS), "sets")
+    keyed, schema = source, SETS
+    if keep_key:
+        keyed = source.select("doc", "text", row_key("doc", "text").alias("key"))
+        schema = T.StructType([*SETS.fields, T.StructField("key", T.LongType())])
+    sets = stage(keyed.mapInArrow(_sets(n_words, num, den, whole=False), schema), "sets")
     classes = stage(
         sets.filter("n > 0 and doc is not null").groupBy("cls", "n")
         .agg(F.min("doc").alias("rep"), F.count("*").alias("copies")),
@@ -343,9 +349,10 @@ def jaccard_join(
     )
     facts = settle(classes, hits)
     known = F.col("doc").isNotNull() & (F.col("n") > 0)
-    return sets.select("doc", "n", "cls").join(facts, "cls", "left").select(
+    more = [F.col("key"), F.when(known, F.col("component")).alias("component")] if keep_key else []
+    return sets.drop("grams").join(facts, "cls", "left").select(
         "doc", F.col("n").alias("n_shingles"),
         F.when(known, F.col("class_id")).otherwise(F.col("doc")).alias("class_id"),
         F.when(known, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"),
-        F.when(known, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"),
+        F.when(known, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"), *more,
     )
