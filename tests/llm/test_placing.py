@@ -140,6 +140,21 @@ def test_token_counts_of_raw_files(spark, tmp_path):
     assert token_counts.token_counts(empty, 9).collect() == []
 
 
+def test_ids_that_do_not_fit_are_an_error(spark, docs, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({**{f"w{i}": i for i in range(70_000)}, "?": 70_000}, unk_token="?"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    made.save(str(tmp_path / "large.json"))
+    texts = docs([(1, "w3 w65541 w5"), (2, "w69999")])  # 65541 would wrap to 5
+    for kwargs in ({"path": str(tmp_path / "large.json"), "separator": 5}, {"separator": 1 << 16}, {"width": 1, "separator": 5}):
+        with pytest.raises(ValueError, match="do not fit"):
+            token_counts.write_flat(texts, **kwargs)
+    blocks = token_counts.write_flat(texts, path=str(tmp_path / "large.json"), separator=70_001, width=4)
+    found = token_counts.token_counts(blocks, 70_001, width=4).collect()
+    assert sorted(r.n_tokens for r in found) == [1, 3]
+
+
 def test_a_large_raw_file_is_many_tasks(spark, tmp_path):
     """Over 2 GB, mostly a hole, and a small one whose name needs care."""
     n, ends = (1 << 30) + 4321, [5, 70_000, 1 << 29, (1 << 30) + 17]

@@ -88,10 +88,15 @@ def write_flat(
     Every task writes one file; ``docs`` names the documents in the order in
     which they were put in, with no word on where they begin.  Strings of
     special tokens in a text are plain text, so the separator stands only
-    between documents.  A null text has no tokens and its separator.
+    between documents.  A null text has no tokens and its separator.  Ids and
+    the separator have to fit into ``width`` bytes.
     """
+    path = path or tokenizer_path()
+    most = max(word_tokenizer(path, specials_are_text=True).encoder.get_vocab().values(), default=0)
+    if not 0 <= separator < 1 << 8 * width or most >= 1 << 8 * width:
+        raise ValueError(f"ids up to {most} and the separator {separator} do not fit into {width} bytes")
     source = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    made = source.mapInArrow(_flat_files(path or tokenizer_path(), separator, block_tokens, width), BLOCKS)
+    made = source.mapInArrow(_flat_files(path, separator, block_tokens, width), BLOCKS)
     return stage(made, "flat_tokens")
 
 
