@@ -1,11 +1,12 @@
 """Chunked running values against plain Python, with one key holding most rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import joins, running
+from touchline.operators import conform, joins, running
 from touchline.sources.stage import Scope, stage
 
 
@@ -83,3 +84,18 @@ def test_stage_tables_of_a_scope_go_with_it(spark, tmp_path):
     with pytest.raises(Exception):
         spark.read.parquet(outer.made[0])
     assert stage(spark.range(2), "plain").count() == 2
+
+
+def test_rounds_are_numbered_in_levels(spark):
+    """No window goes over the blocks of all days of a season, however rows and days are mixed."""
+    rng = random.Random(11)
+    given = [(rng.choice("ab"), rng.randrange(60), i) for i in rng.sample(range(running.CHUNK * 12), 3000)]
+    df = spark.createDataFrame(given, "season string, day int, row bigint")
+    out = conform.assign_round(df, ["season"], "day", "row", 9)
+    want = {}
+    for season in "ab":
+        for n, r in enumerate(sorted(r for r in given if r[0] == season)):
+            want[r] = (n + 1, n // 9 + 1)
+    assert {(r["season"], r["day"], r["row"]): (r["place"], r["round"]) for r in out.collect()} == want
+    windows = re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe", out._jdf.queryExecution().optimizedPlan().toString())
+    assert windows and all(w.count(" ASC") == 1 for w in windows)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.numbers import lenient_double
 from touchline.operators.joins import attach
-from touchline.operators.running import block, numbered
+from touchline.operators.running import block
 
 # Event type, outcome and card names of the event feed.
 SHOT, SUBSTITUTION = "Shot", "Substitution"
@@ -116,9 +116,22 @@ def assign_round(
     ``row_col`` is the row number in the source; it settles equal dates.  The
     place itself, counted from 1, stays in the column ``place``.
     """
-    order = [F.col(date_col), F.col(row_col)]
-    chunks = [F.col(date_col), block(F.col(row_col))]
-    placed = numbered(df, keys, order, chunks, "place")
+    # Rows inside a block of a day, blocks inside a day, days: no window holds
+    # more than a block, the blocks of a day or the days of a key.
+    days, blocks = [*keys, date_col], [*keys, date_col, "_block"]
+
+    def before(rows: DataFrame, within: list[str], order: str, name: str) -> DataFrame:
+        past = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(name, F.coalesce(F.sum("_n").over(past), F.lit(0)))
+
+    cut = df.withColumn("_block", block(F.col(row_col)))
+    counts = cut.groupBy(*blocks).agg(F.count("*").alias("_n"))
+    of_days = before(counts.groupBy(*days).agg(F.sum("_n").alias("_n")), list(keys), date_col, "_days").drop("_n")
+    starts = before(counts, days, "_block", "_blocks").drop("_n").join(of_days, days)
+    placed = cut.withColumn("_row", F.row_number().over(Window.partitionBy(*blocks).orderBy(row_col)))
+    placed = placed.join(starts, blocks, "left").select(
+        *df.columns, (F.col("_row") + F.coalesce("_blocks", F.lit(0)) + F.coalesce("_days", F.lit(0))).alias("place"),
+    )
     return placed.withColumn("round", (F.floor((F.col("place") - 1) / per_round) + 1).cast("int"))
 
 
