@@ -51,15 +51,14 @@ def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc long, text string, lang string")
 
 
-def test_languages_are_learned_and_odd_rows_defined(spark, docs, monkeypatch):
-    monkeypatch.setattr(language, "STEPS", 60)
+def test_languages_are_learned_and_odd_rows_defined(spark, docs):
     teach = [(i, "the quick brown fox jumps over the lazy dog and runs away " * 3, "en") for i in range(30)]
     teach += [(i, "der schnelle braune fuchs springt über den faulen hund weg " * 3, "de") for i in range(30)]
     teach += [(99, None, "en"), (98, "some text that has no language at all, of the length of a window", None), (97, "", "xx"), (None, "y" * 80, "de")]
     rows = [(1, "the lazy dog and the quick fox"), (2, "über den faulen braunen hund"), (3, None), (4, ""), (5, "12 !? 34"), (1, "x"),
             (None, "the dog jumps over the fox"), (6, "the dog runs over the fox and away " * 5000), (7, "中文"), (8, "¿123¡")]
     model_rows = labelled(spark, teach)
-    found = language.identify(docs(rows, "lang2"), model_rows)
+    found = language.identify(docs(rows, "lang2"), model_rows, steps=60)
     assert found.columns == ["doc", "lang", "score"]
     got = [(r.doc, r.lang, r.score) for r in found.collect()]
     assert len(got) == len(rows)
@@ -68,24 +67,19 @@ def test_languages_are_learned_and_odd_rows_defined(spark, docs, monkeypatch):
     assert by[3] == by[4] == by[5] == by[8] == ("und", 0.0)
     assert by[7][0] in ("en", "de")
     assert all(0 <= s <= 1 for _, _, s in got)
-    assert sorted(map(str, got)) == sorted(map(str, [(r.doc, r.lang, r.score) for r in language.identify(docs(rows), model_rows).collect()]))
+    assert sorted(map(str, got)) == sorted(map(str, [(r.doc, r.lang, r.score) for r in language.identify(docs(rows), model_rows, steps=60).collect()]))
     none = language.identify(docs(rows), model_rows.limit(0)).collect()
     assert {r.lang for r in none} == {"und"} and {r.score for r in none} == {0.0}
-    one = {r.doc: r.lang for r in language.identify(docs(rows), model_rows.filter("lang = 'en'")).collect() if r.doc != 1}
+    one = {r.doc: r.lang for r in language.identify(docs(rows), model_rows.filter("lang = 'en'"), steps=60).collect() if r.doc != 1}
     assert one[2] == one[6] == "en" and one[5] == "und"
     assert language.identify(docs([]), model_rows).collect() == []
 
 
 def test_sample_is_bounded(spark):
     rows = labelled(spark, [(i, f"text {i} " * 200, "ab"[i % 2]) for i in range(40)])
-    sizes = []
-    language_fit = language.fit
-    try:
-        language.fit = lambda windows, label, langs: sizes.append((windows.shape, np.bincount(label).tolist(), langs))
-        language.train(rows, docs=5, windows=3)
-    finally:
-        language.fit = language_fit
-    assert sizes == [((30, language.WINDOW), [15, 15], ["a", "b"])]
+    taken = language.sampled(rows, docs=5, windows=3).collect()
+    assert len(taken) == 30 and {len(r.window) for r in taken} == {language.WINDOW}
+    assert len({(r.lang, r.h) for r in taken}) == 10
 
 
 def test_held_out_documents(spark):

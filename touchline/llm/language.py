@@ -40,7 +40,11 @@ AT_ONCE = 2048
 BATCH_BYTES = 1 << 20
 UNKNOWN = "und"
 
-SAMPLE = T.StructType([T.StructField("lang", T.StringType()), T.StructField("window", T.BinaryType())])
+SAMPLE = T.StructType([
+    T.StructField("lang", T.StringType()), T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType()),
+    T.StructField("window", T.BinaryType()),
+])
+MODEL = T.StructType([T.StructField("langs", T.ArrayType(T.StringType(), False)), T.StructField("weights", T.ArrayType(T.BinaryType(), False))])
 SCORES = T.StructType([
     T.StructField("doc", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()),
 ])
@@ -196,32 +200,64 @@ def fit(windows: np.ndarray, label: np.ndarray, langs: list[str], steps: int = S
 def _sampled(count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, windows = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = (text.as_py() or "").encode()
+            langs, hashes, places, windows = [], [], [], []
+            for lang, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                raw = text.as_py().encode()
                 # Windows stand at equal distances over the whole text.
                 n = min(count, len(raw) // WINDOW)
                 for i in range(n):
-                    at = i * (len(raw) - WINDOW) // max(1, n - 1) if n > 1 else 0
-                    langs.append(lang), windows.append(raw[at: at + WINDOW])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], names=SAMPLE.names)
+                    at = i * (len(raw) - WINDOW) // max(1, n - 1)
+                    langs.append(lang), hashes.append(h), places.append(i), windows.append(raw[at: at + WINDOW])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(langs, pa.string()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), pa.array(windows, pa.binary()),
+            ], names=SAMPLE.names)
+
+    return run
+
+
+def _fitted(steps: int, hidden: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, windows = [], []
+        for batch in batches:
+            names += batch.column(0).to_pylist()
+            windows += batch.column(3).to_pylist()
+        langs = sorted(set(names))
+        place = {lang: i for i, lang in enumerate(langs)}
+        rows = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW)
+        model = fit(rows, np.array([place[n] for n in names], np.int64), langs, steps, hidden)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([langs], pa.list_(pa.string())), pa.array([[w.tobytes() for w in model.weights]], pa.list_(pa.binary())),
+        ], names=MODEL.names)
 
     return run
 
 
-def train(labelled: DataFrame, docs: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> Model:
-    """Model of rows (doc, text, lang): at most ``docs`` of each language, of least hash of id and text."""
+def sampled(labelled: DataFrame, docs: int, windows: int) -> DataFrame:
+    """(lang, h, at, window): windows of at most ``docs`` texts of each language."""
     known = labelled.filter("lang is not null and text is not null").select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc", "text").alias("h"),
     ).filter("octet_length(text) > 0")
     # The limit on ranks is applied before the shuffle too, so only chosen rows of a language meet.
     ranked = known.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("at") <= docs)
-    table = ranked.orderBy("lang", "h", "at").select("lang", "text").mapInArrow(_sampled(windows), SAMPLE).toArrow()
-    names = table.column("lang").to_pylist()
-    langs = sorted(set(names))
-    rows = np.frombuffer(b"".join(table.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
-    place = {lang: i for i, lang in enumerate(langs)}
-    return fit(rows, np.array([place[n] for n in names], np.int64), langs)
+    return ranked.select("lang", "h", "text").mapInArrow(_sampled(windows), SAMPLE)
+
+
+def train(
+    labelled: DataFrame, docs: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS, steps: int = STEPS, hidden: int = HIDDEN,
+) -> Model:
+    """Model of rows (doc, text, lang): at most ``docs`` of each language, of least hash of id and text.
+
+    The bounded sample is brought to one task, which fits the model; only the
+    weights come back.
+    """
+    sample = sampled(labelled, docs, windows)
+    fitted = sample.repartition(1).sortWithinPartitions("lang", "h", "at", "window").mapInArrow(_fitted(steps, hidden), MODEL).collect()
+    if not fitted:
+        return fresh([], hidden)
+    model = fresh(list(fitted[0].langs), hidden)
+    for weight, raw in zip(model.weights, fitted[0].weights):
+        weight[...] = np.frombuffer(raw, np.float32).reshape(weight.shape)
+    return model
 
 
 def document_means(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -265,7 +301,7 @@ def _predict(sent):
 
 def identify(
     docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS,
+    sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, steps: int = STEPS,
 ) -> DataFrame:
     """(doc, lang, score) for every row of ``docs``: the likeliest language and its probability.
 
@@ -281,7 +317,7 @@ def identify(
     others, and equal texts have equal results up to rounding.  An empty table
     gives an empty table; further columns are ignored.
     """
-    model = train(labelled, sample_docs, sample_windows)
+    model = train(labelled, sample_docs, sample_windows, steps)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("string").alias("text"))
     return source.mapInArrow(_predict(sent), SCORES)
