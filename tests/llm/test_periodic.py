@@ -62,7 +62,7 @@ def expected(rows):
 def periodic_texts():
     draw = random.Random(3)
     rows = []
-    for i in range(260):
+    for i in range(120):
         letters = [f"w{j}" for j in range(draw.choice([1, 2, 3, 40]))]
         words = []
         for _ in range(draw.randint(0, 6)):

@@ -24,4 +24,4 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-from touchline.llm import op01, op02, op03, op04, op05, op06, op08, op09, op10, op11, op12  # noqa: E402, F401
+from touchline.llm import op01, op02, op03, op04, op05, op06, op08, op09, op10, op11, op12, op13  # noqa: E402, F401
