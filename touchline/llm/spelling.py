@@ -11,8 +11,10 @@ An edit at place i can only touch grams that lie within ``top - 1`` places of
 it, where ``top`` is the greatest length of a gram; the most grams that one edit
 can touch is the word's affected-gram bound.  Of bound + 1 grams of a word at
 least one is a gram of every near word too, at the same place or one later.  So
-a word looks into the lists of its bound + 1 rarest grams only, and what the
-lists give is verified.  ``top`` is small enough, against the length of the
+a word looks into the lists of bound + 1 of its grams only.  An edit that spares
+a gram also spares all text to its left or all text to its right; a list is
+merged by both texts, which is why grams in the middle of a word ask first, and
+what the merge gives is verified.  ``top`` is small enough, against the length of the
 shorter word, for a word to have more grams than its bound: words of length c
 meet those of length c and c + 1 in a class of their own, with its own ``top``.
 
@@ -44,20 +46,22 @@ FREQUENT = 64
 BLOCK = 2048
 #: Words of up to so many code points are compared as rows of a matrix.
 WIDE = 32
+LEFT, RIGHT, BOTH = 1, 2, 3
 PAIRS_AT_ONCE = 1 << 19
 PIECE = 4 << 20
 KEPT_WORDS = 1 << 18
 
-#: Runs of a-z and U+00C0 to U+00FF in UTF-8, and a byte that is in none.
+#: Runs of a-z and U+00C0 to U+00FF in UTF-8, and a byte that is in none, whatever its case.
 RUN = re.compile(rb"(?:[a-z]+|(?:\xc3[\x80-\xbf])+)+")
-BETWEEN = re.compile(rb"[^a-z\x80-\xff]")
+BETWEEN = re.compile(rb"[^A-Za-z\x80-\xff]")
 LOWER_BYTES = LOWER.tobytes()
 
 COUNTS = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 GRAMS = T.StructType([T.StructField("gram", T.LongType()), T.StructField("places", T.LongType())])
 LISTED = T.StructType([
     T.StructField("list", T.LongType()), T.StructField("asks", T.BooleanType()), T.StructField("word", T.StringType()),
-    T.StructField("n", T.LongType()),
+    T.StructField("n", T.LongType()), T.StructField("sides", T.IntegerType()), T.StructField("begin", T.IntegerType()),
+    T.StructField("end", T.IntegerType()),
 ])
 NEAR = T.StructType([
     T.StructField("a", T.StringType()), T.StructField("n_a", T.LongType()), T.StructField("b", T.StringType()),
@@ -224,32 +228,38 @@ def _listed(sent):
             for at in range(0, batch.num_rows, 16384):
                 part = batch.slice(at, 16384)
                 words = part.column(0).to_pylist()
-                lists, asks, rows = [], [], []
+                made = []
 
-                def put(keys, row, asking):
-                    lists.append(keys), rows.append(row), asks.append(np.full(len(keys), asking))
+                def put(keys, row, asking, sides, begin, end):
+                    made.append((keys, np.full(len(keys), asking), row, np.full(len(keys), sides, np.int32), begin.astype(np.int32), end.astype(np.int32)))
 
                 for length, own in _by_length(words).items():
                     matrix = letters([words[i] for i in own], length)
                     size, kept, gram, count = decompose(matrix, top(length), known, counts)
                     i, p = np.nonzero(kept)
-                    put(_lists(length, 0, gram[i, p], p), own[i], False)
-                    # The rarest grams ask: one more than an edit can touch.
-                    order = np.argsort(np.where(kept, count * 256 + np.arange(size.shape[1]), np.iinfo(np.int64).max), 1, kind="stable")
+                    put(_lists(length, 0, gram[i, p], p), own[i], False, BOTH, p, p + size[i, p])
+                    # One gram more than an edit can touch asks: first those with most text on either side, then rare ones.
+                    place = np.arange(size.shape[1])
+                    known_text = np.minimum(place + size, length - place)
+                    order = np.lexsort((np.broadcast_to(place, size.shape), count, -known_text, ~kept), axis=1)
                     asked = np.arange(size.shape[1])[None] < np.minimum(affected(size, kept, length, top(length)) + 1, kept.sum(1))[:, None]
                     i, j = np.nonzero(asked)
                     p = order[i, j]
-                    put(_lists(length, 0, gram[i, p], p), own[i], True)
-                    put(_lists(length, 1, gram[i, p], p), own[i], True)
-                    put(_lists(length, 1, gram[i, p], p + 1), own[i], True)
+                    end = p + size[i, p]
+                    put(_lists(length, 0, gram[i, p], p), own[i], True, BOTH, p, end)
+                    # A longer word has the gram at its place if the edit is to its right, else one place later.
+                    put(_lists(length, 1, gram[i, p], p), own[i], True, LEFT, p, end)
+                    put(_lists(length, 1, gram[i, p], p + 1), own[i], True, RIGHT, p, end)
                     if top(length - 1) != top(length):
                         size, kept, gram, count = decompose(matrix, top(length - 1), known, counts)
                     i, p = np.nonzero(kept)
-                    put(_lists(length - 1, 1, gram[i, p], p), own[i], False)
-                if lists:
-                    row = pa.array(np.concatenate(rows))
+                    put(_lists(length - 1, 1, gram[i, p], p), own[i], False, BOTH, p, p + size[i, p])
+                if made:
+                    keys, asks, row, sides, begin, end = (np.concatenate(x) for x in zip(*made))
+                    row = pa.array(row)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate(lists)), pa.array(np.concatenate(asks)), part.column(0).take(row), part.column(1).take(row),
+                        pa.array(keys), pa.array(asks), part.column(0).take(row), part.column(1).take(row),
+                        pa.array(sides), pa.array(begin), pa.array(end),
                     ], names=LISTED.names)
 
     return run
@@ -294,38 +304,64 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
+def _texts(words: list[str], matrix: np.ndarray, size: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """Hashes of the text to the left of ``begin`` and of that to the right of ``end`` of each word."""
+    width = matrix.shape[1]
+    row = np.arange(len(words))
+    values = np.where(np.arange(width)[None] < size[:, None], matrix.astype(np.uint64) + np.uint64(1), np.uint64(0))
+    sums = np.zeros((len(words), width + 1), np.uint64)
+    np.cumsum(values * mix(np.arange(width, dtype=np.uint64) + np.uint64(1)), 1, out=sums[:, 1:])
+    left = sums[row, np.minimum(begin, width)]
+    from_end = np.maximum(size[:, None] - np.arange(width)[None], 0).astype(np.uint64)
+    np.cumsum((values * mix(from_end))[:, ::-1], 1, out=sums[:, 1:])
+    right = sums[row, np.maximum(width - end, 0)]
+    for i in np.flatnonzero(size > width).tolist():
+        own = np.frombuffer(words[i].encode("latin-1"), np.uint8).astype(np.uint64) + np.uint64(1)
+        place = np.arange(len(own), dtype=np.uint64)
+        left[i] = (own * mix(place + np.uint64(1)))[: begin[i]].sum()
+        right[i] = (own * mix(np.uint64(len(own)) - place))[end[i]:].sum()
+    return left, right
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of every work unit; rows come sorted by work, words in the list before those that ask."""
+    """Near pairs of every work unit; rows come sorted by work.
+
+    Words that ask meet those in their list that have the same text to the left
+    of the gram, or to its right.
+    """
     for table in _whole(batches):
-        work, asks = table.column(0).to_numpy(), table.column(1).to_numpy()
-        words, n = table.column(2).to_pylist(), table.column(3).to_numpy()
+        work, asks, n, sides, begin, end = (table.column(i).to_numpy() for i in (0, 1, 3, 4, 5, 6))
+        words = table.column(2).to_pylist()
         size = np.fromiter(map(len, words), np.int64, len(words))
         matrix = np.array([w.encode("latin-1") for w in words], f"S{WIDE}").view(np.uint8).reshape(-1, WIDE)
-        asker = np.flatnonzero(asks)
-        first = np.searchsorted(work, work[asker], "left")
-        # Words in a list stand before the first that asks.
-        before = np.append(0, np.cumsum(~asks))
-        counts = before[np.searchsorted(work, work[asker], "right")] - before[first]
-        total = np.append(0, np.cumsum(counts))
-        at = 0
-        while at < len(asker):
-            to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS_AT_ONCE, "right")) - 1)
-            a = np.repeat(asker[at:to], counts[at:to])
-            b = np.arange(len(a)) - np.repeat(total[at:to] - total[at], counts[at:to]) + np.repeat(first[at:to], counts[at:to])
-            at = to
-            wide = (size[a] <= WIDE) & (size[b] <= WIDE)
-            width = int(size[np.minimum(size, WIDE + 1) <= WIDE].max(initial=0))
-            x, y = a[wide], b[wide]
-            good = near(matrix[x, :width], matrix[y, :width], size[x], size[y])
-            pairs = list(zip(x[good].tolist(), y[good].tolist()))
-            pairs += [(i, j) for i, j in zip(a[~wide].tolist(), b[~wide].tolist()) if _one_edit(words[i], words[j])]
-            # Of words of equal length each finds the other; one order is enough.
-            pairs = [(i, j) for i, j in pairs if size[i] < size[j] or words[i] < words[j]]
-            if pairs:
-                i, j = np.array(pairs).T
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([words[k] for k in i], pa.string()), pa.array(n[i]), pa.array([words[k] for k in j], pa.string()), pa.array(n[j]),
-                ], names=NEAR.names)
+        matrix = matrix[:, : int(min(size.max(), WIDE))]
+        member = np.flatnonzero(~asks)
+        for side, text in zip((LEFT, RIGHT), _texts(words, matrix, size, begin, end)):
+            key = mix(text + mix(work.view(np.uint64) + np.uint64(side)))
+            order = member[np.argsort(key[member], kind="stable")]
+            sorted_ = key[order]
+            asker = np.flatnonzero(asks & ((sides & side) > 0))
+            first = np.searchsorted(sorted_, key[asker], "left")
+            counts = np.searchsorted(sorted_, key[asker], "right") - first
+            total = np.append(0, np.cumsum(counts))
+            at = 0
+            while at < len(asker):
+                to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS_AT_ONCE, "right")) - 1)
+                a = np.repeat(asker[at:to], counts[at:to])
+                b = order[np.arange(len(a)) + np.repeat(first[at:to] - total[at:to] + total[at], counts[at:to])]
+                at = to
+                wide = (size[a] <= WIDE) & (size[b] <= WIDE)
+                x, y = a[wide], b[wide]
+                good = near(matrix[x], matrix[y], size[x], size[y])
+                pairs = list(zip(x[good].tolist(), y[good].tolist()))
+                pairs += [(i, j) for i, j in zip(a[~wide].tolist(), b[~wide].tolist()) if _one_edit(words[i], words[j])]
+                # Of words of equal length each finds the other; one order is enough.
+                pairs = [(i, j) for i, j in pairs if size[i] < size[j] or words[i] < words[j]]
+                if pairs:
+                    i, j = np.array(pairs).T
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([words[k] for k in i], pa.string()), pa.array(n[i]), pa.array([words[k] for k in j], pa.string()), pa.array(n[j]),
+                    ], names=NEAR.names)
 
 
 def near_words(words: DataFrame, block: int = BLOCK, frequent: int = FREQUENT, size: int = DICTIONARY) -> DataFrame:
@@ -344,8 +380,8 @@ def near_words(words: DataFrame, block: int = BLOCK, frequent: int = FREQUENT, s
         if(asks, transform(sequence(0, i_n - 1), i -> xxhash64(list, i, cast(pmod(own, j_n) as int))),
           transform(sequence(0, j_n - 1), j -> xxhash64(list, cast(pmod(own, i_n) as int), j)))
     """))
-    work = cut.select(F.explode(unit).alias("work"), "asks", "word", "n")
-    return work.repartition("work").sortWithinPartitions("work", "asks").mapInArrow(_verified, NEAR)
+    work = cut.select(F.explode(unit).alias("work"), "asks", "word", "n", "sides", "begin", "end")
+    return work.repartition("work").sortWithinPartitions("work").mapInArrow(_verified, NEAR)
 
 
 def followed(forms: DataFrame) -> DataFrame:
