@@ -251,8 +251,8 @@ def _read(least: int, tile: int):
                 listed = lambda x: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[order], pa.int64()))
                 raw, off = words.data.tobytes(), words.offsets.tolist()
                 sha = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(off, off[1:])]
-                keep = pa.array(tiled | (each > 0))
-                text = pa.compute.if_else(keep, part.column(2), pa.scalar(None, part.column(2).type))
+                kept = tiled | (each > 0)
+                text = part.column(2).take(pa.array(np.arange(len(kept)), mask=~kept))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(sha, pa.string()),
                     pa.array(tiled), text, listed(period), listed(lo), listed(hi),
