@@ -233,11 +233,18 @@ def _fitted(steps: int, hidden: int):
 
 
 def sampled(labelled: DataFrame, docs: int, windows: int) -> DataFrame:
-    """(lang, h, at, window): windows of at most ``docs`` texts of each language."""
+    """(lang, h, at, window): windows of at most ``docs`` texts of each language.
+
+    The texts of a language are counted first, and only those whose hash lies in
+    a share that holds about twice ``docs`` of them are ranked, so that few
+    texts of a frequent language are shuffled.
+    """
     known = labelled.filter("lang is not null and text is not null").select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc", "text").alias("h"),
     ).filter("octet_length(text) > 0")
-    # The limit on ranks is applied before the shuffle too, so only chosen rows of a language meet.
+    counts = known.groupBy("lang").agg(F.count("*").alias("texts")).select(F.col("lang").alias("lang_"), "texts")
+    share = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) * F.col("texts") < F.lit((2 * docs + 64) << 30)
+    known = known.join(counts, known["lang"] == counts["lang_"]).filter(share)
     ranked = known.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("at") <= docs)
     return ranked.select("lang", "h", "text").mapInArrow(_sampled(windows), SAMPLE)
 
