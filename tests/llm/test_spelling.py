@@ -11,7 +11,7 @@ import pytest
 
 from touchline.llm import spelling
 from touchline.llm.op13 import misspelt, op13
-from touchline.llm.spelling import count_words, decompose, letters, near_words, spelling_variants, top
+from touchline.llm.spelling import count_words, decompose, letters, near_words, spelling_variants, spread, top
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzäéß"
 
@@ -138,3 +138,10 @@ def test_query_on_the_smallest_tables(spark):
     found = op13(spark, sf)
     assert found.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert sorted((r.word, r.n, r.n_near, r.form, r.form_n, r.root) for r in found.collect()) == want
+
+
+def test_words_as_rows(counts):
+    words = ["", "é", *counts, "a\u0080Âÿ"]
+    matrix, size = spread(pa.array(words)[1:], 12)
+    assert size.tolist() == [len(w) for w in words[1:]]
+    assert [bytes(r).rstrip(b"\0").decode("latin-1") for r in matrix] == [w[:12] for w in words[1:]]

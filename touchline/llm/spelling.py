@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.llm.groups import small
-from touchline.llm.text import LOWER, mix
+from touchline.llm.text import LOWER, buffers, mix
 from touchline.sources.stage import stage
 
 QMIN, QMAX = 2, 6
@@ -304,45 +304,73 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def _texts(words: list[str], matrix: np.ndarray, size: np.ndarray, begin: np.ndarray, end: np.ndarray):
-    """Hashes of the text to the left of ``begin`` and of that to the right of ``end`` of each word."""
+def spread(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first code points of each word, filled up with zeros, as rows of at most ``width``, and the words' lengths."""
+    data, offsets = buffers(column)
+    lead = (data == 0xC2) | (data == 0xC3)
+    value = data.copy()
+    value[1:][lead[:-1] & (data[:-1] == 0xC3)] += 0x40
+    ends = np.append(0, np.cumsum(~lead))[offsets]
+    size = np.diff(ends)
+    value = value[~lead]
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(value)) - ends[row]
+    out = np.zeros((len(size), int(min(size.max(initial=0), width))), np.uint8)
+    inside = place < out.shape[1]
+    out[row[inside], place[inside]] = value[inside]
+    return out, size
+
+
+def _texts(words: pa.Array, matrix: np.ndarray, size: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """Hashes of each word, of its text to the left of ``begin`` and of that to the right of ``end``."""
     width = matrix.shape[1]
     row = np.arange(len(words))
     values = np.where(np.arange(width)[None] < size[:, None], matrix.astype(np.uint64) + np.uint64(1), np.uint64(0))
     sums = np.zeros((len(words), width + 1), np.uint64)
     np.cumsum(values * mix(np.arange(width, dtype=np.uint64) + np.uint64(1)), 1, out=sums[:, 1:])
-    left = sums[row, np.minimum(begin, width)]
+    whole, left = sums[:, -1].copy(), sums[row, np.minimum(begin, width)]
     from_end = np.maximum(size[:, None] - np.arange(width)[None], 0).astype(np.uint64)
     np.cumsum((values * mix(from_end))[:, ::-1], 1, out=sums[:, 1:])
     right = sums[row, np.maximum(width - end, 0)]
     for i in np.flatnonzero(size > width).tolist():
-        own = np.frombuffer(words[i].encode("latin-1"), np.uint8).astype(np.uint64) + np.uint64(1)
+        own = np.frombuffer(words[i].as_py().encode("latin-1"), np.uint8).astype(np.uint64) + np.uint64(1)
         place = np.arange(len(own), dtype=np.uint64)
+        whole[i] = (own * mix(place + np.uint64(1))).sum()
         left[i] = (own * mix(place + np.uint64(1)))[: begin[i]].sum()
         right[i] = (own * mix(np.uint64(len(own)) - place))[end[i]:].sum()
-    return left, right
+    return mix(whole), left, right
+
+
+def _signs(matrix: np.ndarray) -> np.ndarray:
+    """The set of letters of each row, as bits of their low six bits; one edit changes two at most."""
+    bits = np.where(matrix > 0, np.uint64(1) << (matrix & 63).astype(np.uint64), np.uint64(0))
+    return np.bitwise_or.reduce(bits, 1)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Near pairs of every work unit; rows come sorted by work.
 
     Words that ask meet those in their list that have the same text to the left
-    of the gram, or to its right.
+    of the gram, or to its right.  Of words of equal length, which both ask, the
+    one with the smaller hash does.
     """
+    low = np.uint64((1 << 24) - 1)
     for table in _whole(batches):
         work, asks, n, sides, begin, end = (table.column(i).to_numpy() for i in (0, 1, 3, 4, 5, 6))
-        words = table.column(2).to_pylist()
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        matrix = np.array([w.encode("latin-1") for w in words], f"S{WIDE}").view(np.uint8).reshape(-1, WIDE)
-        matrix = matrix[:, : int(min(size.max(), WIDE))]
+        names = table.column(2).combine_chunks()
+        names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+        matrix, size = spread(names, WIDE)
+        signs = _signs(matrix)
         member = np.flatnonzero(~asks)
-        for side, text in zip((LEFT, RIGHT), _texts(words, matrix, size, begin, end)):
-            key = mix(text + mix(work.view(np.uint64) + np.uint64(side)))
-            order = member[np.argsort(key[member], kind="stable")]
-            sorted_ = key[order]
+        whole, *texts = _texts(names, matrix, size, begin, end)
+        rank = whole >> np.uint64(40)
+        for side, text in zip((LEFT, RIGHT), texts):
+            key = mix(text + mix(work.view(np.uint64) + np.uint64(side))) & ~low
+            order = member[np.argsort(key[member] | rank[member])]
+            sorted_ = key[order] | rank[order]
             asker = np.flatnonzero(asks & ((sides & side) > 0))
-            first = np.searchsorted(sorted_, key[asker], "left")
-            counts = np.searchsorted(sorted_, key[asker], "right") - first
+            first = np.searchsorted(sorted_, key[asker] | np.where(sides[asker] == BOTH, rank[asker], np.uint64(0)), "left")
+            counts = np.searchsorted(sorted_, key[asker] | low, "right") - first
             total = np.append(0, np.cumsum(counts))
             at = 0
             while at < len(asker):
@@ -351,21 +379,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b = order[np.arange(len(a)) + np.repeat(first[at:to] - total[at:to] + total[at], counts[at:to])]
                 at = to
                 wide = (size[a] <= WIDE) & (size[b] <= WIDE)
-                x, y = a[wide], b[wide]
+                alike = wide & (np.bitwise_count(signs[a] ^ signs[b]) <= 2)
+                x, y = a[alike], b[alike]
                 good = near(matrix[x], matrix[y], size[x], size[y])
-                pairs = list(zip(x[good].tolist(), y[good].tolist()))
-                pairs += [(i, j) for i, j in zip(a[~wide].tolist(), b[~wide].tolist()) if _one_edit(words[i], words[j])]
-                # Of words of equal length each finds the other; one order is enough.
-                pairs = [(i, j) for i, j in pairs if size[i] < size[j] or words[i] < words[j]]
-                if pairs:
-                    i, j = np.array(pairs).T
+                i, j = x[good], y[good]
+                rest = [(k, m) for k, m in zip(a[~wide].tolist(), b[~wide].tolist()) if _one_edit(names[k].as_py(), names[m].as_py())]
+                if rest:
+                    i, j = (np.append(u, v) for u, v in zip((i, j), np.array(rest).T))
+                if len(i):
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([words[k] for k in i], pa.string()), pa.array(n[i]), pa.array([words[k] for k in j], pa.string()), pa.array(n[j]),
+                        names.take(pa.array(i)), pa.array(n[i]), names.take(pa.array(j)), pa.array(n[j]),
                     ], names=NEAR.names)
 
 
 def near_words(words: DataFrame, block: int = BLOCK, frequent: int = FREQUENT, size: int = DICTIONARY) -> DataFrame:
-    """(a, n_a, b, n_b): near words among the distinct ones of (word, n), once or more often, in one order."""
+    """(a, n_a, b, n_b): near words among the distinct ones of (word, n), each pair once or more often."""
     sent = words.sparkSession.sparkContext.broadcast(gram_dictionary(words, frequent, size))
     listed = stage(words.select("word", "n").mapInArrow(_listed(sent), LISTED), "lists")
     sizes = listed.groupBy("list").agg(
