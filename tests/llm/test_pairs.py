@@ -79,8 +79,8 @@ def test_trie_finds_what_all_pairs_find():
     assert set(zip(u.tolist(), v.tolist())) == want and len(u) == len(want)
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_near_vectors_agree_with_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,parameters", [(1024, {}), (16, {}), (1024, {"recall": None, "list_rows": 12}), (8, {"recall": None, "list_rows": 40})])
+def test_near_vectors_agree_with_all_pairs(spark, monkeypatch, block, parameters):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     draw = np.random.default_rng(4)
     centres = draw.normal(size=(6, 12))
@@ -88,7 +88,7 @@ def test_near_vectors_agree_with_all_pairs(spark, monkeypatch, block):
     table += [(200 + i, table[5][1]) for i in range(4)] + [(210, [2 * x for x in table[5][1]])]
     table += [(300, None), (301, []), (302, [0.0] * 12), (303, [math.nan] * 12), (304, [math.inf] + [0.0] * 11)]
     table += [(305, [None] + [1.0] * 11), (306, [1e300] * 12), (307, [1e-300] * 12), (308, table[0][1][:11]), (None, table[0][1])]
-    found = near_vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()
+    found = near_vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>"), **parameters).collect()
 
     def fine(i, v):
         return i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)
@@ -104,3 +104,26 @@ def test_near_vectors_agree_with_all_pairs(spark, monkeypatch, block):
     assert {r.id: (r.n_links, r.component_id) for r in found if r.id is not None} == want
     assert [tuple(r) for r in found if r.id is None] == [(None, None, 0, None)]
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_probed_lists_reach_the_recall(spark):
+    """Pairs at a cosine of hardly more than 0.9, among random vectors, in lists of few vectors."""
+    draw = np.random.default_rng(6)
+    base = draw.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = draw.normal(size=base.shape)
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = draw.uniform(0.901, 0.93, (1500, 1))
+    near = cosine * base + np.sqrt(1 - cosine ** 2) * aside
+    points = np.concatenate([base, near])
+    rows = [(i, v) for i, v in enumerate(points.tolist())]
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), list_rows=50).collect()
+    got = {r.id: (r.n_links, r.component_id) for r in found}
+    linked = sum(got[i + 1500][1] == i for i in range(1500))
+    assert linked >= 0.98 * 1500
+    cosines = points @ points.T
+    np.fill_diagonal(cosines, 0)
+    assert all(n <= (cosines[i] >= 0.9).sum() for i, (n, _) in got.items())
+    index = embedding_dedup.train(points, 3000, 0.9, list_rows=50)
+    assert 0 < index.count < 0.5 * len(index.coarse)

@@ -3,20 +3,26 @@
 Unit vectors go to the list of their nearest coarse centroid; what is left of a
 vector is coded by one codeword per subspace.  A query looks into other lists
 and compares itself with codes by table look-up, and survivors are compared in
-double precision.  All three cuts are bounds, so no link is lost:
-
-* Lists.  If x is in list a and y in list b, then x is not nearer to c_b than
-  to c_a.  For |x - y| <= r it follows that y.(c_b - c_a) <= r |c_b - c_a|;
-  lists that fail this are not probed.  A pair of lists is looked at from one
-  side only.
-* Codes.  The distance e of a vector from its code is stored with it; the
-  product with a unit vector differs from the looked-up one by e at most.
+double precision.
+
+* Lists hold some LIST_ROWS vectors each, so their number follows the rows (up
+  to LISTS).  A vector probes its own list and the ``probes`` next nearest ones.
+  How many that are is measured when the index is fitted: vectors of the sample
+  get partners at exactly the least cosine, in random directions, and so many
+  lists are probed that the share ``recall`` of these pairs meet, from either
+  side.  Nearer pairs meet more often.  With ``recall=None`` every list is
+  probed that can hold a linked vector: if x is in list a and y in list b, then
+  |x - y| <= r implies y.(c_b - c_a) <= r |c_b - c_a|.
+* Codes lose no link.  With p the angle between y and its decoded code z, and t
+  the angle of the least cosine, x.z >= |z| cos(p + t) for every x linked to y;
+  this floor is stored with the code, and looked-up products below it are out.
 * Rerank.  What is left gets its exact cosine.
 
-Centroids and codewords are fitted on a bounded sample (SAMPLE_ROWS vectors of
-least hash); every vector is indexed.  Lists grow with the root of the rows up
-to LISTS.  Large lists are cut into blocks, and pairs of blocks are the units
-of work; equal vectors are one class throughout.
+A pair that meets in both lists is counted in one: that of the side whose list
+comes first, if the other side probes it.  Centroids and codewords are fitted
+on a bounded sample (SAMPLE_ROWS vectors of least hash); every vector is
+indexed.  Large lists are cut into blocks, and pairs of blocks are the units of
+work; equal vectors are one class throughout.
 """
 
 from __future__ import annotations
@@ -35,7 +41,9 @@ from touchline.llm.groups import flat, runs
 from touchline.sources.stage import stage
 
 SAMPLE_ROWS = 16_384
-LISTS = 1024
+LISTS = 4096
+LIST_ROWS = 256
+RECALL = 0.995
 SUBSPACES = 8
 CODEWORDS = 64
 BLOCK = 1024
@@ -45,7 +53,7 @@ EPSILON = 1e-9
 INDEXED = T.StructType([
     T.StructField("cls", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("list", T.IntegerType()),
     T.StructField("dim", T.IntegerType()), T.StructField("unit", T.BinaryType()),
-    T.StructField("code", T.BinaryType()), T.StructField("error", T.DoubleType()),
+    T.StructField("code", T.BinaryType()), T.StructField("floor", T.DoubleType()),
     T.StructField("near", T.ArrayType(T.IntegerType(), False)),
 ])
 HITS = T.StructType([
@@ -100,43 +108,81 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class Index:
     coarse: np.ndarray
     words: np.ndarray  # subspace x codeword x part
-    radius: float  # greatest distance of a linked pair
+    cosine: float  # least cosine of a linked pair
+    count: int | None  # lists probed beside the own one; None for all that can hold a link
 
     @property
     def width(self) -> int:
         return self.coarse.shape[1]
 
+    def scores(self, points: np.ndarray) -> np.ndarray:
+        """Greatest for the nearest centroid."""
+        return points @ self.coarse.T - 0.5 * (self.coarse ** 2).sum(1)
+
     def encode(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """List, code and distance from the code of each unit vector."""
+        """List, code and least looked-up product with a linked vector of each unit vector."""
         own = _nearest(points, self.coarse)
-        rest = points - self.coarse[own]
+        decoded = self.coarse[own]
+        rest = points - decoded
         code = np.empty((len(points), len(self.words)), np.uint8)
         step = self.words.shape[2]
         for s, words in enumerate(self.words):
-            part = rest[:, s * step: (s + 1) * step]
-            code[:, s] = _nearest(part, words)
-            rest[:, s * step: (s + 1) * step] = part - words[code[:, s]]
-        return own, code, np.sqrt((rest * rest).sum(1))
+            code[:, s] = _nearest(rest[:, s * step: (s + 1) * step], words)
+            decoded[:, s * step: (s + 1) * step] += words[code[:, s]]
+        length = np.sqrt((decoded * decoded).sum(1))
+        along = (decoded * points).sum(1)
+        across = np.sqrt(np.maximum(length ** 2 - along ** 2, 0))
+        floor = self.cosine * along - np.sqrt(1 - self.cosine ** 2) * across
+        # Beyond a right angle and more, the cap around y reaches the side opposite to z.
+        far = along < -self.cosine * length
+        return own, code, np.where(far, -length, floor)
 
     def probes(self, points: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-        """Lists before the own one that can hold a linked vector."""
+        """Other lists that each vector looks into."""
+        near = self.scores(points)
+        row = np.arange(len(points))
+        if self.count is not None:
+            near[row, own] = -np.inf
+            count = min(self.count, near.shape[1] - 1)
+            if not count:
+                return [np.zeros(0, np.int32)] * len(points)
+            return list(np.sort(np.argpartition(-near, count - 1, axis=1)[:, :count], 1).astype(np.int32))
         square = (self.coarse ** 2).sum(1)
         gaps = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * self.coarse @ self.coarse.T, 0))
-        near = points @ self.coarse.T - 0.5 * square  # greatest for the nearest centroid
-        lead = near[np.arange(len(points)), own][:, None] - near
-        open_ = lead <= self.radius * gaps[own] + EPSILON
-        open_ &= np.arange(len(self.coarse))[None] < own[:, None]
+        radius = np.sqrt(max(0.0, 2 - 2 * self.cosine))
+        open_ = near[row, own][:, None] - near <= radius * gaps[own] + EPSILON
+        open_[row, own] = False
         return [np.flatnonzero(x).astype(np.int32) for x in open_]
 
 
-def train(sample: np.ndarray, rows: int, cosine: float) -> Index:
-    lists = int(np.clip(round(rows ** 0.5), 1, LISTS))
+def wanted_probes(index: Index, sample: np.ndarray, recall: float) -> int:
+    """Lists to probe for ``recall`` of pairs at the least cosine to meet, from either side."""
+    points = sample[: 4096]
+    draw = np.random.default_rng(3)
+    aside = draw.standard_normal(points.shape)
+    aside -= (aside * points).sum(1, keepdims=True) * points
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-300)
+    partners = index.cosine * points + np.sqrt(1 - index.cosine ** 2) * aside
+    row = np.arange(len(points))
+    ranks = []
+    a, b = index.scores(points), index.scores(partners)
+    own_a, own_b = a.argmax(1), b.argmax(1)
+    for near, other in ((a, own_b), (b, own_a)):
+        ranks.append((near > near[row, other][:, None]).sum(1))
+    return int(np.quantile(np.minimum(*ranks), recall, method="higher"))
+
+
+def train(sample: np.ndarray, rows: int, cosine: float, recall: float | None = RECALL, list_rows: int = LIST_ROWS) -> Index:
+    lists = int(np.clip(round(rows / list_rows), 1, LISTS))
     coarse = _means(sample, lists, 8, 7, unit=True)
     rest = sample - coarse[_nearest(sample, coarse)]
     step = sample.shape[1] // SUBSPACES
     words = [_means(np.ascontiguousarray(rest[:, s * step: (s + 1) * step]), CODEWORDS, 8, s, unit=False) for s in range(SUBSPACES)]
     least = min(map(len, words))
-    return Index(coarse, np.stack([w[:least] for w in words]), float(np.sqrt(max(0.0, 2 - 2 * cosine))))
+    index = Index(coarse, np.stack([w[:least] for w in words]), cosine, None)
+    if recall is not None:
+        index.count = wanted_probes(index, sample, recall)
+    return index
 
 
 def _index(sent):
@@ -146,18 +192,18 @@ def _index(sent):
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 points, sizes = units(part.column(2), index.width)
-                own, code, error = index.encode(points)
+                own, code, floor = index.encode(points)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(own.astype(np.int32)),
                     pa.array(sizes.astype(np.int32)), pa.array([x.tobytes() for x in points], pa.binary()),
-                    pa.array([x.tobytes() for x in code], pa.binary()), pa.array(error),
+                    pa.array([x.tobytes() for x in code], pa.binary()), pa.array(floor),
                     pa.array(index.probes(points, own), pa.list_(pa.int32())),
                 ], names=INDEXED.names)
 
     return run
 
 
-def unit_links(index: Index, list_: int, points, code, error, dim, member, query, same: bool, cosine: float):
+def unit_links(index: Index, list_: int, points, code, floor, dim, member, query, same: bool, cosine: float):
     """Linked pairs (member row, query row) of one pair of blocks.
 
     In a block paired with itself each pair is looked at once.
@@ -172,7 +218,7 @@ def unit_links(index: Index, list_: int, points, code, error, dim, member, query
         for s in range(steps):
             table = points[own, s * width: (s + 1) * width] @ index.words[s].T
             looked += table[:, code[member, s]]
-        q, m = np.nonzero(looked + error[member][None] >= cosine - EPSILON)
+        q, m = np.nonzero(looked >= floor[member][None] - EPSILON)
         q, m = own[q], member[m]
         good = dim[q] == dim[m]
         if same:
@@ -196,10 +242,14 @@ def _links(sent, cosine: float):
             code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(cls), -1)
             same = bool((role == 2).any())
             member, query = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
-            u, v = unit_links(
-                index, int(part.column("at")[0].as_py()), points, code, part.column("error").to_numpy(), dim,
-                member, query, same, cosine,
-            )
+            at = int(part.column("at")[0].as_py())
+            u, v = unit_links(index, at, points, code, part.column("floor").to_numpy(), dim, member, query, same, cosine)
+            if not same and len(u):
+                # Members u of this list, queries v of another: if that one comes first and u probes it, it is counted there.
+                home = part.column("list").to_numpy()[v]
+                probed, begin = flat(part.column("near"))
+                there = np.array([h < at and h in probed[begin[i]: begin[i + 1]] for i, h in zip(u.tolist(), home.tolist())])
+                u, v = u[~there], v[~there]
             if not len(u):
                 continue
             links = np.zeros(len(cls), np.int64)
@@ -214,11 +264,14 @@ def _links(sent, cosine: float):
 
 def near_vectors(
     rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = 0.9,
+    recall: float | None = RECALL, list_rows: int = LIST_ROWS,
 ) -> DataFrame:
     """(id, class_id, n_links, component_id) for every row.
 
     Two rows link if the cosine of their vectors, in double precision, is at
-    least ``cosine`` (over 0.5).  ``class_id`` is the least id with an equal
+    least ``cosine`` (over 0.5); links between different vectors are found if
+    they meet in a probed list (see above; ``recall=None`` finds all), and equal
+    vectors always link.  ``class_id`` is the least id with an equal
     vector, ``n_links`` the number of other rows linked directly (equal ones
     included), ``component_id`` the least id that links reach, the own one
     included.
@@ -250,7 +303,7 @@ def near_vectors(
     count, width = shape[0], -(-(shape[1] or 1) // SUBSPACES) * SUBSPACES
     sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE_ROWS).select("vector").toArrow()
     points = units(sample.column(0).combine_chunks(), width)[0] if sample.num_rows else np.eye(1, width)
-    index = train(points, count, cosine)
+    index = train(points, count, cosine, recall, list_rows)
     sent = spark.sparkContext.broadcast(index)
     indexed = stage(
         classes.select("cls", "copies", "vector").mapInArrow(_index(sent), INDEXED), "indexed",
@@ -284,7 +337,7 @@ def near_vectors(
         "cls", "at", F.xxhash64("at", "m.kind", "m.i", "m.j").alias("work"), F.col("m.role").alias("role"),
     )
     hits = stage(
-        work.join(indexed.select("cls", "copies", "dim", "unit", "code", "error"), "cls")
+        work.join(indexed.select("cls", "copies", "dim", "unit", "code", "floor", "list", "near"), "cls")
         .repartition("work").sortWithinPartitions("work").mapInArrow(_links(sent, cosine), HITS),
         "hits",
     )
