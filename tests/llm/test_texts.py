@@ -202,7 +202,7 @@ def test_quality_scores_held_out_rows(spark, docs):
 def test_quality_votes_are_exact_cosines():
     draw = random.Random(4)
     texts = pa.array([" ".join(draw.choice(["ab", "Cd", "e!", "12"]) for _ in range(30)) for _ in range(80)])
-    shares = matrix(text.words_of(texts))
+    shares = matrix(texts)
     model = fit(shares, np.array([i % 2 for i in range(80)], float))
     near = model.latent(shares[:5]) @ model.vectors.T
     for i in range(5):
@@ -244,3 +244,16 @@ def test_suffixes_of_one_seed_are_added_up_and_spread(spark, rows):
         assert rows(suffix_array._sorted(spread), *columns) == rows(seed_extend._joined(spread), *columns)
     finally:
         spark.conf.set(name, before)
+
+
+def test_long_texts_are_scored_in_pieces(spark, docs):
+    texts = pa.array(["Some words, and some more of them. " * 3000, None, "short one", "x" * 50_000, "a b " * 20_000])
+    whole, parts = matrix(texts), matrix(texts, piece=1000)
+    assert np.array_equal(whole[[1, 2]], parts[[1, 2]]) and np.allclose(whole, parts, atol=0.05)
+    assert not np.isnan(parts).any() and np.allclose((parts ** 2).sum(1), [1, 0, 1, 1, 1])
+
+
+def test_all_neighbours_that_tie_vote():
+    shares = np.eye(4)[[0] * 20 + [1] * 20]
+    model = fit(np.pad(shares, ((0, 0), (0, matrix(pa.array(["x"])).shape[1] - 4))), np.array([1.0] * 12 + [0.0] * 8 + [0.0] * 20))
+    assert np.allclose(model.score(np.eye(matrix(pa.array(["x"])).shape[1])[:1]), 0.6)

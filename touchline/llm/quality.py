@@ -11,6 +11,7 @@ their cosine.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.llm.groups import flat
-from touchline.llm.text import SPACED, Words, lists, mix, slices, words_of
+from touchline.llm.text import SPACED, Words, buffers, lists, mix, slices, words_of
 
 FEATURES = 2048
 #: Labelled rows that a model is made of at most.
 SAMPLE_ROWS = 4000
 RANK = 48
 NEAREST = 15
+PIECE = 2 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 POWER = 8.0
 
 TERMS = T.StructType([
@@ -68,11 +71,41 @@ def _terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
-def matrix(words: Words) -> np.ndarray:
-    """Square-root term shares, one row per text; rows of empty texts are 0."""
+def _sums(column: pa.Array) -> np.ndarray:
+    words = words_of(column, SPACED)
     doc, term, weight = _terms(words)
-    sums = np.bincount(doc * FEATURES + term, weight, minlength=words.n_docs * FEATURES)
-    sums = sums.reshape(words.n_docs, FEATURES)
+    return np.bincount(doc * FEATURES + term, weight, minlength=words.n_docs * FEATURES).reshape(words.n_docs, FEATURES)
+
+
+def _pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """Pieces of about ``size`` bytes, cut at white space."""
+    at = 0
+    while len(text) - at > size:
+        cut = SPACE.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at: cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def matrix(column: pa.Array, piece: int = PIECE) -> np.ndarray:
+    """Square-root term shares, one row per text; rows of empty texts are 0.
+
+    A text longer than ``piece`` bytes is added up piece by piece; pairs and
+    repetitions of words across a cut are not counted.
+    """
+    sizes = np.diff(buffers(column)[1])
+    if (sizes <= piece).all():
+        sums = _sums(column)
+    else:
+        sums = np.zeros((len(column), FEATURES))
+        for row in range(len(column)):
+            if sizes[row] <= piece:
+                sums[row] = _sums(column.slice(row, 1))[0]
+                continue
+            for part in _pieces(column[row].as_buffer().to_pybytes(), piece):
+                sums[row] += _sums(pa.array([part], pa.large_binary()))[0]
     total = sums.sum(1, keepdims=True)
     return np.sqrt(np.divide(sums, total, out=np.zeros_like(sums), where=total > 0))
 
@@ -90,15 +123,18 @@ class Model:
         return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
     def score(self, shares: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest; the prior without any."""
+        """Similarity-weighted share of label 1 among the nearest; the prior without any.
+
+        All that are as near as the last of the nearest vote too."""
         if not len(self.labels):
             return np.full(len(shares), self.prior)
         near = self.latent(shares) @ self.vectors.T
         k = min(NEAREST, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, top, 1), 0.0) ** POWER
-        total = weight.sum(1)
-        voted = (weight * self.labels[top]).sum(1)
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+        row, top = np.nonzero(near >= least[:, None])
+        weight = np.maximum(near[row, top], 0.0) ** POWER
+        total = np.bincount(row, weight, minlength=len(shares))
+        voted = np.bincount(row, weight * self.labels[top], minlength=len(shares))
         return np.clip(np.divide(voted, total, out=np.full(len(shares), self.prior), where=total > 0), 0.0, 1.0)
 
 
@@ -124,7 +160,7 @@ def fit(shares: np.ndarray, labels: np.ndarray) -> Model:
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
-            shares = matrix(words_of(part.column(1), SPACED))
+            shares = matrix(part.column(1))
             rows, terms = np.nonzero(shares)
             counts = np.bincount(rows, minlength=len(shares)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
@@ -132,17 +168,20 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=TERMS.names)
 
 
-def _scorer(sent):
+def _scorer(sent, text: int | None):
+    """Scores of the text column, or of field ``text`` of rows that are kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            texts = batch.column(1) if text is None else batch.column(1).flatten()[text]
+            own = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), texts.cast(pa.string())], names=["row", "text"])
+            for part in slices(own, "text", 2 << 20):
                 for at in range(0, part.num_rows, 512):
                     block = part.slice(at, 512)
-                    score = model.score(matrix(words_of(block.column(1), SPACED)))
-                    yield pa.RecordBatch.from_arrays(
-                        [block.column(0), pa.array(score), *block.columns[2:]], names=[*SCORES.names, "row"][: block.num_columns],
-                    )
+                    rows = batch.slice(block.column(0)[0].as_py(), block.num_rows)
+                    score = pa.array(model.score(matrix(block.column(1))))
+                    kept = [rows.column(1)] if text is not None else []
+                    yield pa.RecordBatch.from_arrays([rows.column(0), score, *kept], names=[*SCORES.names, "row"][: 2 + len(kept)])
 
     return run
 
@@ -152,11 +191,10 @@ def train(docs: DataFrame, labelled: DataFrame, id_column: str, text_column: str
     chosen = labelled.filter("doc is not null and label is not null").orderBy(
         F.xxhash64("doc"), "doc", "label",
     ).limit(sample_rows)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text")).join(
-        chosen, "doc",
-    ).select("label", "text").mapInArrow(_sampled, TERMS)
-    # Repeated ids give more rows than were chosen; the bound holds all the same.
-    table = rows.limit(sample_rows).toArrow()
+    rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("string").alias("text")).join(chosen, "doc")
+    # Repeated ids give more rows than were chosen; the bound holds all the same, by a fixed order.
+    rows = rows.orderBy("doc", "label", F.xxhash64("text"), "text").limit(sample_rows)
+    table = rows.select("label", "text").mapInArrow(_sampled, TERMS).toArrow()
     shares = np.zeros((table.num_rows, FEATURES), np.float32)
     if table.num_rows:
         terms, first = flat(table.column("term"))
@@ -178,14 +216,21 @@ def score_quality(
     score.  Null and empty texts score the share of label 1 in the sample, and
     all texts score 0.5 if there is no sample.  Rows with null or repeated ids
     are scored like all others, null labels and label rows without a document
-    are left out, and equal texts have equal scores.  An empty table gives an
+    are left out, and equal texts have equal scores up to rounding.  Of labelled
+    rows with equal ids those that come first by label and hash of the text
+    teach.  Neighbours that tie with the last one that votes vote too.  Texts of
+    any length are read whole, in pieces.  An empty table gives an
     empty table; further columns are ignored.
     """
     model = train(docs, labelled, id_column, text_column, sample_rows)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    row = [F.struct(*docs.columns).alias("row")] if keep_row else []
-    source = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"), *row)
-    return source.mapInArrow(_scorer(sent), T.StructType([*SCORES.fields, *source.schema.fields[2:]]))
+    doc = F.col(id_column).cast("long").alias("doc")
+    if keep_row:  # the text goes through Python once, inside its row
+        source = docs.select(doc, F.struct(*docs.columns).alias("row"))
+        place = docs.columns.index(text_column)
+        return source.mapInArrow(_scorer(sent, place), T.StructType([*SCORES.fields, source.schema["row"]]))
+    source = docs.select(doc, F.col(text_column).cast("string").alias("text"))
+    return source.mapInArrow(_scorer(sent, None), SCORES)
 
 
 def held_out(id_column):
