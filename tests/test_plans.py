@@ -13,6 +13,7 @@ from touchline.operators.results import COUNT_COLUMNS, IDENTITY_COLUMNS, ODDS_CO
 from touchline.plans import detail, ingest, narration, season
 from touchline.sources import assets, landed, tables
 from touchline.streaming.key_events import key_event_stream, store_key_events
+from touchline.streaming import unseen as streaming_unseen
 from touchline.streaming.unseen import append_unseen
 
 HOME, AWAY = "Bayer Leverkusen", "VfB Stuttgart"
@@ -294,6 +295,36 @@ def test_unseen_stream_adds_each_match_once(spark, tmp_path):
     assert run() == [(1, "a"), (1, "b"), (1, "late"), (2, "c")]
 
 
+def test_stream_batches_do_not_read_the_table(spark, tmp_path, monkeypatch):
+    """Stored rows are read once a run; a run that was stopped halfway adds nothing twice."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "done")
+    schema = "match_id bigint, v string"
+    spark.createDataFrame([(0, "before"), (1, "a")], schema).write.parquet(target)
+    for i in range(6):
+        rows = [(i, "a"), (i, "b"), (0, "before"), (max(i - 1, 0), "b")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    read, kept = [], streaming_unseen.read_table
+    monkeypatch.setattr(streaming_unseen, "read_table", lambda spark, path, schema: read.append(path) or kept(spark, path, schema))
+
+    def run():
+        read.clear()
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        query = append_unseen(stream, target, ["match_id", "v"], "progress", folder=str(tmp_path))
+        query.awaitTermination()
+        assert read.count(target) <= 2
+        return sorted(map(tuple, spark.read.parquet(target).collect())), len([p for p in query.recentProgress if p["numInputRows"]])
+
+    want = sorted([(0, "before"), *((i, v) for i in range(6) for v in "ab")])
+    assert run() == (want, 6)
+    # The last batch was stored but not committed.
+    commits = tmp_path / "progress" / "commits"
+    for name in ("5", ".5.crc"):
+        (commits / name).unlink()
+    assert run()[0] == want
+    spark.createDataFrame([(5, "b"), (9, "z"), (0, "before")], schema).coalesce(1).write.mode("append").parquet(source)
+    assert run()[0] == sorted([*want, (9, "z")])
+
+
 @pytest.mark.parametrize("form", ["file", "folder", "one file per batch", "shuffled"])
 def test_key_event_stream_loses_nothing(spark, tmp_path, rows, form):
     """The same rows for one file, for part files, for many batches, and in any order."""

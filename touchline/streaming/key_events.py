@@ -21,7 +21,8 @@ def key_event_stream(events: DataFrame) -> DataFrame:
 def store_key_events(events: DataFrame, path: str, name: str, **options) -> StreamingQuery:
     """Append each key event to the table once, in whatever order and however late it comes.
 
-    An event that was delivered before is known by its id in the stored table,
-    so there is no span of time after which a repeat or a late goal is lost.
+    An event that was delivered before is known by its id in the state of the
+    stream, so there is no span of time after which a repeat or a late goal is
+    lost, and the stored table is not read for it.
     """
     return append_unseen(key_event_stream(events), path, KEY, name, **options)
