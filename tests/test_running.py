@@ -45,6 +45,46 @@ def test_numbered(spark, skewed):
         assert [n for _, n in mine] == list(range(1, len(mine) + 1))
 
 
+@pytest.mark.parametrize("width", [1, 7, 10_000])
+def test_next_values(spark, skewed, width):
+    df = spark.createDataFrame(skewed, "k string, minute int, i bigint, v int")
+    out = running.running(df, ["k"], [F.col("i")], [running.block(F.col("i"), width)], nexts={"after": F.col("i")})
+    got = {r["i"]: r["after"] for r in out.collect()}
+    for key in {r[0] for r in skewed}:
+        mine = sorted(r[2] for r in skewed if r[0] == key)
+        assert [got[i] for i in mine] == [*mine[1:], None]
+
+
+@pytest.mark.parametrize("width", [1, 3, 64])
+def test_every_step(spark, width):
+    rows = [("a", 1, 4), ("b", 5, 6), ("c", 7, 7), ("d", -3, 2), ("e", 60, 200)]
+    df = spark.createDataFrame(rows, "k string, since int, until int")
+    out = running.every_step(df, "since", "until", "n", width)
+    assert out.schema["n"].dataType == df.schema["since"].dataType
+    assert sorted((r["k"], r["_since"], r["n"]) for r in out.collect()) == sorted((k, a, n) for k, a, b in rows for n in range(a, b))
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_placed(spark, skewed, keys):
+    """One key, and one leading value, hold most rows; null keys are a key of their own."""
+    rows = [(None if k == "b" else k, 0 if i % 3 else minute, i, v) for k, minute, i, v in skewed]
+    df = spark.createDataFrame(rows, "k string, minute int, i bigint, v int").repartition(7)
+    out = running.placed(df, keys, [F.col("minute"), -F.col("i")], "n")
+    assert out.columns == ["k", "minute", "i", "v", "n"]
+    got = {r["i"]: r["n"] for r in out.collect()}
+    for group in ([{r[0]} for r in rows] if keys else [{r[0] for r in rows}]):
+        mine = sorted((r for r in rows if r[0] in group), key=lambda r: (r[1], -r[2]))
+        assert [got[r[2]] for r in mine] == list(range(1, len(mine) + 1))
+    assert running.placed(df.limit(0), keys, [F.col("i")], "n").collect() == []
+
+
+def test_placed_needs_no_single_task(spark):
+    df = spark.range(1000).withColumn("k", F.lit(1))
+    for keys in ([], ["k"]):
+        plan = running.placed(df, keys, [F.col("id")], "n")._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+
+
 def test_hot_key_is_cut(spark, skewed):
     """No window group of the wide rows is larger than the chunk."""
     df = spark.createDataFrame(skewed, "k string, minute int, i bigint, v int")

@@ -101,10 +101,5 @@ def round_from_store(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(sql("SELECT match_id, season, match_date, place FROM (SELECT *, row_number() OVER (ORDER BY match_date, match_id) AS place FROM v_match)", "v_match"))
 def results_in_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Results in date order, with their place in it; the rows come out sorted.
-
-    Places are counted per day and added up over the days, which are few.
-    """
-    rows = v_season(spark, sf).select("match_id", "season", "match_date")
-    days = rows.groupBy("match_date").agg(F.count("*").alias("_n"))
-    return results.in_date_order(rows, days)
+    """Results in date order, with their place in it; the rows come out sorted."""
+    return results.in_date_order(v_season(spark, sf).select("match_id", "season", "match_date"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions.numbers import exact, fixed, rounded
 from touchline.operators import conform
 from touchline.operators.joins import attach, first_by
-from touchline.operators.running import numbered
+from touchline.operators.running import placed
 from touchline.operators.shots import MATCH_COLUMNS
 
 PLAYER = ["match_id", "team", "player"]
@@ -123,15 +123,14 @@ def lineup_order(lines: DataFrame, places: DataFrame, default_place: int) -> Dat
     known = places.select("position", "place")
     is_sub = F.col("minutes") < STARTER_MINUTES
     rank = F.when(is_sub, -F.col("minutes")).otherwise(F.col("place"))
-    placed = (
+    at = (
         lines.join(known, "position", "left")
         .withColumn("place", F.coalesce("place", F.lit(default_place)))
         .withColumn("is_sub", is_sub)
         .withColumn("_rank", rank)
     )
     order = [F.col("is_sub"), F.col("_rank"), F.col("player_name")]
-    chunks = [*order[:2], F.substring("player_name", 1, 3)]
-    return numbered(placed, ["match_id", "team_fd"], order, chunks, "slot").drop("_rank", "place")
+    return placed(at, ["match_id", "team_fd"], order, "slot").drop("_rank", "place")
 
 
 def lineup_view(lines: DataFrame, goals: DataFrame, reds: DataFrame) -> DataFrame:

@@ -70,12 +70,12 @@ SHOT_QUALITY_LEAST = (
 MILESTONES = {
     "hattrick_complete": "HAT-TRICK COMPLETE — this is the primary story, lead with it",
     "brace": "player's second goal of the night — mention brace",
-    "hattrick_extend": "fourth or fifth goal — extraordinary night",
+    "hattrick_extend": "beyond a hat-trick — extraordinary night",
 }
 
 PLAYER_KNOWN = (
     "{player}: {player_note}. IMPORTANT: {season_goals} goals was their FINAL season total — "
-    "use retrospective language: 'one of his {season_goals} for the campaign'."
+    "use retrospective language: 'one of {season_goals} for the campaign'."
 )
 PLAYER_UNKNOWN = "{player}."
 

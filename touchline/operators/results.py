@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.numbers import fixed, lenient_double, safe_int
 from touchline.operators.conform import blank_to_null, lenient_date
+from touchline.operators.running import placed
 
 # Columns of a results file.  Home and away goals, half-time
 # goals, shots, shots on target, corners, yellow and red cards.
@@ -77,15 +78,7 @@ def results_view(results: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def in_date_order(rows: DataFrame, days: DataFrame) -> DataFrame:
-    """Rows by date and match, numbered from 1; ``days`` has the rows of each date.
-
-    A window holds the days, or the matches of one day.
-    """
-    before = Window.orderBy("match_date").rowsBetween(Window.unboundedPreceding, -1)
-    starts = days.select("match_date", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    day = Window.partitionBy("match_date").orderBy("match_id")
-    placed = rows.withColumn("_place", F.row_number().over(day)).join(starts, "match_date")
-    return placed.withColumn("place", (F.col("_before") + F.col("_place")).cast("bigint")).drop("_before", "_place").orderBy(
-        "match_date", "match_id",
-    )
+def in_date_order(rows: DataFrame) -> DataFrame:
+    """Rows by date and match, numbered from 1."""
+    order = ["match_date", "match_id"]
+    return placed(rows, [], [F.col(c) for c in order], "place").orderBy(*order)

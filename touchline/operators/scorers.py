@@ -11,7 +11,7 @@ from touchline.functions.names import surname
 from touchline.functions.numbers import half_even
 from touchline.operators.joins import top_by
 from touchline.operators.lookup import word_pieces
-from touchline.operators.running import block, running
+from touchline.operators.running import block, every_step, running
 
 TOP = 20
 
@@ -62,30 +62,20 @@ def actual(goals: DataFrame, keys: Sequence[str], last_rounds: DataFrame) -> Dat
         .groupBy(*keys, "player", "round")
         .agg(F.count("*").alias("_goals"), F.min("seen_at").alias("_seen"))
     )
-    players = (
-        per_round.groupBy(*keys, "player")
-        .agg(F.min("round").alias("_first"))
-        .join(last_rounds, list(keys))
-        .select(
-            *keys, "player",
-            F.explode(F.sequence("_first", "last_round")).alias("round"),
-            F.lit(0).cast("bigint").alias("_goals"),
-            F.lit(None).cast(per_round.schema["_seen"].dataType).alias("_seen"),
-        )
-    )
-    dense = (
-        per_round.unionByName(players)
-        .groupBy(*keys, "player", "round")
-        .agg(F.sum("_goals").alias("_goals"), F.min("_seen").alias("_seen"))
-    )
-    return running(
-        dense,
+    # Counts change only in rounds with a goal; in between they hold.
+    counts = running(
+        per_round,
         keys=[*keys, "player"],
         order_by=[F.col("round")],
         chunk_by=[block(F.col("round"))],
         sums={"goals": F.col("_goals")},
         mins={"seen_at": F.col("_seen")},
-    ).drop("_goals", "_seen")
+        nexts={"until": F.col("round")},
+    ).join(last_rounds, list(keys))
+    ends = counts.withColumn("until", F.coalesce("until", F.col("last_round") + 1))
+    return every_step(ends, "round", "until", "_round").withColumnRenamed("_round", "round").select(
+        *keys, "player", "round", "goals", "seen_at",
+    )
 
 
 def override(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.numbers import signed
-from touchline.operators.running import block, running
+from touchline.operators.running import block, every_step, running
 
 WIN_POINTS = 3
 TALLIES = ["played", "won", "drawn", "lost", "gf", "ga"]
@@ -59,41 +59,30 @@ def round_tallies(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _idle_rounds(tallies: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A row without counts for every team and round from its first match on."""
-    season = Window.partitionBy(*keys)  # one row per team at this point
-    teams = (
-        tallies.groupBy(*keys, "team")
-        .agg(
-            F.min("round").alias("_first"),
-            F.max("round").alias("_last"),
-            F.min("seen_at").alias("seen_at"),
-        )
-        .withColumn("_last", F.max("_last").over(season))
-    )
-    return teams.select(
-        *keys,
-        "team",
-        F.explode(F.sequence("_first", "_last")).alias("round"),
-        "seen_at",
-        *[F.lit(0).cast("bigint").alias(c) for c in TALLIES],
-    )
+def intervals(tallies: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Running tallies per team with the rounds they hold for: from ``round`` on, below ``until``.
 
-
-def cumulative(tallies: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Running tallies per team for every round, also those it sat out."""
-    dense = (
-        tallies.unionByName(_idle_rounds(tallies, keys))
-        .groupBy(*keys, "team", "round")
-        .agg(F.min("seen_at").alias("seen_at"), *[F.sum(c).alias(f"_{c}") for c in TALLIES])
-    )
-    return running(
-        dense,
+    A team's tallies change only in rounds it plays, so there is a row for each
+    of these; the last one holds to the end of the season.
+    """
+    last = tallies.groupBy(*keys).agg((F.max("round") + 1).alias("_end"))
+    counts = running(
+        tallies.withColumnsRenamed({c: f"_{c}" for c in TALLIES}),
         keys=[*keys, "team"],
         order_by=[F.col("round")],
         chunk_by=[block(F.col("round"))],
         sums={c: F.col(f"_{c}") for c in TALLIES},
+        mins={"_seen": F.col("seen_at")},
+        nexts={"until": F.col("round")},
     )
+    return counts.join(last, list(keys)).withColumn("until", F.coalesce("until", "_end")).withColumn("seen_at", F.col("_seen")).drop("_end", "_seen")
+
+
+def cumulative(tallies: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Running tallies per team for every round, also those it sat out."""
+    dense = every_step(intervals(tallies, keys), "round", "until", "_round")
+    played = F.when(F.col("_round") == F.col("_since"), F.col("_played")).otherwise(0)
+    return dense.withColumn("_played", played).withColumnRenamed("_round", "round").drop("_since")
 
 
 def standings(matches: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -55,7 +55,8 @@ def build_scorers(
     """
     played = spark.read.parquet(f"{out}/tallies")
     last = played.groupBy(*keys).agg(F.max("round").alias("last_round"))
-    estimates = scorers.estimated(season_scorers, last, keys)
+    listed = scorers.contenders(season_scorers, keys, focus_team)
+    estimates = scorers.estimated(listed, last, keys)
     if shots is None or rounds is None:
         chosen = estimates.withColumn("goals", F.col("estimate"))
     else:

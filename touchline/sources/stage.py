@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: tempfile.TemporaryDirectory | None = None
-_scopes: list[list[str]] = []
+# The scopes open here; each thread, such as that of a stream's batches, has its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def stage_folder(spark: SparkSession) -> str:
@@ -42,8 +44,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder and return the table read back."""
     spark = df.sparkSession
     path = stage_run_folder(spark, name)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,18 +62,18 @@ class Scope:
 
     def __enter__(self) -> Scope:
         self.made: list[str] = []
-        _scopes.append(self.made)
+        self.entered = _scopes.set((*_scopes.get(), self.made))
         return self
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        _scopes.pop()
+        inside = _scopes.set(_scopes.get()[:-1])
         try:
             return stage(df, name)
         finally:
-            _scopes.append(self.made)
+            _scopes.reset(inside)
 
     def __exit__(self, *_) -> None:
-        _scopes.pop()
+        _scopes.reset(self.entered)
         for path in self.made:
             folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
