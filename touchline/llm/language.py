@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from touchline.llm.groups import small
 from touchline.llm.text import buffers, slices
+from touchline.sources.stage import stage
 
 #: Documents of each language that teach at most, and windows of each.
 SAMPLE_DOCS = 800
@@ -242,7 +244,7 @@ def sampled(labelled: DataFrame, docs: int, windows: int) -> DataFrame:
     known = labelled.filter("lang is not null and text is not null").select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc", "text").alias("h"),
     ).filter("octet_length(text) > 0")
-    counts = known.groupBy("lang").agg(F.count("*").alias("texts")).select(F.col("lang").alias("lang_"), "texts")
+    counts = small(stage(known.groupBy("lang").agg(F.count("*").alias("texts")).select(F.col("lang").alias("lang_"), "texts"), "langs"))
     share = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) * F.col("texts") < F.lit((2 * docs + 64) << 30)
     known = known.join(counts, known["lang"] == counts["lang_"]).filter(share)
     ranked = known.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("at") <= docs)
