@@ -29,7 +29,8 @@ FEATURES = 2048
 SAMPLE_ROWS = 4000
 RANK = 48
 NEAREST = 15
-PIECE = 2 << 20
+#: Bytes of texts whose terms are held at once, and of a piece of a longer text.
+SLICE = PIECE = 1 << 19
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 POWER = 8.0
 
@@ -159,7 +160,7 @@ def fit(shares: np.ndarray, labels: np.ndarray) -> Model:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
+        for part in slices(batch, "text", SLICE):
             shares = matrix(part.column(1))
             rows, terms = np.nonzero(shares)
             counts = np.bincount(rows, minlength=len(shares)).astype(np.int64)
@@ -175,9 +176,9 @@ def _scorer(sent, text: int | None):
         for batch in batches:
             texts = batch.column(1) if text is None else batch.column(1).flatten()[text]
             own = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), texts.cast(pa.string())], names=["row", "text"])
-            for part in slices(own, "text", 2 << 20):
-                for at in range(0, part.num_rows, 512):
-                    block = part.slice(at, 512)
+            for part in slices(own, "text", SLICE):
+                for at in range(0, part.num_rows, 256):
+                    block = part.slice(at, 256)
                     rows = batch.slice(block.column(0)[0].as_py(), block.num_rows)
                     score = pa.array(model.score(matrix(block.column(1))))
                     kept = [rows.column(1)] if text is not None else []
