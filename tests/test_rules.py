@@ -501,3 +501,39 @@ def test_similar_names_of_any_length(spark):
     names = spark.createDataFrame([("Mr O",), ("Mr bbb",), ("Mr zzz",), (long,)], "player string")
     found = {r["player"]: r["stats_name"] for r in lookup.season_stats_of(names, stats).collect()}
     assert found == {"Mr O": long, "Mr bbb": long, "Mr zzz": None, long: long}
+
+
+def test_held_pieces_against_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    texts = ["", *(word(rng.randrange(1, 40)) for _ in range(40)), "ab" * 100]
+    pieces = ["", *{word(rng.randrange(1, 10)) for _ in range(60)}, "ab" * 70, "ab" * 101]
+    holders = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(texts)] + [(0, 99, None)], "k int, i int, t string")
+    asked = spark.createDataFrame([(p,) for p in pieces] + [(None,)], "piece string")
+    met = lookup.held_pieces(holders, "t", asked)
+    assert met.columns == ["k", "i", "piece"]
+    wanted = {(i, p) for i, t in enumerate(texts) for p in pieces if p in t}
+    assert {(r["i"], r["piece"]) for r in met.collect()} == wanted
+    # Keys have to be equal too.
+    keyed = lookup.held_pieces(holders, "t", asked.withColumn("k", F.lit(1)), ["k"])
+    assert {(r["i"], r["piece"]) for r in keyed.collect()} == {(i, p) for i, p in wanted if i % 2}
+
+
+def test_pieces_of_long_names_grow_with_their_length(spark):
+    """A name of 200 letters makes some rows a letter, not one for every pair of places."""
+    holders = spark.createDataFrame([(1, "x" * 200)], "i int, t string")
+    stems = spark.createDataFrame([("x" * n,) for n in (1, 2, 4, 8, 16, 32, 64, 128)], "piece string")
+    assert lookup.held_pieces(holders, "t", stems).count() <= 200 * 8
+
+
+def test_surname_of_one_letter_meets_its_season_only(spark):
+    estimates = spark.createDataFrame(
+        [(1, 1, "Bo Rado", "F", 2, 1), (2, 1, "Olo", "F", 3, 1), (2, 1, "Zed", "F", 1, 2), (2, 1, "Olo", "G", 5, 3)],
+        "season int, round int, name string, team string, estimate int, ord int",
+    )
+    counts = spark.createDataFrame([(1, 1, "Mr O", 7, 4), (2, 1, "Al Zed", 9, 1)], "season int, round int, player string, goals int, seen_at int")
+    out = scorers.override(estimates, counts, ["season"], "F")
+    found = {(r["season"], r["name"], r["team"]): (r["goals"], r["is_counted"]) for r in out.collect()}
+    assert found == {
+        (1, "Bo Rado", "F"): (7, True), (2, "Olo", "F"): (3, False), (2, "Zed", "F"): (9, True), (2, "Olo", "G"): (5, False),
+    }

@@ -90,37 +90,40 @@ def with_content(matches: DataFrame, content: DataFrame, keys: Sequence[str]) ->
 # --- similar names ---------------------------------------------------------
 
 
-def substrings(text: Column) -> Column:
-    """All distinct substrings, the empty one included, as an array."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    pieces = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(0), F.length(text) - i + 1), lambda n: F.substring(text, i, n)
-            ),
-        )
+def _stems(rest: Column) -> Column:
+    """Beginnings of a text whose lengths are powers of two."""
+    # The binary form of a length has one digit more than its power of two.
+    powers = F.transform(F.sequence(F.lit(0), F.length(F.bin(F.length(rest))) - 1), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.when(F.length(rest) > 0, F.transform(powers, lambda n: F.substring(rest, F.lit(1), n))).otherwise(
+        F.array().cast("array<string>"),
     )
-    return F.array_distinct(pieces)
-
 
-def word_pieces(name: Column) -> Column:
-    """All substrings of the words of a name; what holds no blank lies in one word."""
-    return F.array_distinct(F.flatten(F.transform(F.split(name, " "), substrings)))
 
+def held_pieces(holders: DataFrame, text: str, pieces: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``holders``, less ``text``, with every ``piece`` that the text contains; ``pieces`` are distinct.
 
-def _first_containing(dimension: DataFrame, pieces: Column, wanted: DataFrame) -> DataFrame:
-    """Per wanted piece, the place of the first dimension name that holds it.
-
-    ``wanted`` has the column ``piece``; other pieces are dropped before they
-    are grouped.
+    A piece stands in a text where it begins one of its suffixes.  A suffix and
+    a piece meet by their stem, the longest beginning of the piece whose length
+    is a power of two, and by ``keys``, and are then compared.  A text of n
+    letters makes at most n * (1 + log2 n) rows, those with a stem no piece has
+    go before they are shuffled where the pieces are few.  A text that holds a
+    piece several times meets it as often; nulls meet nothing, the empty piece
+    meets every text.
     """
-    return (
-        dimension.select("ord", F.explode(pieces).alias("piece"))
-        .join(wanted.distinct(), "piece", "left_semi")
-        .groupBy("piece")
-        .agg(F.min("ord").alias("ord"))
+    asked = pieces.filter("piece is not null").withColumn("_stem", F.coalesce(F.try_element_at(_stems(F.col("piece")), F.lit(-1)), F.lit("")))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    suffixes = holders.filter(F.col(text).isNotNull()).withColumn("_at", F.explode(starts)).withColumn(
+        "_rest", F.substring(F.col(text), F.col("_at"), F.length(text)),
     )
+    empty = F.when(F.col("_at") == 1, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    met = suffixes.withColumn("_stem", F.explode(F.concat(empty, _stems(F.col("_rest"))))).join(asked, [*keys, "_stem"])
+    return met.filter(F.startswith("_rest", "piece")).drop(text, "_at", "_rest", "_stem")
+
+
+def _first_containing(dimension: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Per wanted ``piece``, the place of the first dimension name that holds it, in any case of letters."""
+    texts = dimension.select("ord", F.lower("name").alias("_text"))
+    return held_pieces(texts, "_text", wanted.distinct()).groupBy("piece").agg(F.min("ord").alias("ord"))
 
 
 def season_stats_of(names: DataFrame, stats: DataFrame, fold: Column | None = None) -> DataFrame:
@@ -131,7 +134,7 @@ def season_stats_of(names: DataFrame, stats: DataFrame, fold: Column | None = No
     """
     exact = stats.groupBy("name").agg(F.min("ord").alias("_exact"))
     asked = names.select("player", surname(F.col("player") if fold is None else fold).alias("_last"))
-    pieces = _first_containing(stats, word_pieces(F.lower("name")), asked.select(F.col("_last").alias("piece")))
+    pieces = _first_containing(stats, asked.select(F.col("_last").alias("piece")))
     pieces = pieces.withColumnsRenamed({"ord": "_partial", "piece": "_last"})
     found = (
         asked
@@ -151,13 +154,10 @@ def goal_cry_of(names: DataFrame, cries: DataFrame, default: tuple[str, str, str
     """
     exact = cries.groupBy("name").agg(F.min("ord").alias("_exact"))
     asked = names.select(F.lower("player").alias("piece"))
-    wider = _first_containing(cries, substrings(F.lower("name")), asked).withColumnsRenamed(
-        {"ord": "_wider", "piece": "_low"},
-    )
+    wider = _first_containing(cries, asked).withColumnsRenamed({"ord": "_wider", "piece": "_low"})
     key_names = cries.groupBy(F.lower("name").alias("piece")).agg(F.min("ord").alias("_inner"))
     narrower = (
-        names.select("player", F.explode(substrings(F.lower("player"))).alias("piece"))
-        .join(key_names, "piece")
+        held_pieces(names.select("player", F.lower("player").alias("_text")), "_text", key_names)
         .groupBy("player")
         .agg(F.min("_inner").alias("_narrower"))
     )

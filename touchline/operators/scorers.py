@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline.functions.names import surname
 from touchline.functions.numbers import half_even
 from touchline.operators.joins import top_by
-from touchline.operators.lookup import word_pieces
+from touchline.operators.lookup import held_pieces
 from touchline.operators.running import block, every_step, running
 
 TOP = 20
@@ -84,22 +84,23 @@ def override(
     """Replace estimates of the focus team by counted goals.
 
     A count belongs to a scorer when the player's surname occurs in the
-    scorer's name; the player seen first wins.  The containment test is an
-    equality join with the substrings of the scorer names.
+    scorer's name; the player seen first wins.  Surnames and names of one key
+    meet only, so a surname of one letter meets the scorers of one team.
     """
     by_surname = (
         counts.withColumn("_part_name", surname(F.col("player")))
         .groupBy(*keys, "round", "_part_name")
         .agg(F.min_by(F.struct("goals", "seen_at"), "seen_at").alias("_hit"))
     )
-    names = (
-        estimates.filter(F.col("team") == focus_team)
-        .select("name").distinct()
-        .select("name", F.explode(word_pieces(F.lower("name"))).alias("_part_name"))
-        .join(by_surname.select("_part_name").distinct(), "_part_name", "left_semi")
-    )
+    names = held_pieces(
+        estimates.filter(F.col("team") == focus_team).select(*keys, "name").distinct()
+        .withColumn("_text", F.lower("name")),
+        "_text",
+        by_surname.select(*keys, F.col("_part_name").alias("piece")).distinct(),
+        keys,
+    ).withColumnRenamed("piece", "_part_name").distinct()
     hits = (
-        by_surname.join(names, "_part_name")
+        by_surname.join(names, [*keys, "_part_name"])
         .groupBy(*keys, "round", "name")
         .agg(F.min_by("_hit.goals", "_hit.seen_at").alias("_counted"))
         .withColumn("team", F.lit(focus_team))
