@@ -189,6 +189,47 @@ def test_season_record_takes_all_stored_matches(spark, tmp_path, rows):
     assert [r for r in found if r[1] in "ABCD"] == [r for r in texts if r[1] in "ABCD"]
 
 
+def test_matches_done_again_rewrite_only_their_folders(spark, tmp_path, rows, monkeypatch):
+    out = str(tmp_path / "out")
+    for match, league, home, away in ((1, 9, "A", "B"), (2, 9, "C", "D"), (3, 10, "E", "F")):
+        for folder in ("matches", "events", "lineups"):
+            (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / f"matches/{match}.json").write_text(json.dumps([{
+            "match_id": match, "match_date": f"2024-01-0{match}", "match_week": 1,
+            "competition": {"competition_id": league, "competition_name": f"League {league}"},
+            "season": {"season_id": 281, "season_name": "2023/2024"},
+            "home_team": {"home_team_id": 1, "home_team_name": home}, "away_team": {"away_team_id": 2, "away_team_name": away},
+        }]))
+        (tmp_path / f"events/{match}.json").write_text(json.dumps([
+            event(1, "Shot", 20, team=home, player=f"p{home}", match=match, **shot("Goal")),
+        ]))
+        (tmp_path / f"lineups/{match}.json").write_text("[]")
+    ingest.build(spark, str(tmp_path), out)
+    detail.build(spark, out)
+    narration.build_prompts(spark, out)
+    files = lambda: {p for p in (tmp_path / "out/prompts").rglob("*.parquet")}
+    first, texts = files(), rows(spark.read.parquet(f"{out}/prompts"))
+    assert {r[0] for r in texts} == {1, 2, 3}
+    narration.build_prompts(spark, out, focus_team="A", again=True)
+    changed = {p.parent for p in first - files()}
+    of_match = lambda m: {
+        (r["season"], r["bucket"]) for r in spark.read.parquet(f"{out}/prompts").filter(F.col("match_id") == m).collect()
+    }
+    assert len(changed) == 1 and of_match(1) != of_match(3)
+    now = rows(spark.read.parquet(f"{out}/prompts"))
+    assert [r for r in now if r[0] != 1] == [r for r in texts if r[0] != 1]
+    assert [r for r in now if r[0] == 1] == [r for r in texts if r[:2] == (1, "A")]
+
+    # A run that ends before the folders are exchanged leaves all prompts.
+    def stopped(*_):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(narration, "write_table", stopped)
+    with pytest.raises(RuntimeError):
+        narration.build_prompts(spark, out, again=True)
+    assert rows(spark.read.parquet(f"{out}/prompts")) == now
+
+
 def test_voice_queue(spark, built, tmp_path, rows):
     out, _ = built
     texts = spark.createDataFrame(

@@ -13,14 +13,32 @@ from touchline.sources.tables import read_table, write_table
 
 PROMPTS = (
     "match_id bigint, focus string, content_type string, highlight_idx int, player string, minute int, "
-    "is_goal int, event_type string, prompt string, home_fd string, away_fd string, match_round int"
+    "is_goal int, event_type string, prompt string, home_fd string, away_fd string, match_round int, "
+    "season string, bucket int"
 )
+#: Prompts are stored by season of a league and by one of so many shares of its matches.
+BUCKETS = 16
+STORED_BY = ["season", "bucket"]
 
 
 def _of_matches(df: DataFrame, matches: DataFrame) -> DataFrame:
     return df.join(matches.select("match_id"), "match_id", "left_semi")
 
 
+def _placed(df: DataFrame, matches: DataFrame) -> DataFrame:
+    """Prompts with the folder they are stored in."""
+    return df.join(matches.select("match_id", "season"), "match_id").withColumn(
+        "bucket", F.pmod(F.xxhash64("match_id"), F.lit(BUCKETS)).cast("int"),
+    )
+
+
+def _beside(done: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored prompts of other matches in the folders that ``new`` writes to; other folders are not read."""
+    # The filter lets Spark prune folders by the short side while it runs.
+    folders = F.broadcast(new.filter("bucket >= 0").select(*STORED_BY).distinct())
+    return incremental.unseen(done.join(folders, STORED_BY, "left_semi"), new, ["match_id"])
+
+
 def _season_of_league() -> Column:
     """Season of one competition, never null; leagues share the names of seasons."""
     competition = F.coalesce(F.col("competition_id").cast("string"), "competition", F.lit(""))
@@ -43,6 +61,11 @@ def build_prompts(
 ) -> None:
     """Append prompts of the matches that have none, or replace them with ``again``.
 
+    Replacing rewrites only the folders (season and share of its matches) that
+    hold a match done again.  Everything is computed before the first folder is
+    touched; should a run end while folders are exchanged, a run without
+    ``again`` makes the prompts of the matches that have none by then.
+
     ``rounds`` has ``home_fd``, ``away_fd`` and ``round``; without it the
     round stated by the feed is taken.  What is told of a season is taken from
     all its stored matches, whichever of them get prompts.  A season ends with
@@ -89,12 +112,11 @@ def build_prompts(
         )
         hooked = prompts.hooks(facts, briefs.hook_players(scorers, prompts.HOOK_SCORERS))
         table = prompts.prompt_table(prompts.intro_prompts(hooked, nickname, stadium, frame), spoken, facts)
-        new = stage(table, "prompts")
+        new = stage(_placed(table, stored).select(*done.columns), "prompts")
         if again:
-            kept = stage(incremental.unseen(done, new, ["match_id"]), "kept_prompts")
-            write_table(incremental.append(kept, new.select(*kept.columns)), f"{out}/prompts")
-        else:
-            write_table(new.select(*done.columns), f"{out}/prompts", mode="append")
+            new = stage(incremental.append(_beside(done, new), new), "new_prompts")
+        mode = "overwrite" if again else "append"
+        write_table(new.repartition(*STORED_BY), f"{out}/prompts", STORED_BY, mode)
 
 
 def build_voice_queue(spark: SparkSession, texts: DataFrame, audio: str, out: str, pattern: str | None = None) -> DataFrame:
