@@ -1,7 +1,9 @@
 """The end-to-end jobs on small landed files, and the streams over them."""
 
 import csv
+import itertools
 import json
+import random
 import shutil
 
 import pytest
@@ -282,6 +284,82 @@ def test_season(spark, tmp_path, rows):
     assert json.loads(nested.filter("round = 1").first()["rows"])[0]["position"] == 1
 
 
+def results_csv(path, games):
+    header = [*IDENTITY_COLUMNS, *COUNT_COLUMNS, *ODDS_COLUMNS]
+    with open(path, "w", newline="") as file:
+        writer = csv.DictWriter(file, header, restval="1")
+        writer.writeheader()
+        for day, home, away, hg, ag in games:
+            writer.writerow({"Date": f"{day:02d}/01/2024", "HomeTeam": home, "AwayTeam": away, "FTHG": hg, "FTAG": ag})
+
+
+def files_of(out, table):
+    return {path.name for folder in ("round=1", "round=2") for path in (out / table / folder).glob("*.parquet")}
+
+
+def test_season_extended_equals_built(spark, tmp_path, rows):
+    """Rounds added one file at a time, a late result and a repeated run against one build of all."""
+    draw = random.Random(5)
+    pairs = list(itertools.permutations("ABCDEF", 2))
+    games = {
+        name: [(1 + i // 3, *pair, draw.randrange(4), draw.randrange(4)) for i, pair in enumerate(draw.sample(pairs, 24))]
+        for name in ("s1.csv", "s2.csv")
+    }
+    games["s2.csv"] = games["s2.csv"][:8]
+    late = (6, "G", "A", 2, 0)  # a new team, given after the matches of later days
+    steps = [
+        {"s1.csv": games["s1.csv"][:13], "s2.csv": games["s2.csv"]},
+        {"s1.csv": games["s1.csv"][15:]},
+        {"s1.csv": games["s1.csv"][13:15] + [late]},
+        {"s3.csv": games["s1.csv"][:4]},  # a season of its own
+    ]
+    out = tmp_path / "grown"
+    for at, step in enumerate(steps):
+        folder = tmp_path / f"step{at}"
+        folder.mkdir()
+        for name, listed in step.items():
+            results_csv(folder / name, listed)
+        if at == 0:
+            season.build(spark, str(folder), str(out), per_round=3)
+            first = files_of(out, "results"), files_of(out, "standings")
+        else:
+            season.extend(spark, str(folder), str(out), per_round=3)
+        if at == 2:
+            assert (files_of(out, "results"), files_of(out, "standings")) == first
+            season.extend(spark, str(folder), str(out), per_round=3)
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    # Matches of day 5 and 6 came after those of later days, and stand at the end of their day.
+    results_csv(whole / "s1.csv", [*games["s1.csv"], late])
+    results_csv(whole / "s2.csv", games["s2.csv"])
+    results_csv(whole / "s3.csv", games["s1.csv"][:4])
+    season.build(spark, str(whole), str(tmp_path / "built"), per_round=3)
+    for table, dropped in (("results", "source_row"), ("standings", "no"), ("rounds", "no")):
+        made, right = (spark.read.parquet(str(tmp_path / name / table)).drop(dropped) for name in ("grown", "built"))
+        columns = sorted(right.columns)
+        assert sorted(made.columns) == columns
+        assert rows(made, *columns) == rows(right, *columns), table
+
+
+def test_season_extended_reads_changed_rounds(spark, tmp_path, rows):
+    folder = tmp_path / "more"
+    folder.mkdir()
+    results_csv(folder / "s1.csv", [(day, "A", "B", 1, 0) for day in range(1, 10)])
+    out = str(tmp_path / "out")
+    season.build(spark, str(folder), out, per_round=1)
+    # Rounds before the last full one are not opened, save the first one for the schema: they hold no table any more.
+    for table in ("results", "standings"):
+        for gone in range(2, 8):
+            for file in (tmp_path / "out" / table / f"round={gone}").glob("*.parquet"):
+                file.write_bytes(b"")
+    results_csv(folder / "s1.csv", [(10, "A", "B", 0, 3)])
+    season.extend(spark, str(folder), out, per_round=1)
+    last = tables.read_round(spark, f"{out}/standings", 10)
+    assert rows(last, "team", "played", "won", "gf", "ga") == [("A", 10, 9, 9, 3), ("B", 10, 1, 3, 9)]
+    results_csv(folder / "s1.csv", [])
+    season.extend(spark, str(folder), out, per_round=1)  # nothing new: nothing changes
+
+
 def test_missing_sources_are_empty(spark, tmp_path):
     gone = str(tmp_path / "gone")
     assert tables.read_table(spark, gone, schemas.SHOTS).columns == schemas.names(schemas.SHOTS)

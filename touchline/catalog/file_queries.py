@@ -9,8 +9,9 @@ from touchline import schemas
 from touchline.catalog.feed import raw_lineups
 from touchline.catalog.registry import ORACLES, register
 from touchline.catalog import result_queries, story_queries  # noqa: F401  (their SQL is used here)
-from touchline.catalog.views import feed_events, feed_matches, raw_results, sql, v_season
-from touchline.operators import results, shots
+from touchline.catalog.views import SEASON, feed_events, feed_matches, raw_results, sql, v_match, v_season
+from touchline.operators import results, shots, standings
+from touchline.plans import season
 from touchline.sources import landed, results_file, tables
 from touchline.sources.stage import stage_run_folder
 
@@ -103,3 +104,21 @@ def round_from_store(spark: SparkSession, sf: str) -> DataFrame:
 def results_in_order(spark: SparkSession, sf: str) -> DataFrame:
     """Results in date order, with their place in it; the rows come out sorted."""
     return results.in_date_order(v_season(spark, sf).select("match_id", "season", "match_date"))
+
+
+@register(ORACLES["standings_all_rounds"])
+def standings_extended(spark: SparkSession, sf: str) -> DataFrame:
+    """League tables built without the last three weeks of every season, then extended by them."""
+    folder = stage_run_folder(spark, "seasons")
+    played = v_match(spark, sf).select(
+        *SEASON, F.col("match_id").alias("source_row"), F.col("match_date").alias("Date"),
+        F.col("home_team").alias("HomeTeam"), F.col("away_team").alias("AwayTeam"),
+        F.col("home_goals").alias("FTHG"), F.col("away_goals").alias("FTAG"),
+    )
+    ends = played.groupBy(*SEASON).agg(F.date_sub(F.max("Date"), 21).alias("_end"))
+    split = played.join(ends, SEASON)
+    season.store(spark, split.filter(F.col("Date") <= F.col("_end")).drop("_end"), folder, SEASON)
+    season.add(spark, split.filter(F.col("Date") > F.col("_end")).drop("_end"), folder, SEASON)
+    return spark.read.parquet(f"{folder}/standings").select(
+        *SEASON, "round", "position", "team", *standings.TALLIES, "gd", "pts",
+    )

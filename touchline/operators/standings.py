@@ -94,9 +94,9 @@ def standings(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     return standings_of(round_tallies(matches, keys), keys)
 
 
-def standings_of(tallies: DataFrame, keys: Sequence[str]) -> DataFrame:
+def standings_of(tallies: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """``standings`` out of stored round tallies, which are read more than once."""
-    return rank_teams(cumulative(tallies, keys), keys)
+    return rank_teams(cumulative(tallies, keys), keys, extra)
 
 
 def final_standings(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -116,8 +116,11 @@ def final_standings(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rank_teams(totals, keys)
 
 
-def rank_teams(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """League positions; a window group holds the teams of one table."""
+def rank_teams(totals: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """League positions; a window group holds the teams of one table.
+
+    ``extra`` names further columns to carry along.
+    """
     table = Window.partitionBy(*keys, "round")
     order = [F.desc("pts"), F.desc("gd"), F.desc("gf"), F.asc("seen_at"), F.asc("team")]
     return (
@@ -126,7 +129,7 @@ def rank_teams(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
         .withColumn("_played_now", F.sum("_played").over(table))
         .withColumn("position", F.row_number().over(table.orderBy(*order)))
         .filter(F.col("_played_now") > 0)
-        .select(*keys, "round", "position", "team", *TALLIES, "gd", "pts")
+        .select(*keys, "round", "position", "team", *TALLIES, "gd", "pts", *extra)
     )
 
 

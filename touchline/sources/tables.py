@@ -48,15 +48,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_by_round(df: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
+def write_by_round(df: DataFrame, path: str, keys: Sequence[str] = (), replace: bool = False) -> None:
     """Store a table by round, so that a reader of one round opens one folder.
 
+    With ``replace`` the folders of rounds that ``df`` does not hold stay.
+
     The folders are the rounds of all seasons together, a few dozen.  Rows are
     brought into ranges of round and season first, so that a task writes into
     few folders and a round with many seasons is spread over several tasks.
     """
     ranged = df.repartitionByRange("round", *keys)
-    ranged.write.mode("overwrite").partitionBy("round").parquet(path)
+    kept = "dynamic" if replace else "static"
+    ranged.write.mode("overwrite").option("partitionOverwriteMode", kept).partitionBy("round").parquet(path)
 
 
 def read_round(spark: SparkSession, path: str, round_: int) -> DataFrame:
