@@ -86,6 +86,29 @@ def built(spark, landing, tmp_path_factory):
     return out, counts
 
 
+def test_ingest_report_and_single_parse(spark, landing, tmp_path, rows, monkeypatch):
+    """Goals and dismissals come with the counts; the events are parsed in one scan of the files."""
+    read = []
+    kept = landed.read_event_files
+
+    def counted(*args):
+        raw = kept(*args)
+        # A scan leaves a mark per row it parses.
+        marks = spark.sparkContext.accumulator(0)
+        read.append(marks)
+        return spark.createDataFrame(raw.rdd.map(lambda row: marks.add(1) or row), raw.schema)
+
+    monkeypatch.setattr(landed, "read_event_files", counted)
+    made = ingest.build(spark, str(landing), str(tmp_path / "out"))
+    assert rows(made, "table_name", "rows", "goals", "reds") == [
+        ("events", 14, None, None), ("key_events", 6, 4, 2), ("matches", 2, None, None), ("players", 10, None, None),
+        ("rejects", 1, None, None), ("shots", 6, 4, None), ("xg_by_match", 2, None, None),
+    ]
+    assert [marks.value for marks in read] == [15]
+    empty = ingest.build(spark, str(tmp_path / "nothing"), str(tmp_path / "none"))
+    assert {r["rows"] for r in empty.collect()} == {0}
+
+
 def test_ingest(spark, built, rows):
     out, counts = built
     assert counts == {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,12 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def build_report(spark: SparkSession, made: dict[str, dict[str, int]]) -> DataFrame:
+    """Rows per written table, goals and dismissals in those that hold them; one row per table."""
+    lines = [(name, seen["rows"], seen.get("goals"), seen.get("reds")) for name, seen in made.items()]
+    return spark.createDataFrame(lines, "table_name string, rows bigint, goals bigint, reds bigint")
+
+
 def key_event_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("events"))
 

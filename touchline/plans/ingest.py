@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from touchline import dimensions
 from touchline.operators import conform, lineups, report, shots
 from touchline.sources import landed
-from touchline.sources.tables import read_table, write_table
+from touchline.sources.stage import Scope, stage
+from touchline.sources.tables import read_table, write_counted, write_table
 
 
 def _by_match(df: DataFrame, *within: str) -> DataFrame:
@@ -32,30 +33,38 @@ def build(
     names: DataFrame | None = None,
     multi_line: bool = True,
 ) -> DataFrame:
-    """Build all event tables under ``out`` and return the rows per table.
+    """Build all event tables under ``out`` and return ``report.build_report`` of them.
 
     ``landing`` has the folders ``matches``, ``events`` and ``lineups``.
-    Files that do not parse go to the table ``rejects``.
+    Files that do not parse go to the table ``rejects``.  The text of the
+    events is parsed once and stored; what sorts or divides them reads that.
+    The figures of the report are taken while the tables are written.
     """
     names = dimensions.team_names(spark) if names is None else names
     matches = landed.read_matches(spark, f"{landing}/matches", multi_line=multi_line)
     named = conform.conform_names(matches, names, {"home_team": "home_fd", "away_team": "away_fd"})
-    write_table(named, f"{out}/matches")
+    made = {"matches": write_counted(named, f"{out}/matches")}
     matches = _reopen(spark, f"{out}/matches")
 
-    raw = landed.read_event_files(spark, f"{landing}/events", multi_line)
-    write_table(_by_match(landed.events_from(raw), "index"), f"{out}/events")
-    write_table(landed.rejects(raw), f"{out}/rejects")
+    with Scope(spark):
+        raw = stage(landed.read_event_files(spark, f"{landing}/events", multi_line), "landed")
+        made["events"] = write_counted(_by_match(landed.events_from(raw), "index"), f"{out}/events")
+        made["rejects"] = write_counted(landed.rejects(raw), f"{out}/rejects")
     events = _reopen(spark, f"{out}/events")
 
-    write_table(shots.match_xg(events, matches), f"{out}/xg_by_match")
-    write_table(_by_match(shots.shot_rows(events, matches), "index"), f"{out}/shots")
-    write_table(_by_match(shots.key_events(events, matches), "index"), f"{out}/key_events")
+    made["xg_by_match"] = write_counted(shots.match_xg(events, matches), f"{out}/xg_by_match")
+    made["shots"] = write_counted(
+        _by_match(shots.shot_rows(events, matches), "index"), f"{out}/shots", goals=F.count_if(F.col("is_goal") == 1),
+    )
+    kind = F.col("event_type")
+    made["key_events"] = write_counted(
+        _by_match(shots.key_events(events, matches), "index"), f"{out}/key_events",
+        goals=F.count_if(kind == "goal"), reds=F.count_if(kind == "red_card"),
+    )
     places = lineups.positions(landed.read_lineups(spark, f"{landing}/lineups", multi_line))
     lines = lineups.player_lines(events, matches, places)
-    write_table(_by_match(lines, "team_fd", "player_name"), f"{out}/players")
-    tables = ("matches", "events", "rejects", "xg_by_match", "shots", "key_events", "players")
-    return report.row_counts({t: _reopen(spark, f"{out}/{t}") for t in tables})
+    made["players"] = write_counted(_by_match(lines, "team_fd", "player_name"), f"{out}/players")
+    return report.build_report(spark, made)
 
 
 def unmapped(spark: SparkSession, out: str, names: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,6 +44,17 @@ def write_table(
     writer.parquet(path)
 
 
+def write_counted(df: DataFrame, path: str, **figures: Column) -> dict[str, int]:
+    """Write a table and return its ``rows``, and further aggregates, taken while it is written.
+
+    The observed rows are those of the last stage, so that a task that is run
+    again is counted once.
+    """
+    seen = Observation()
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in figures.items()]), path)
+    return seen.get
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
