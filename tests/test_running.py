@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,35 @@ def test_attach(spark, skewed, how):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_attach_by_measured_hot_keys(spark, skewed, how):
+    rows = [(None if k == "b" else k, *rest) for k, *rest in skewed] + [(f"cold{i}", 0, 1000 + i, 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, minute int, i bigint, v int")
+    hot = joins.hot_keys(df, ["k"], salts=10)
+    shares = Counter(r[0] for r in rows)
+    assert dict(hot) == {(k,): -(-n * 10 // len(rows)) for k, n in shares.items() if n * 10 > len(rows)}
+    assert ("hot",) in dict(hot) and len(hot) < 10
+    facts = spark.createDataFrame([("hot", 1), ("a", 2), ("z", 3), ("cold7", 4), (None, 5)], "k string, f int")
+    out = joins.attach(df, facts, ["k"], ["i"], how, hot=hot)
+    want = sorted(map(tuple, df.join(facts, "k", how).collect()), key=str)
+    assert sorted(map(tuple, out.collect()), key=str) == want
+    # The hot key is on as many parts as its share asks for, a cold one on one; cold facts are not repeated.
+    n = joins._parts(["k"], hot)
+    parts = df.groupBy("k").agg(F.countDistinct(F.pmod(F.xxhash64("i"), n)).alias("n"))
+    found = {r["k"]: r["n"] for r in parts.collect()}
+    assert found["hot"] == dict(hot)[("hot",)] and found["cold7"] == 1
+    assert facts.select(F.sum(n)).first()[0] == sum(dict(hot).get((k,), 1) for k in ("hot", "a", "z", "cold7", None))
+    assert joins.hot_keys(df.limit(0), ["k"]) == []
+    plain = joins.attach(df, facts, ["k"], ["i"], how, hot=joins.hot_keys(df.filter("i >= 1000"), ["k"]))
+    assert sorted(map(tuple, plain.collect()), key=str) == want
+
+
+def test_hot_keys_of_two_columns(spark):
+    rows = [(1, "x")] * 6 + [(1, "y")] + [(2, "x")] * 3
+    df = spark.createDataFrame(rows, "a int, b string")
+    assert joins.hot_keys(df, ["a", "b"], salts=4) == [((1, "x"), 3), ((2, "x"), 2)]
+
+
 def test_top_by(spark, skewed):
     df = spark.createDataFrame(skewed, "k string, minute int, i bigint, v int")
     out = joins.top_by(df, ["k"], [F.desc("i")], 3)

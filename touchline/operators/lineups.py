@@ -65,9 +65,9 @@ def match_ends(events: DataFrame) -> DataFrame:
     return events.groupBy("match_id").agg(F.greatest(last, F.lit(FULL_TIME)).alias("_full"))
 
 
-def _with_minutes(events: DataFrame) -> DataFrame:
+def _with_minutes(events: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     totals = player_totals(events)
-    whole = attach(totals.filter("acts"), match_ends(events), ["match_id"], ["player"])
+    whole = attach(totals.filter("acts"), match_ends(events), ["match_id"], ["player"], hot=hot)
     left_at = F.coalesce(F.least("off", "red"), F.col("_full"))
     played = F.greatest(left_at - F.coalesce("on", F.lit(0)), F.lit(0))
     return whole.withColumn("minutes", played.cast("int"))
@@ -91,13 +91,18 @@ def positions(lineups: DataFrame) -> DataFrame:
     )
 
 
-def player_lines(events: DataFrame, matches: DataFrame, first_positions: DataFrame) -> DataFrame:
-    """Minutes, xG, goals and position of everyone who played at all."""
+def player_lines(
+    events: DataFrame, matches: DataFrame, first_positions: DataFrame, hot: HotKeys | None = None,
+) -> DataFrame:
+    """Minutes, xG, goals and position of everyone who played at all.
+
+    ``hot`` are the matches with a large share of the players.
+    """
     facts = matches.select(*MATCH_COLUMNS, "home_team", "away_team")
     lines = (
-        _with_minutes(events).filter(F.col("minutes") > 0).join(first_positions, PLAYER, "left")
+        _with_minutes(events, hot).filter(F.col("minutes") > 0).join(first_positions, PLAYER, "left")
     )
-    return attach(lines, facts, ["match_id"], ["player"], "inner").select(
+    return attach(lines, facts, ["match_id"], ["player"], "inner", hot=hot).select(
         *MATCH_COLUMNS,
         F.when(F.col("team") == F.col("home_team"), F.col("home_fd"))
         .when(F.col("team") == F.col("away_team"), F.col("away_fd"))

@@ -14,7 +14,7 @@ from touchline.functions import pitch
 from touchline.functions.numbers import exact, rounded
 from touchline.functions.text import score_text
 from touchline.operators import conform
-from touchline.operators.joins import attach, first_by
+from touchline.operators.joins import HotKeys, attach, first_by
 from touchline.operators.running import block, running
 
 MATCH_COLUMNS = ["match_id", "home_fd", "away_fd", "match_date"]
@@ -23,10 +23,13 @@ MATCH_COLUMNS = ["match_id", "home_fd", "away_fd", "match_date"]
 BEST_WITHOUT_GOALS, FEW_GOALS, BEST_BESIDE_GOALS = 3, 2, 2
 
 
-def with_match(events: DataFrame, matches: DataFrame) -> DataFrame:
-    """Attach date, team names and conformed team names of the match."""
+def with_match(events: DataFrame, matches: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """Attach date, team names and conformed team names of the match.
+
+    ``hot`` are the matches ``hot_keys`` finds in the events.
+    """
     facts = matches.select(*MATCH_COLUMNS, "home_team", "away_team")
-    joined = attach(events, facts, ["match_id"], ["index"], "inner")
+    joined = attach(events, facts, ["match_id"], ["index"], "inner", hot=hot)
     at_home = F.col("team") == F.col("home_team")
     return joined.withColumn("is_home", at_home).withColumn(
         "team_fd",
@@ -36,13 +39,13 @@ def with_match(events: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def shot_rows(events: DataFrame, matches: DataFrame) -> DataFrame:
+def shot_rows(events: DataFrame, matches: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """One row per shot with the score after it.
 
     The score counts goals from shots only, the shot itself included; goals
     of any team but the home team count for the away side.
     """
-    shots = with_match(events.filter(F.col("type") == conform.SHOT), matches)
+    shots = with_match(events.filter(F.col("type") == conform.SHOT), matches, hot)
     goal = conform.is_goal(F.col("shot_outcome"))
     typed = shots.select(
         *MATCH_COLUMNS,
@@ -194,8 +197,8 @@ def key_event_columns(events: DataFrame) -> DataFrame:
     )
 
 
-def key_events(events: DataFrame, matches: DataFrame) -> DataFrame:
-    found = with_match(key_event_columns(events), matches)
+def key_events(events: DataFrame, matches: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    found = with_match(key_event_columns(events), matches, hot)
     return found.select(
         *MATCH_COLUMNS, "index", "event_type", "player", "team_fd", "minute", "xg"
     )

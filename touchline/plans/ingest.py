@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline import dimensions
 from touchline.operators import conform, lineups, report, shots
+from touchline.operators.joins import hot_keys
 from touchline.sources import landed
 from touchline.sources.stage import Scope, stage
 from touchline.sources.tables import read_table, write_counted, write_table
@@ -51,18 +52,19 @@ def build(
         made["events"] = write_counted(_by_match(landed.events_from(raw), "index"), f"{out}/events")
         made["rejects"] = write_counted(landed.rejects(raw), f"{out}/rejects")
     events = _reopen(spark, f"{out}/events")
+    hot = hot_keys(events, ["match_id"])
 
     made["xg_by_match"] = write_counted(shots.match_xg(events, matches), f"{out}/xg_by_match")
     made["shots"] = write_counted(
-        _by_match(shots.shot_rows(events, matches), "index"), f"{out}/shots", goals=F.count_if(F.col("is_goal") == 1),
+        _by_match(shots.shot_rows(events, matches, hot), "index"), f"{out}/shots", goals=F.count_if(F.col("is_goal") == 1),
     )
     kind = F.col("event_type")
     made["key_events"] = write_counted(
-        _by_match(shots.key_events(events, matches), "index"), f"{out}/key_events",
+        _by_match(shots.key_events(events, matches, hot), "index"), f"{out}/key_events",
         goals=F.count_if(kind == "goal"), reds=F.count_if(kind == "red_card"),
     )
     places = lineups.positions(landed.read_lineups(spark, f"{landing}/lineups", multi_line))
-    lines = lineups.player_lines(events, matches, places)
+    lines = lineups.player_lines(events, matches, places, hot)
     made["players"] = write_counted(_by_match(lines, "team_fd", "player_name"), f"{out}/players")
     return report.build_report(spark, made)
 
