@@ -537,3 +537,42 @@ def test_surname_of_one_letter_meets_its_season_only(spark):
     assert found == {
         (1, "Bo Rado", "F"): (7, True), (2, "Olo", "F"): (3, False), (2, "Zed", "F"): (9, True), (2, "Olo", "G"): (5, False),
     }
+
+
+@pytest.mark.parametrize("games", [None, 6, 8])
+def test_title_rounds(spark, games):
+    """Against counting by hand what every team can still win; a season may stay open."""
+    draw = random.Random(11)
+    results, want = [], {}
+    for year in range(6):
+        points, played = dict.fromkeys("ABCD", 0), dict.fromkeys("ABCD", 0)
+        for round_ in range(1, 7):
+            order = draw.sample("ABCD", 4)
+            for at in (0, 2):
+                # The stronger of two teams wins the more often, the more the year is odd.
+                home, away = order[at], order[at + 1]
+                goals = (2, 0) if (home < away) == (draw.random() < 0.5 + 0.1 * year) else (0, 2)
+                results.append((year, round_, round_ * 2 + at // 2, home, away, *goals))
+                points[home if goals[0] else away] += 3
+                played[home] += 1
+                played[away] += 1
+            first, *others = sorted(points, key=lambda t: -points[t])
+            if year not in want and all(points[first] > points[t] + 3 * max((games or 6) - played[t], 0) for t in others):
+                want[year] = round_
+    matches = spark.createDataFrame(
+        results, "season int, round int, place bigint, home_team string, away_team string, home_goals int, away_goals int",
+    )
+    table = standings.standings(matches, ["season"])
+    found = {r["season"]: r["title_round"] for r in standings.title_rounds(table, ["season"], games).collect()}
+    assert found == want
+    if games == 6:
+        assert 0 < len(want)
+        totals = briefs.match_totals(
+            spark.createDataFrame(
+                [(place + 100 * year, h if hg else a, h, a, 1, 50) for year, _, place, h, a, hg, ag in results for _ in range(2)],
+                "match_id bigint, team_fd string, home_fd string, away_fd string, is_goal int, minute int",
+            ),
+            spark.createDataFrame([(p + 100 * y, h, a) for y, _, p, h, a, *_ in results], "match_id bigint, home_fd string, away_fd string"),
+        )
+        rounds = spark.createDataFrame([(p + 100 * y, y, r) for y, r, p, *_ in results], "match_id bigint, season int, match_round int")
+        assert {r["season"]: r["title_round"] for r in briefs.season_titles(totals, rounds, 6).collect()} == want

@@ -161,6 +161,17 @@ def standings_all_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf)
 
 
+@register(_league("""SELECT l.season, l.round, max(l.pts) FILTER (l.position = 1) AS lead,
+  max(l.pts + 3 * (g.games - l.played)) FILTER (l.position > 1) AS reach,
+  coalesce(count(*) = max(g.teams) AND max(l.pts) FILTER (l.position = 1)
+           > max(l.pts + 3 * (g.games - l.played)) FILTER (l.position > 1), false) AS settled
+  FROM league l JOIN (SELECT season, max(played) AS games, count(DISTINCT team) AS teams FROM league GROUP BY season) g
+  USING (season) GROUP BY l.season, l.round"""))
+def title_races(spark: SparkSession, sf: str) -> DataFrame:
+    """After every round, the leader's points and what another team can still get."""
+    return standings.title_races(stage(_table(spark, sf), "league"), SEASON)
+
+
 @register(_league("SELECT * FROM league WHERE round = 17"))
 def standings_one_round(spark: SparkSession, sf: str) -> DataFrame:
     """League tables after one round."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.numbers import rounded
+from touchline.operators import standings
 from touchline.operators.joins import attach, top_by
 from touchline.operators.running import block, running
 from touchline.operators.sequence import RED_ITEM
@@ -167,6 +168,21 @@ def season_records(totals: DataFrame, rounds: DataFrame) -> DataFrame:
     )
 
 
+def season_titles(totals: DataFrame, rounds: DataFrame, games: int | None = None) -> DataFrame:
+    """The round that settles a season's title, by the tables its matches give; see ``standings.title_rounds``.
+
+    ``totals`` are the ``match_totals`` of all matches of a season, ``rounds``
+    has ``season`` and ``match_round``; matches without a round are left out.
+    """
+    placed = rounds.filter("match_round > 0").select("match_id", "season", F.col("match_round").alias("round"))
+    matches = totals.filter("focus_home").join(placed, "match_id").select(
+        "season", "round", F.col("match_id").alias("place"), F.col("home_fd").alias("home_team"),
+        F.col("away_fd").alias("away_team"), F.col("goals_for").alias("home_goals"),
+        F.col("goals_against").alias("away_goals"),
+    )
+    return standings.title_rounds(standings.standings(matches, ["season"]), ["season"], games)
+
+
 def match_briefs(
     shots: DataFrame,
     cards: DataFrame,
@@ -177,9 +193,13 @@ def match_briefs(
     final_round: int | None = FINAL_ROUND,
     title_round: int = TITLE_ROUND,
     totals: DataFrame | None = None,
+    titles: DataFrame | None = None,
 ) -> DataFrame:
     """Flags of every match and side.
 
+    ``titles`` has the ``title_round`` per ``season``, which else is the same
+    round for all.
+
     ``xg`` has ``home_xg`` and ``away_xg`` and ``rounds`` has ``match_round``,
     one row per ``match_id``, and ``season`` where there are several.  Without
     ``final_round`` it is the last round of the season.  All joins are between
@@ -204,6 +224,10 @@ def match_briefs(
         .join(rounds, "match_id", "left")
         .join(records, ["season", "focus"], "left")
     )
+    if titles is None:
+        joined = joined.withColumn("title_round", F.lit(title_round))
+    else:
+        joined = joined.join(titles.select("season", "title_round"), "season", "left")
     diff = F.col("goals_for") - F.col("goals_against")
     total = F.col("goals_for") + F.col("goals_against")
     own_xg = F.when(F.col("focus_home"), F.col("home_xg")).otherwise(F.col("away_xg"))
@@ -224,7 +248,7 @@ def match_briefs(
         ((total >= PACKED_GOALS) & (F.abs(diff) == 1)).alias("action_packed"),
         ((diff == 0) & (total >= DRAW_GOALS)).alias("entertaining_draw"),
         (round_ == (F.col("_season_end") if final_round is None else final_round)).alias("final_round"),
-        (round_ == title_round).alias("title_round"),
+        F.coalesce(round_ == F.col("title_round"), F.lit(False)).alias("title_round"),
         F.coalesce(own_xg < FEW_CHANCES_XG, F.lit(False)).alias("few_chances"),
         F.coalesce(own_xg > other_xg * DOMINANT_FACTOR, F.lit(False)).alias("dominant_xg"),
         F.col("red_minute").isNotNull().alias("has_red_card"),

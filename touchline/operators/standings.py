@@ -147,6 +147,33 @@ def leaders(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def title_races(table: DataFrame, keys: Sequence[str], games: int | None = None) -> DataFrame:
+    """Per round: points of the leader, the most another team can still get, and whether that settles the title.
+
+    ``games`` is what every team plays in a season; without it, the most a team
+    has played in the table, which is right for seasons that are over.  While a
+    team has yet to play its first match nothing is settled.
+    """
+    most = F.max("played") if games is None else F.max(F.lit(games))
+    seasons = table.groupBy(*keys).agg(most.alias("_games"), F.countDistinct("team").alias("_teams"))
+    can_get = F.col("pts") + WIN_POINTS * F.greatest(F.col("_games") - F.col("played"), F.lit(0))
+    rounds = table.join(seasons, list(keys)).groupBy(*keys, "round").agg(
+        F.max(F.when(F.col("position") == 1, F.col("pts"))).alias("lead"),
+        F.max(F.when(F.col("position") > 1, can_get)).alias("reach"),
+        (F.count("*") == F.max("_teams")).alias("_all"),
+    )
+    settled = F.coalesce(F.col("_all") & (F.col("lead") > F.col("reach")), F.lit(False))
+    return rounds.select(*keys, "round", "lead", "reach", settled.alias("settled"))
+
+
+def title_rounds(table: DataFrame, keys: Sequence[str], games: int | None = None) -> DataFrame:
+    """The first round of a season after which its leader can no longer be reached on points.
+
+    Seasons that stay open to the end, and those of one team, have no row.
+    """
+    return title_races(table, keys, games).filter("settled").groupBy(*keys).agg(F.min("round").alias("title_round"))
+
+
 def table_view(table: DataFrame, focus_team: str = "") -> DataFrame:
     """Display columns: signed goal difference and the focus team's mark."""
     mine = F.col("team") == focus_team

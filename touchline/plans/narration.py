@@ -70,7 +70,8 @@ def build_prompts(
     round stated by the feed is taken.  What is told of a season is taken from
     all its stored matches, whichever of them get prompts.  A season ends with
     its last stored round; while matches of it are still to come, give the
-    round it will end with as ``final_round``.
+    round it will end with as ``final_round``, which is then also the number of
+    matches of a team.  The round that settles a title follows from the tables.
     """
     with Scope(spark):  # stage tables go when the prompts are stored
         stats = dimensions.season_stats(spark) if stats is None else stats
@@ -94,7 +95,7 @@ def build_prompts(
         facts = stage(
             briefs.match_briefs(
                 all_shots, reds, matches, spark.read.parquet(f"{out}/xg_by_match"), stored, focus_team, final_round,
-                totals=totals,
+                totals=totals, titles=briefs.season_titles(totals, stored, final_round),
             ),
             "briefs",
         )
