@@ -576,3 +576,17 @@ def test_title_rounds(spark, games):
         )
         rounds = spark.createDataFrame([(p + 100 * y, y, r) for y, r, p, *_ in results], "match_id bigint, season int, match_round int")
         assert {r["season"]: r["title_round"] for r in briefs.season_titles(totals, rounds, 6).collect()} == want
+
+
+def test_by_alike_name(spark):
+    stats = spark.createDataFrame(
+        [(2, "Josip Stanisic", 5), (1, "JOSIP STANIŠIĆ", 6), (3, "Özil", 7), (4, None, 8)], "ord int, name string, goals int",
+    )
+    names = spark.createDataFrame([("josip stanišic",), ("Ozil",), ("Ozi",), (None,)], "player string")
+    found = lookup.by_alike_name(names, stats, "player")
+    assert found.columns == ["player", "alike_name", "goals"]
+    assert {r["player"]: (r["alike_name"], r["goals"]) for r in found.collect()} == {
+        "josip stanišic": ("JOSIP STANIŠIĆ", 6), "Ozil": ("Özil", 7), "Ozi": (None, None), None: (None, None),
+    }
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -12,7 +12,7 @@ from touchline.catalog import result_queries, story_queries  # noqa: F401  (thei
 from touchline.catalog.views import SEASON, feed_events, feed_matches, raw_results, sql, v_match, v_season
 from touchline.operators import results, shots, standings
 from touchline.plans import season
-from touchline.sources import landed, results_file, tables
+from touchline.sources import assets, landed, results_file, tables
 from touchline.sources.stage import stage_run_folder
 
 
@@ -122,3 +122,78 @@ def standings_extended(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/standings").select(
         *SEASON, "round", "position", "team", *standings.TALLIES, "gd", "pts",
     )
+
+
+@register(sql(
+    """SELECT match_id, m % 24 || ':00' AS kick_off, CASE WHEN m % 2 = 0 THEN 'available' ELSE 'scheduled' END AS match_status,
+       CASE WHEN m % 3 > 0 THEN 'processing' END AS match_status_360,
+       CASE WHEN m % 5 > 0 THEN '2024-01-02 03:04:05' END AS last_updated,
+       CAST(m % 4 AS INTEGER) AS competition_id, 'C' || m % 4 AS competition, 'N' || m % 7 AS competition_country_name,
+       CAST(m % 3 AS INTEGER) AS competition_stage_id, 'Stage ' || m % 3 AS competition_stage,
+       CAST(m % 90 AS INTEGER) AS stadium_id, 'P' || m % 90 AS stadium, CAST(m % 7 AS INTEGER) AS stadium_country_id,
+       CASE WHEN m % 11 > 0 THEN 'P' || m % 90 END AS referee, CASE WHEN m % 11 > 0 THEN 'N' || m % 7 END AS referee_country_name,
+       CAST(m % 90 AS INTEGER) AS home_team_id, 'female' AS home_team_gender, 'G' || m % 8 AS home_team_group,
+       'N' || m % 7 AS home_team_country_name, CAST(m % 90 AS INTEGER) AS away_team_id,
+       CASE WHEN m % 2 = 0 THEN 'P' || m % 90 || ', Q' || m % 13 ELSE '' END AS home_managers,
+       CASE WHEN m % 2 = 0 THEN CAST(m % 90 AS INTEGER) END AS home_manager_id,
+       CASE WHEN m % 2 = 0 THEN DATE '1970-03-04' END AS home_manager_dob,
+       CASE WHEN m % 2 = 0 THEN 'N' || m % 7 END AS home_manager_country_name, CAST(NULL AS VARCHAR) AS away_managers,
+       '1.' || m % 3 AS data_version, CASE WHEN m % 6 > 0 THEN 2 END AS shot_fidelity_version
+       FROM (SELECT match_id, match_id AS m FROM fixtures)""",
+    "fixtures",
+))
+def match_columns_from_json(spark: SparkSession, sf: str) -> DataFrame:
+    """What a match list tells beside teams and scores: states, places, officials, managers, versions."""
+    folder = stage_run_folder(spark, "match_columns_json")
+    person = "named_struct('id', m % 90, 'name', concat('P', m % 90), 'country', named_struct('id', m % 7, 'name', concat('N', m % 7)"
+
+    def team(side: str, managers: str) -> str:
+        return (
+            f"named_struct('{side}_team_id', m % 90, '{side}_team_name', {side}_team, '{side}_team_gender', 'female', "
+            f"'{side}_team_group', concat('G', m % 8), 'country', named_struct('id', m % 7, 'name', concat('N', m % 7)), "
+            f"'managers', {managers}) AS {side}_team"
+        )
+
+    boss = f"{person}), 'dob', '1970-03-04')"
+    deputy = "named_struct('id', m % 13, 'name', concat('Q', m % 13), 'country', named_struct('id', 1L, 'name', 'N'), 'dob', 'unknown')"
+    feed_matches(spark, sf).withColumn("m", F.col("match_id")).selectExpr(
+        "match_id", "match_date", "concat(m % 24, ':00') AS kick_off",
+        "if(m % 2 = 0, 'available', 'scheduled') AS match_status", "if(m % 3 > 0, 'processing', NULL) AS match_status_360",
+        "if(m % 5 > 0, '2024-01-02T03:04:05', 'soon') AS last_updated",
+        "named_struct('competition_id', m % 4, 'competition_name', concat('C', m % 4), 'country_name', concat('N', m % 7)) AS competition",
+        "named_struct('id', m % 3, 'name', concat('Stage ', m % 3)) AS competition_stage",
+        f"{person})) AS stadium", f"if(m % 11 > 0, {person})), NULL) AS referee",
+        team("home", f"if(m % 2 = 0, array({boss}, {deputy}), slice(array({boss}), 1, 0))"), team("away", "NULL"),
+        "named_struct('data_version', concat('1.', m % 3), 'shot_fidelity_version', if(m % 6 > 0, '2', 'none')) AS metadata",
+    ).write.json(folder)
+    found = landed.read_matches(spark, folder, multi_line=False)
+    return found.withColumn("last_updated", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss")).select(
+        "match_id", "kick_off", "match_status", "match_status_360", "last_updated", "competition_id", "competition",
+        "competition_country_name", "competition_stage_id", "competition_stage", "stadium_id", "stadium", "stadium_country_id",
+        "referee", "referee_country_name", "home_team_id", "home_team_gender", "home_team_group", "home_team_country_name",
+        "away_team_id", "home_managers", "home_manager_id", "home_manager_dob", "home_manager_country_name", "away_managers",
+        "data_version", "shot_fidelity_version",
+    )
+
+
+@register(sql("SELECT match_id, home_xg, away_xg, CAST(NULL AS VARCHAR) AS commentary FROM xg", "xg"))
+def missing_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored xG beside texts that were never written: every match stays, without a text."""
+    folder = stage_run_folder(spark, "partly_stored")
+    tables.write_table(shots.match_xg(feed_events(spark, sf), feed_matches(spark, sf)), f"{folder}/xg_by_match")
+    xg = tables.read_table(spark, f"{folder}/xg_by_match", schemas.XG_BY_MATCH)
+    texts = tables.read_table(spark, f"{folder}/commentary", schemas.COMMENTARY)
+    return xg.join(texts.select("match_id", "commentary"), "match_id", "left").select("match_id", "home_xg", "away_xg", "commentary")
+
+
+@register(sql(
+    "SELECT season, CAST(sum(octet_length(encode(home_team || ' - ' || away_team)) + 1) AS BIGINT) AS bytes FROM v_match GROUP BY season",
+    "v_match",
+))
+def listed_assets(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes per season out of the listing of stored files, whose content is not read."""
+    folder = stage_run_folder(spark, "assets")
+    named = v_match(spark, sf).select("season", F.concat_ws(" - ", "home_team", "away_team").alias("value"))
+    named.repartition("season").write.partitionBy("season").text(folder)
+    files = assets.list_assets(spark, folder, "*.txt", folders=["season"])
+    return files.groupBy(F.col("season").cast("int").alias("season")).agg(F.sum("bytes").alias("bytes"))

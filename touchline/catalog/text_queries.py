@@ -9,7 +9,7 @@ from touchline.catalog.feed import Feed
 from touchline.catalog.registry import register
 from touchline.catalog.views import BLOCKS, COLUMNS, feed_base, feed_columns, feed_events, sql, table, v_match
 from touchline.functions import names, text
-from touchline.operators import conform, incremental, voice
+from touchline.operators import conform, incremental, lookup, voice
 from touchline.sources.stage import stage_run_folder
 from touchline.streaming.key_events import store_key_events
 from touchline.streaming.unseen import append_unseen
@@ -231,3 +231,15 @@ def unseen_stream(spark: SparkSession, sf: str) -> DataFrame:
         event_files(spark, sf).select(*columns), f"{folder}/rows", ["match_id", "event_id"], "progress", folder=folder,
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/rows")
+
+
+@register(sql(
+    """SELECT upper(translate(player, 'aeiouc', 'áêïőüč')) AS player, min(player) AS alike_name, count(*) AS passes
+       FROM ev WHERE type = 'Pass' AND player IS NOT NULL GROUP BY 1""", "ev",
+))
+def alike_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Players written with accents and capitals, found by the plain spelling of the feed."""
+    passes = feed_events(spark, sf).filter((F.col("type") == "Pass") & F.col("player").isNotNull())
+    plain = passes.groupBy(F.col("player").alias("name")).agg(F.count("*").alias("passes"))
+    accented = plain.select(F.upper(F.translate("name", "aeiouc", "áêïőüč")).alias("player"))
+    return lookup.by_alike_name(accented, plain.withColumn("ord", F.xxhash64("name")), "player", "inner")

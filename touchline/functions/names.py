@@ -24,6 +24,11 @@ def fold_accents(name: Column) -> Column:
     return F.translate(name, ACCENTED, PLAIN)
 
 
+def alike(name: Column) -> Column:
+    """The name as one that equals others whatever their case and accents, in joins and groups too."""
+    return F.collate(name, "UNICODE_CI_AI")
+
+
 def initials(team: Column) -> Column:
     """One word gives its first three letters, more give up to three initials."""
     words = F.filter(F.split(F.translate(team, "'.", ""), r"\s+"), lambda w: w != "")

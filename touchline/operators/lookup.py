@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.names import surname
+from touchline.functions.names import alike, surname
 from touchline.operators.joins import attach
 
 PAIR = ["home_fd", "away_fd"]
@@ -126,6 +126,19 @@ def _first_containing(dimension: DataFrame, wanted: DataFrame) -> DataFrame:
     return held_pieces(texts, "_text", wanted.distinct()).groupBy("piece").agg(F.min("ord").alias("ord"))
 
 
+def by_alike_name(rows: DataFrame, dimension: DataFrame, name: str, how: str = "left") -> DataFrame:
+    """Columns of the dimension row whose ``name`` equals the one of ``rows`` but for case and accents.
+
+    The names meet by an equality join of their collation, which shuffles or
+    broadcasts as any other.  Where several dimension rows are alike, the one
+    with the least ``ord`` counts; ``name`` keeps the spelling of ``rows``.
+    """
+    first = dimension.withColumn("_alike", alike(F.col("name"))).groupBy("_alike").agg(F.min("ord").alias("ord"))
+    found = dimension.withColumnRenamed("name", "alike_name").join(first, "ord", "left_semi")
+    found = found.withColumn("_alike", alike(F.col("alike_name")))
+    return rows.withColumn("_alike", alike(F.col(name))).join(found, "_alike", how).drop("_alike", "ord")
+
+
 def season_stats_of(names: DataFrame, stats: DataFrame, fold: Column | None = None) -> DataFrame:
     """Season statistics per distinct player name.
 
