@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.numbers import rounded
 from touchline.operators import standings
-from touchline.operators.joins import attach, top_by
+from touchline.operators.joins import HotKeys, attach, top_by
 from touchline.operators.running import block, running
 from touchline.operators.sequence import RED_ITEM
 
@@ -284,15 +284,17 @@ def goal_numbers(sequenced: DataFrame) -> DataFrame:
 
 
 def highlight_briefs(
-    sequenced: DataFrame, briefs: DataFrame, scorers: DataFrame, stats: DataFrame | None = None
+    sequenced: DataFrame, briefs: DataFrame, scorers: DataFrame, stats: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Flags of every item of the highlight sequence, per side of the match.
 
     ``sequenced`` carries ``goal_number``; ``scorers`` is the table of scorers
-    per match; ``stats`` has season statistics, one row per player.
+    per match; ``stats`` has season statistics, one row per player; ``hot`` are
+    the matches ``hot_keys`` finds in the sequence.
     """
     facts = briefs.select(*SIDE, "opponent", "focus_home", "goals_for", "goals_against")
-    rows = attach(sequenced, facts, ["match_id"], ["index"], "inner")
+    rows = attach(sequenced, facts, ["match_id"], ["index"], "inner", hot=hot)
     totals = scorers.select(
         "match_id", "team_fd", "player", F.col("goals").alias("_match_goals")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline import dimensions
 from touchline.operators import briefs, conform, enrich, incremental, lookup, prompts, voice
+from touchline.operators.joins import hot_keys
 from touchline.sources.assets import list_assets
 from touchline.sources.stage import Scope, stage
 from touchline.sources.tables import read_table, write_table
@@ -103,7 +104,8 @@ def build_prompts(
         highlights = _of_matches(spark.read.parquet(f"{out}/highlights"), matches)
         names = highlights.filter(F.col("player").isNotNull()).select("player").distinct()
         flags = briefs.highlight_briefs(
-            briefs.goal_numbers(highlights), facts, scorers, lookup.season_stats_of(names, stats)
+            briefs.goal_numbers(highlights), facts, scorers, lookup.season_stats_of(names, stats),
+            hot=hot_keys(highlights, ["match_id"]),
         )
         context = enrich.shot_context(_of_matches(spark.read.parquet(f"{out}/events"), matches))
         texts = enrich.with_context(prompts.highlight_texts(flags), context)
