@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -526,6 +527,16 @@ def test_pieces_of_long_names_grow_with_their_length(spark):
     assert lookup.held_pieces(holders, "t", stems).count() <= 200 * 8
 
 
+def test_suffixes_of_names_are_not_broadcast(spark):
+    """A table of few names makes many suffixes, whose number Spark does not know."""
+    holders = spark.createDataFrame([("Harry Kane",)], "t string").withColumn("ord", F.lit(1))
+    pieces = spark.range(200).select(F.concat(F.lit("ane"), F.col("id").cast("string")).alias("piece"))
+    met = lookup.held_pieces(holders, "t", pieces.unionAll(spark.createDataFrame([("ane",)], "piece string")))
+    assert [tuple(r) for r in met.select("ord", "piece").collect()] == [(1, "ane")]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin .*, Inner", plan) and not re.search(r"BroadcastHashJoin .*, Inner", plan)
+
+
 def test_surname_of_one_letter_meets_its_season_only(spark):
     estimates = spark.createDataFrame(
         [(1, 1, "Bo Rado", "F", 2, 1), (2, 1, "Olo", "F", 3, 1), (2, 1, "Zed", "F", 1, 2), (2, 1, "Olo", "G", 5, 3)],

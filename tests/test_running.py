@@ -127,6 +127,18 @@ def test_attach_by_measured_hot_keys(spark, skewed, how):
     assert sorted(map(tuple, plain.collect()), key=str) == want
 
 
+def test_copies_and_offsets_are_not_broadcast(spark, skewed):
+    """Small facts are not broadcast once they are repeated, offsets are not where every row is a chunk."""
+    df = spark.createDataFrame(skewed, "k string, minute int, i bigint, v int")
+    facts = df.groupBy("k").agg(F.count("*").alias("n"))
+    attached = joins.attach(df, facts, ["k"], ["i"])
+    chunked = running.running(df, ["k", "i"], [F.col("minute")], [F.col("minute")], sums={"total": F.col("v")})
+    for found in (attached, chunked):
+        assert found.count() == len(skewed)
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_keys_of_two_columns(spark):
     rows = [(1, "x")] * 6 + [(1, "y")] + [(2, "x")] * 3
     df = spark.createDataFrame(rows, "a int, b string")

@@ -56,17 +56,21 @@ def attach(
     ``facts`` holds few short rows per key (totals of a match, season data of
     a player) and is repeated once per part, so a key that owns a third of
     ``rows`` is worked on by ``salts`` tasks.  The part is a hash of
-    ``spread_by`` and therefore the same when a lost task is run again.  A
-    side Spark finds to be under its broadcast threshold is still broadcast.
+    ``spread_by`` and therefore the same when a lost task is run again.  Spark
+    knows the size of the facts, not that of their copies, so these are never
+    broadcast: ``salts`` times the threshold would go through the driver.
 
     With ``hot``, the result of ``hot_keys``, only these keys are spread, over
-    as many parts as they ask for, and facts of other keys go along once.
+    as many parts as they ask for, and facts of other keys go along once; a
+    side Spark finds to be under its broadcast threshold is then broadcast.
     """
     if hot == []:
         return rows.join(facts, list(keys), how)
     n = F.lit(salts) if hot is None else _parts(keys, hot)
     part = F.pmod(F.xxhash64(*spread_by), n).cast("int")
     repeated = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1)))
+    if hot is None and salts > 1:
+        repeated = repeated.hint("merge")
     return rows.withColumn("_part", part).join(repeated, [*keys, "_part"], how).drop("_part")
 
 

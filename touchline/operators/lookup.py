@@ -106,9 +106,10 @@ def held_pieces(holders: DataFrame, text: str, pieces: DataFrame, keys: Sequence
     a piece meet by their stem, the longest beginning of the piece whose length
     is a power of two, and by ``keys``, and are then compared.  A text of n
     letters makes at most n * (1 + log2 n) rows, those with a stem no piece has
-    go before they are shuffled where the pieces are few.  A text that holds a
-    piece several times meets it as often; nulls meet nothing, the empty piece
-    meets every text.
+    go before they are shuffled where the pieces are few.  Spark knows the size
+    of the texts, not that of these rows, which are never broadcast.  A text
+    that holds a piece several times meets it as often; nulls meet nothing, the
+    empty piece meets every text.
     """
     asked = pieces.filter("piece is not null").withColumn("_stem", F.coalesce(F.try_element_at(_stems(F.col("piece")), F.lit(-1)), F.lit("")))
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
@@ -116,7 +117,9 @@ def held_pieces(holders: DataFrame, text: str, pieces: DataFrame, keys: Sequence
         "_rest", F.substring(F.col(text), F.col("_at"), F.length(text)),
     )
     empty = F.when(F.col("_at") == 1, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    met = suffixes.withColumn("_stem", F.explode(F.concat(empty, _stems(F.col("_rest"))))).join(asked, [*keys, "_stem"])
+    stemmed = suffixes.withColumn("_stem", F.explode(F.concat(empty, _stems(F.col("_rest")))))
+    known = stemmed.join(asked.select(*keys, "_stem").distinct(), [*keys, "_stem"], "left_semi")
+    met = known.hint("merge").join(asked, [*keys, "_stem"])
     return met.filter(F.startswith("_rest", "piece")).drop(text, "_at", "_rest", "_stem")
 
 

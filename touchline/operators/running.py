@@ -72,7 +72,8 @@ def running(
             *[F.lead(f"_all_{n}").over(Window.partitionBy(*keys).orderBy(*parts)).alias(f"_pre_{n}") for n in nexts],
         )
     )
-    return local.join(offsets, [*keys, *parts], "left").select(
+    # Never broadcast: where keys are many there are nearly as many chunks as rows.
+    return local.join(offsets.hint("merge"), [*keys, *parts], "left").select(
         *df.columns,
         *[(F.col(f"_in_{n}") + F.coalesce(f"_pre_{n}", F.lit(0))).alias(n) for n in sums],
         *[F.least(f"_in_{n}", f"_pre_{n}").alias(n) for n in mins],
