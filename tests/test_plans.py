@@ -364,6 +364,47 @@ def test_season_extended_equals_built(spark, tmp_path, rows):
         assert rows(made, *columns) == rows(right, *columns), table
 
 
+def test_folders_of_many_rounds(spark, tmp_path, rows):
+    """Folders grow with the logarithm of the rounds; one round is read out of one, and a null one is kept."""
+    path = str(tmp_path / "many")
+    df = spark.range(1, 5001).select(F.col("id").cast("int").alias("round"), (F.col("id") * 2).alias("v"))
+    df = df.unionAll(spark.createDataFrame([(None, 7)], "round int, v bigint"))
+    tables.write_by_round(df, path)
+    names = {folder.name for folder in (tmp_path / "many").glob("round=*")}
+    assert {f"round={n}" for n in range(1, 65)} <= names and len(names) <= 64 + 32 * 7 + 1
+    assert rows(tables.read_by_round(spark, path), "round", "v") == rows(df)
+    for n in (1, 17, 64, 65, 66, 127, 128, 129, 3001, 5000):
+        one = tables.read_round(spark, path, n)
+        assert rows(one, "round", "v") == [(n, 2 * n)]
+        assert {f.rsplit("/", 2)[1] for (f,) in one.select(F.input_file_name()).collect()} == {f"round={tables.first_of_folder(n)}"}
+    assert rows(tables.read_by_round(spark, path, 70, 2000), "round") == sorted(((n,) for n in range(70, 2001)), key=str)
+
+
+@pytest.mark.parametrize("old", [False, True])
+def test_season_of_many_rounds_extended(spark, tmp_path, rows, old):
+    """A late result and new rounds in folders of several rounds, and in tables stored with a folder for each."""
+    games = [(1 + i // 5, *pair, i % 4, i % 3) for i, pair in enumerate(itertools.permutations("ABCDEFGHIJKLM", 2))][:150]
+    late = (20, "Y", "Z", 1, 0)
+    parts = {"built": [*games[:100], late, *games[100:]], "grown": games[:130]}
+    for name, listed in parts.items():
+        (tmp_path / f"{name}_in").mkdir()
+        results_csv(tmp_path / f"{name}_in" / "s1.csv", listed)
+        results_csv(tmp_path / f"{name}_in" / "s2.csv", games[:90])
+        season.build(spark, str(tmp_path / f"{name}_in"), str(tmp_path / name), per_round=1)
+    grown = tmp_path / "grown"
+    if old:
+        for table in ("results", "standings", "rounds"):
+            tables.read_by_round(spark, str(grown / table)).write.partitionBy("round").parquet(str(tmp_path / "old" / table))
+        grown = tmp_path / "old"
+    more = tmp_path / "more"
+    more.mkdir()
+    results_csv(more / "s1.csv", [late, *games[130:]])
+    season.extend(spark, str(more), str(grown), per_round=1)
+    for table, dropped in (("results", "source_row"), ("standings", "no"), ("rounds", "no")):
+        made, right = (tables.read_by_round(spark, str(out / table)).drop(dropped) for out in (grown, tmp_path / "built"))
+        assert rows(made, *sorted(right.columns)) == rows(right, *sorted(right.columns)), table
+
+
 def test_season_extended_reads_changed_rounds(spark, tmp_path, rows):
     folder = tmp_path / "more"
     folder.mkdir()

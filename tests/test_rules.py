@@ -529,7 +529,7 @@ def test_pieces_of_long_names_grow_with_their_length(spark):
 
 def test_suffixes_of_names_are_not_broadcast(spark):
     """A table of few names makes many suffixes, whose number Spark does not know."""
-    holders = spark.createDataFrame([("Harry Kane",)], "t string").withColumn("ord", F.lit(1))
+    holders = spark.range(1).select(F.lit("Harry Kane").alias("t"), F.lit(1).alias("ord"))
     pieces = spark.range(200).select(F.concat(F.lit("ane"), F.col("id").cast("string")).alias("piece"))
     met = lookup.held_pieces(holders, "t", pieces.unionAll(spark.createDataFrame([("ane",)], "piece string")))
     assert [tuple(r) for r in met.select("ord", "piece").collect()] == [(1, "ane")]

@@ -119,7 +119,7 @@ def standings_extended(spark: SparkSession, sf: str) -> DataFrame:
     split = played.join(ends, SEASON)
     season.store(spark, split.filter(F.col("Date") <= F.col("_end")).drop("_end"), folder, SEASON)
     season.add(spark, split.filter(F.col("Date") > F.col("_end")).drop("_end"), folder, SEASON)
-    return spark.read.parquet(f"{folder}/standings").select(
+    return tables.read_by_round(spark, f"{folder}/standings").select(
         *SEASON, "round", "position", "team", *standings.TALLIES, "gd", "pts",
     )
 

@@ -12,7 +12,7 @@ from touchline.operators.joins import attach
 from touchline.operators.results import ODDS_COLUMNS, type_results
 from touchline.sources.results_file import as_matches, dated, read_raw
 from touchline.sources.stage import Scope, stage
-from touchline.sources.tables import write_by_round, write_table
+from touchline.sources.tables import read_by_round, write_by_round, write_table
 
 # What a stored table holds beside its own columns, to be continued from any round.
 SEEN = ["seen_at"]
@@ -39,7 +39,7 @@ def store(spark: SparkSession, typed: DataFrame, out: str, keys: Sequence[str],
     """``build`` out of typed rows with ``keys`` and ``source_row``."""
     rounds = conform.assign_round(dated(typed), keys, "_day", "source_row", per_round).drop("_day")
     write_by_round(rounds, f"{out}/results", keys)
-    stored = spark.read.parquet(f"{out}/results")
+    stored = read_by_round(spark, f"{out}/results")
     with Scope(spark):
         tallies = stage(standings.round_tallies(as_matches(stored, keys), keys), "tallies")
         write_by_round(standings.standings_of(tallies, keys, SEEN), f"{out}/standings", keys)
@@ -67,7 +67,7 @@ def add(spark: SparkSession, typed: DataFrame, out: str, keys: Sequence[str], pe
     its first new match, at least in its last round, which may not be full.
     Results are read from there on, standings from the round before, whose
     tallies are the state that is continued.  Only the folders of changed
-    rounds are written; they hold the rows of other seasons as they were.
+    rounds are written; they hold the rows of other seasons, and of other rounds, as they were.
 
     A match of the same season, day and teams as a stored one replaces it, so
     a run that was stopped can be repeated.  Other matches of a day follow the
@@ -78,7 +78,7 @@ def add(spark: SparkSession, typed: DataFrame, out: str, keys: Sequence[str], pe
         new = stage(dated(typed), "new_results")
         since = new.groupBy(*keys).agg(F.min("_day").alias("_since"))
         late = F.min(F.when(F.col("last_day") >= F.col("_since"), round_))
-        known = since.join(spark.read.parquet(f"{out}/rounds"), keys, "left")
+        known = since.join(read_by_round(spark, f"{out}/rounds"), keys, "left")
         # One row per season with new matches.
         changed = stage(known.groupBy(*keys).agg(F.coalesce(late, F.max("round"), F.lit(1)).alias("_first")), "changed")
         low = changed.agg(F.min("_first")).first()[0]
@@ -86,7 +86,7 @@ def add(spark: SparkSession, typed: DataFrame, out: str, keys: Sequence[str], pe
             return
 
         again = [*keys, "_day", "HomeTeam", "AwayTeam"]
-        stored = spark.read.parquet(f"{out}/results").filter(round_ >= low).join(changed, keys).filter(round_ >= F.col("_first"))
+        stored = read_by_round(spark, f"{out}/results", low).join(changed, keys).filter(round_ >= F.col("_first"))
         kept = stage(dated(stored.drop("round", "place", "_first")).join(new.select(*again).distinct(), again, "left_anti"), "kept")
         after = kept.groupBy(*keys).agg((F.max("source_row") + 1).alias("_after"))
         follow = new.join(after, keys, "left").withColumn("source_row", F.col("source_row") + F.coalesce("_after", F.lit(0)))
@@ -96,7 +96,7 @@ def add(spark: SparkSession, typed: DataFrame, out: str, keys: Sequence[str], pe
             "round": (round_ + F.col("_first") - 1).cast("int"),
         }).drop("_first"), "changed_results")
 
-        before = spark.read.parquet(f"{out}/standings").filter(round_ >= low - 1).join(changed, keys)
+        before = read_by_round(spark, f"{out}/standings", low - 1).join(changed, keys)
         state = before.filter(round_ == F.col("_first") - 1).select(*keys, "team", "round", "seen_at", *standings.TALLIES)
         tallies = stage(state.unionByName(standings.round_tallies(as_matches(rows, keys), keys)), "tallies")
         table = standings.standings_of(tallies, keys, SEEN).join(changed, keys).filter(round_ >= F.col("_first")).drop("_first")
@@ -104,7 +104,7 @@ def add(spark: SparkSession, typed: DataFrame, out: str, keys: Sequence[str], pe
         high = rows.agg(F.max("round")).first()[0]
         whole = {}
         for name, fresh in {"results": rows, "standings": table, "rounds": _days(rows, keys)}.items():
-            held = spark.read.parquet(f"{out}/{name}").filter(round_.between(low, high)).join(changed, keys, "left")
+            held = read_by_round(spark, f"{out}/{name}", low, high, whole=True).join(changed, keys, "left")
             others = held.filter(F.col("_first").isNull() | (round_ < F.col("_first"))).drop("_first")
             whole[name] = stage(others.unionByName(fresh), name)
         # All is computed before a folder is touched; ``rounds``, which says what is stored, comes last.
@@ -132,7 +132,7 @@ def build_scorers(
     has ``keys`` and ``round`` per ``match_id``, the focus team's estimates
     give way to counted goals.
     """
-    last = spark.read.parquet(f"{out}/rounds").groupBy(*keys).agg(F.max("round").alias("last_round"))
+    last = read_by_round(spark, f"{out}/rounds").groupBy(*keys).agg(F.max("round").alias("last_round"))
     listed = scorers.contenders(season_scorers, keys, focus_team)
     estimates = scorers.estimated(listed, last, keys)
     if shots is None or rounds is None:
