@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 import re._parser as parser
 
 import numpy as np
@@ -10,10 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from touchline.llm import decontaminate, license_rules, licenses, seed_extend, suffix_array, text
+from touchline.llm import decontaminate, jaccard_trie, license_rules, licenses, seed_extend, suffix_array, text
 from touchline.llm.op04 import digests
 from touchline.llm.quality import fit, held_out, matrix, score_quality
-from touchline.llm.repeats import Shape, without_repeats
+from touchline.llm.repeats import Shape, _seeds, without_repeats
 from touchline.llm.seed_extend import seed_and_extend
 from touchline.llm.suffix_array import suffix_dedup
 
@@ -281,3 +282,19 @@ def test_all_neighbours_that_tie_vote():
     shares = np.eye(4)[[0] * 20 + [1] * 20]
     model = fit(np.pad(shares, ((0, 0), (0, matrix(pa.array(["x"])).shape[1] - 4))), np.array([1.0] * 12 + [0.0] * 8 + [0.0] * 20))
     assert np.allclose(model.score(np.eye(matrix(pa.array(["x"])).shape[1])[:1]), 0.6)
+
+
+def test_a_task_holds_the_words_of_a_slice_only():
+    texts = [" ".join(f"w{(i * 7919 + x * 104729) % 50021}" for x in range(300)) for i in range(4000)]
+    ids, column = pa.array(range(len(texts))), pa.array(texts)
+    jobs = [
+        (jaccard_trie._sets(5, 80, 100, False), [ids, column], ["doc", "text"]),
+        (_seeds(Shape(50, 20)), [ids, ids, column], ["doc", "key", "text"]),
+    ]
+    for step, columns, names in jobs:
+        text._powers.clear()
+        tracemalloc.start()
+        made = sum(part.num_rows for part in step(iter([pa.RecordBatch.from_arrays(columns, names=names)])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert made == len(texts) and peak < 60e6

@@ -14,8 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
-SLICE_BYTES = 4 << 20
+#: Bytes whose powers are kept, and of texts whose words are held at once: a
+#: worker's memory is some forty times the latter, beside the batch.
+PIECE = 1 << 18
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _GRAM = np.uint64(0xD1342543DE82EF95 | 1)
