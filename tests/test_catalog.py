@@ -1,5 +1,8 @@
 """Every registered query against its SQL at the smallest scale."""
 
+import itertools
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -25,5 +28,19 @@ def test_query(spark, con, name):
     assert result == "ok"
 
 
+@pytest.mark.parametrize("name", ["highlight_json"])
+def test_highlights_broadcast_no_copies_suffixes_or_offsets(spark, name):
+    """Rows that a list is spread out to, and one row per chunk, are more than Spark takes them for."""
+    lines = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [re.search(r"[A-Za-z*]", line + "x").start() for line in lines]
+    sent = [
+        line for at, first in enumerate(lines) if "BroadcastExchange" in first
+        for line in itertools.takewhile(lambda x: x, (
+            lines[i] if depth[i] > depth[at] else "" for i in range(at + 1, len(lines))
+        ))
+    ]
+    assert sent and not [line for line in sent if "Generate explode" in line or "_pre_" in line]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
