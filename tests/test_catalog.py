@@ -28,7 +28,7 @@ def test_query(spark, con, name):
     assert result == "ok"
 
 
-@pytest.mark.parametrize("name", ["highlight_json", "highlight_labels"])
+@pytest.mark.parametrize("name", ["highlight_json", "highlight_labels", "highlight_texts"])
 def test_highlights_broadcast_no_copies_suffixes_or_offsets(spark, name):
     """Rows that a list is spread out to, and one row per chunk, are more than Spark takes them for."""
     lines = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
